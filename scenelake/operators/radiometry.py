@@ -144,9 +144,11 @@ def block_resample_nearest(pixels: DataFrame, keys: Sequence[str], height: str,
         near = F.when(step > 0, F.floor(F.col(pos) / step).cast("int")).otherwise(F.lit(0))
         reach = F.when(step > 0, F.ceil(1 / step).cast("int") + 1).otherwise(F.lit(0))
         candidates = F.sequence(F.greatest(F.lit(0), near - 1), F.greatest(F.lit(0), F.least(count - 1, near + reach)))
-        start = F.lit(0.0)
-        return F.filter(candidates, lambda i: (i < count) & (
-            F.floor(start + i * step).cast("int") == F.col(pos)))
+        # The last output index always reads the last source index.
+        def reads(i: Column) -> Column:
+            return F.when((count > 1) & (i == count - 1), F.col(size) - 1).otherwise(F.floor(i * step).cast("int"))
+
+        return F.filter(candidates, lambda i: (i < count) & (reads(i) == F.col(pos)))
 
     grown = pixels.select(*keys, "y", "x", height, width, value,
                           F.explode(targets("y", height, new[height])).alias("_y"))
