@@ -11,18 +11,23 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from scenelake.operators.blocks import roll, warp_bilinear
 
 MAX_SHIFT = 6
 
+# Type objects rather than texts: workers import this module without a session.
+_SHIFT = T.StructType().add("dy", T.IntegerType()).add("dx", T.IntegerType())
+_SCORED_SHIFT = T.StructType().add("dy", T.IntegerType()).add("dx", T.IntegerType()).add("score", T.DoubleType())
+_FINE_SHIFT = T.StructType().add("dy", T.DoubleType()).add("dx", T.DoubleType()).add("confidence", T.DoubleType())
+
 
 def _square(values, width: int) -> np.ndarray:
     return np.asarray(values, dtype=np.float64).reshape(-1, int(width))
 
 
-@F.pandas_udf("struct<dy:int,dx:int>")
+@F.pandas_udf(_SHIFT)
 def phase_shift(before: pd.Series, after: pd.Series, width: pd.Series) -> pd.DataFrame:
     """Whole-pixel translation at the peak of the normalised cross-power spectrum."""
     shifts = []
@@ -35,7 +40,7 @@ def phase_shift(before: pd.Series, after: pd.Series, width: pd.Series) -> pd.Dat
     return pd.DataFrame(np.array(shifts).reshape(-1, 2), columns=["dy", "dx"])
 
 
-@F.pandas_udf("struct<dy:int,dx:int,score:double>")
+@F.pandas_udf(_SCORED_SHIFT)
 def correlation_shift(before: pd.Series, after: pd.Series, width: pd.Series) -> pd.DataFrame:
     """Translation below six pixels each way with the best correlation over the overlap.
 
@@ -72,7 +77,7 @@ def _zoomed_peak(product: np.ndarray, center: np.ndarray, factor: int) -> tuple[
     return center + offsets[list(peak)], fine[peak]
 
 
-@F.pandas_udf("struct<dy:double,dx:double,confidence:double>")
+@F.pandas_udf(_FINE_SHIFT)
 def subpixel_shift(before: pd.Series, after: pd.Series, width: pd.Series) -> pd.DataFrame:
     """Translation to 0.1 px: whole-pixel phase peak refined by a small matrix DFT.
 

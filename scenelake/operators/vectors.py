@@ -189,7 +189,7 @@ def vector_topk_ann(points: DataFrame, queries: DataFrame, k: int = 10, tables:
     return _ranked(hits, k)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _accumulate(hashed: pd.Series, slots: pd.Series) -> pd.Series:
     """Sum token weights into one unit vector per text; a text without words is the first axis."""
     out = []

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from scenelake.operators.blocks import pyramid
 
@@ -21,7 +21,7 @@ def decode_npy(content: bytes) -> np.ndarray:
     return np.load(io.BytesIO(content), allow_pickle=False)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_npy(values: pd.Series, width: pd.Series) -> pd.Series:
     """A block as a NumPy array file of doubles."""
     out = []
