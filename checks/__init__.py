@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["pixels", "events"]
+MODULES = ["pixels", "events", "retrieval"]
 
 
 def load():

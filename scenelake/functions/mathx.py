@@ -6,7 +6,8 @@ from pyspark.sql import Column, functions as F
 
 
 def clip(x: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x))
+    """Bound a value; NULL stays NULL (``least`` and ``greatest`` alone would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x)))
 
 
 def sigmoid(x: Column) -> Column:

@@ -39,11 +39,16 @@ def bitemporal_join(before: DataFrame, after: DataFrame, keys: Sequence[str], ba
 
 
 def unroll(blocks: DataFrame, keys: Sequence[str], arrays: Sequence[str], width: str = "width") -> DataFrame:
-    """One row per pixel: keys, y, x and one column per array. No shuffle."""
+    """One row per pixel: keys, y, x and one column per array. No shuffle.
+
+    The outer form keeps the optimizer from adding a non-empty test that would
+    evaluate derived arrays a second time below the generator.
+    """
     zipped = F.arrays_zip(*[F.col(a) for a in arrays])
-    flat = blocks.select(*keys, F.col(width).cast("int").alias("_w"), F.posexplode(zipped).alias("_pos", "_px"))
+    flat = blocks.select(*keys, F.col(width).cast("int").alias("_stride"), F.posexplode_outer(zipped).alias("_pos", "_px"))
+    flat = flat.where(F.col("_pos").isNotNull())
     return flat.select(
-        *keys, F.expr("_pos div _w").cast("int").alias("y"), (F.col("_pos") % F.col("_w")).cast("int").alias("x"),
+        *keys, F.expr("_pos div _stride").cast("int").alias("y"), (F.col("_pos") % F.col("_stride")).cast("int").alias("x"),
         *[F.col("_px")[a].alias(a) for a in arrays])
 
 
@@ -52,7 +57,7 @@ def roll_up(pixels: DataFrame, keys: Sequence[str], values: Sequence[str], posit
     """Pixels back to blocks; each key must be a bounded block, not a whole scene."""
     packed = F.array_sort(F.collect_list(F.struct(*position, *values)))
     grouped = pixels.groupBy(*keys).agg(packed.alias("_px"), (F.max(position[-1]) + 1).cast("int").alias("width"))
-    columns = [F.transform("_px", lambda p, v=v: p[v]).alias(v) for v in values]
+    columns = [F.col("_px")[v].alias(v) for v in values]
     return grouped.select(*keys, "width" if width is None else width.alias("width"), *columns)
 
 

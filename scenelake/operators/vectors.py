@@ -23,6 +23,8 @@ from scenelake.operators.blocks import unroll
 MAX_BROADCAST_VALUES = 4_000_000
 POINT_BLOCK = 20_000
 QUERY_BLOCK = 2_000
+# Vector index where the 4 x 4 texture grid of an image embedding starts.
+TEXTURE_START = 40
 
 
 def upsert_points(log: DataFrame, seq: str) -> DataFrame:
@@ -111,12 +113,13 @@ def _block_topk(points: DataFrame, queries: DataFrame, k: int, point_block: int
 
     grid = splits(points, point_block, "n_p").join(splits(queries, query_block, "n_q"), "bucket")
 
-    def place(df: DataFrame, own: str, other: str, own_n: str, other_n: str, ident: str) -> DataFrame:
+    def place(df: DataFrame, own: str, other: str, own_n: str, other_n: str, ident: str, value: str) -> DataFrame:
         placed = df.join(grid, "bucket").withColumn(own, F.pmod(F.xxhash64(ident), F.col(own_n)).cast("int"))
-        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
+        copies = F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)).alias(other)
+        return placed.select(F.col("bucket").alias("bucket"), ident, value, own, copies)
 
-    p = place(points.select("bucket", "tile_id", "embedding"), "_p", "_q", "n_p", "n_q", "tile_id")
-    q = place(queries.select("bucket", "query_id", "vector"), "_q", "_p", "n_q", "n_p", "query_id")
+    p = place(points, "_p", "_q", "n_p", "n_q", "tile_id", "embedding")
+    q = place(queries, "_q", "_p", "n_q", "n_p", "query_id", "vector")
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -226,49 +229,56 @@ def image_embed(blocks: DataFrame, key: str, height: Column, bands: Sequence[str
 
     def cell(pos: str, size: str) -> Column:
         """Grid line i starts at i * size div 4."""
-        return sum((F.col(pos) >= F.floor(F.col(size) * i / 4.0)).cast("int") for i in (1, 2, 3))
+        first, *rest = [(F.col(pos) >= F.floor(F.col(size) * i / 4.0)).cast("int") for i in (1, 2, 3)]
+        return first + rest[0] + rest[1]
 
     sums = [agg for b in bands for agg in (F.sum(b).alias(f"s_{b}"), F.sum(F.col(b) * F.col(b)).alias(f"q_{b}"))]
     cells = px.groupBy(key, (cell("y", "_h") * 4 + cell("x", "_w")).alias("cell")).agg(
         F.count("*").alias("n"), F.greatest(*[F.max(b) for b in bands]).alias("top"), *sums)
-    cell_sum = sum(F.col(f"s_{b}") for b in bands)
-    cell_square = sum(F.col(f"q_{b}") for b in bands)
+    count = F.col("n") * len(bands)
+    mean = sum(F.col(f"s_{b}") for b in bands) / count
+    spread = sum(F.col(f"q_{b}") for b in bands) / count - mean * mean
+    cells = cells.withColumn("m", mean).withColumn("d", F.sqrt(F.greatest(F.lit(0.0), spread)))
     tile = cells.groupBy(key).agg(
-        F.sum("n").alias("n"), F.max("top").alias("top"),
+        F.sum("n").alias("n"), F.max("top").alias("top"), F.sum(F.col("m") * F.col("m") + F.col("d") * F.col("d")).alias("energy"),
         *[F.sum(f"{p}_{b}").alias(f"{p}_{b}") for p in ("s", "q") for b in bands],
-        F.collect_list(F.struct("cell", "n", cell_sum.alias("s"), cell_square.alias("q"))).alias("cells"))
-    scale = F.when(F.col("top") > 1.0, 1.0 / 255.0).otherwise(1.0)
-    mean = {b: F.col(f"s_{b}") / F.col("n") * scale for b in bands}
-    std = {b: F.sqrt(F.greatest(F.lit(0.0), F.col(f"q_{b}") / F.col("n") * scale * scale - mean[b] * mean[b]))
-           for b in bands}
-    r, g, b = (mean[x] for x in bands)
+        F.array_sort(F.collect_list(F.struct("cell", "m", "d"))).alias("cells"))
+    tile = tile.withColumn("scale", F.when(F.col("top") > 1.0, 1.0 / 255.0).otherwise(1.0))
+    for b in bands:
+        tile = tile.withColumn(f"m_{b}", F.col(f"s_{b}") / F.col("n") * F.col("scale"))
+    std = {b: F.sqrt(F.greatest(F.lit(0.0), F.col(f"q_{b}") / F.col("n") * F.col("scale") * F.col("scale")
+                                - F.col(f"m_{b}") * F.col(f"m_{b}"))) for b in bands}
+    r, g, b = (F.col(f"m_{x}") for x in bands)
     tile = tile.select(
-        key, "cells", scale.alias("scale"), ((g - r) / (g + r + 1e-6)).alias("veg"),
-        ((b - r) / (b + r + 1e-6)).alias("water"), (b > r + 0.05).alias("blue"),
+        key, "cells", "scale", "energy", ((g - r) / (g + r + 1e-6)).alias("veg"),
+        (((b - r) / (b + r + 1e-6) > 0.05) | (b > r + 0.05)).alias("wet"),
         ((r + g + b) / 3.0).alias("bright"), (sum(std[x] for x in bands) / 3.0).alias("contrast"))
-    veg = F.when(F.col("veg") > 0.05, F.col("veg"))
-    wet = F.when((F.col("water") > 0.05) | F.col("blue"), F.lit(1.0))
-    built = F.when((F.col("bright") > 0.45) & (F.col("contrast") > 0.15), F.lit(1.0))
-    dark = F.when((F.col("bright") < 0.25) & (F.col("contrast") > 0.18), F.lit(1.0))
-    rules = [("vegetation", veg * 4.0), ("agriculture", veg * 3.0), ("water", wet * 4.0), ("river", wet * 3.0),
-             ("flood", wet * 2.0), ("construction", built * 4.0), ("urban", built * 3.5), ("building", built * 3.0),
-             ("solar", dark * 4.0), ("industrial", dark * 3.0)]
-    ruled = F.create_map(*[x for name, w in rules
-                           for x in (F.lit(KEYWORD_SLOTS[name] * SLOT_WIDTH), F.coalesce(w, F.lit(0.0)))])
-    m = lambda c: c["s"] / (c["n"] * 3) * F.col("scale")
-    grid_mean = F.map_from_entries(F.transform("cells", lambda c: F.struct(c["cell"] * 2 + 40, m(c))))
-    grid_std = F.map_from_entries(F.transform("cells", lambda c: F.struct(c["cell"] * 2 + 41, F.sqrt(F.greatest(
-        F.lit(0.0), c["q"] / (c["n"] * 3) * F.col("scale") * F.col("scale") - m(c) * m(c))))))
-    tile = tile.select(key, ruled.alias("_rules"), grid_mean.alias("_m"), grid_std.alias("_s"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(EMBEDDING_DIM - 1)), lambda i: F.coalesce(
-        F.try_element_at(F.col("_m"), i), F.try_element_at(F.col("_s"), i), F.try_element_at(F.col("_rules"), i),
-        F.lit(0.0)))
-    tile = tile.select(key, raw.alias("_raw"))
-    norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda acc, v: acc + v * v))
-    tile = tile.withColumn("_norm", norm)
-    unit = F.transform("_raw", lambda v: v / F.col("_norm"))
-    axis = F.transform("_raw", lambda v, i: F.when(i == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-    return tile.select(key, F.when(F.col("_norm") > 0, unit).otherwise(axis).alias("embedding"))
+    veg = F.when(F.col("veg") > 0.05, F.col("veg")).otherwise(F.lit(0.0))
+    wet = F.col("wet").cast("double")
+    built = ((F.col("bright") > 0.45) & (F.col("contrast") > 0.15)).cast("double")
+    dark = ((F.col("bright") < 0.25) & (F.col("contrast") > 0.18)).cast("double")
+    rules = {"vegetation": veg * 4.0, "agriculture": veg * 3.0, "water": wet * 4.0, "river": wet * 3.0,
+             "flood": wet * 2.0, "construction": built * 4.0, "urban": built * 3.5, "building": built * 3.0,
+             "solar": dark * 4.0, "industrial": dark * 3.0}
+    texture_end = TEXTURE_START + 32
+    placed = sorted((KEYWORD_SLOTS[n] * SLOT_WIDTH, n) for n in rules
+                    if not TEXTURE_START <= KEYWORD_SLOTS[n] * SLOT_WIDTH < texture_end)
+    ruled = sum(rules[n] * rules[n] for _, n in placed)
+    tile = tile.withColumn("norm", F.sqrt(ruled + F.col("energy") * F.col("scale") * F.col("scale")))
+
+    # Segments in slot order: zeros, single rule slots, and the texture grid.
+    unit = F.col("norm")
+    texture = F.flatten(F.transform("cells", lambda c: F.array(c["m"] * F.col("scale") / unit, c["d"] * F.col("scale") / unit)))
+    segments, at = [], 0
+    for slot, part, width in sorted([(slot, F.array(rules[n] / unit), 1) for slot, n in placed]
+                                    + [(TEXTURE_START, texture, 32)], key=lambda t: t[0]):
+        if slot > at:
+            segments.append(F.array_repeat(F.lit(0.0), slot - at))
+        segments.append(part)
+        at = slot + width
+    segments.append(F.array_repeat(F.lit(0.0), EMBEDDING_DIM - at))
+    axis = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), EMBEDDING_DIM - 1))
+    return tile.select(key, F.when(F.col("norm") > 0, F.concat(*segments)).otherwise(axis).alias("embedding"))
 
 
 _EMBEDDERS = {}

@@ -54,16 +54,21 @@ def place_heuristic(text: Column, strict: bool = False) -> Column:
 
 def parse_queries(queries: DataFrame, text: str = "query", strict_places: bool = False) -> DataFrame:
     """Add keywords, years, change types, place, AOI and whether imagery exists."""
-    clean = F.trim(F.col(text))
-    lowered = F.lower(clean)
-    df = (queries.withColumn("keywords", hyphenated_words(clean)).withColumn("years", years(clean))
-          .withColumn("change_types", categories(lowered, F.col("keywords")))
-          .withColumn("_area", indexed_alias(lowered)))
-    other = F.coalesce(unindexed_place(lowered), place_heuristic(clean, strict_places))
-    df = df.withColumn("_other", F.when(F.col("_area").isNull(), other))
+    kept = queries.columns
+    base = (queries.withColumn("_clean", F.trim(F.col(text))).withColumn("_low", F.lower("_clean"))
+            .withColumn("_tokens", hyphenated_words(F.col("_clean"))))
+    clean, low, tokens = F.col("_clean"), F.col("_low"), F.col("_tokens")
+    # One generated row per query: the optimizer cannot copy the parse into a
+    # later filter on its outcome, so the patterns run once.
+    parse = F.struct(
+        tokens.alias("keywords"), years(clean).alias("years"), categories(low, tokens).alias("change_types"),
+        indexed_alias(low).alias("_area"),
+        F.coalesce(unindexed_place(low), place_heuristic(clean, strict_places)).alias("_place"))
+    df = base.select(*kept, F.inline_outer(F.array(parse)))
+    other = F.when(F.col("_area").isNull(), F.col("_place"))
     return (df.withColumn("aoi", F.col("_area.aoi")).withColumn("aoi_name", F.col("_area.aoi_name"))
-            .withColumn("requested_location", F.coalesce(title_case(F.col("_area.alias")), F.col("_other")))
-            .withColumn("is_supported", F.col("_other").isNull()).drop("_area", "_other"))
+            .withColumn("requested_location", F.coalesce(title_case(F.col("_area.alias")), other))
+            .withColumn("is_supported", other.isNull()).drop("_area", "_place"))
 
 
 def coverage_gate(parsed: DataFrame) -> DataFrame:
@@ -154,6 +159,17 @@ def text_search(items: DataFrame, text: str, columns: tuple[str, ...]) -> DataFr
     return items.where(hit | ~any_hit)
 
 
+def resolve_tiles(wanted: DataFrame, key: str, tiles: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """Tile record of each wanted id: by id, by its alias, else the first tile."""
+    table = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+    rows = wanted.withColumn("_alias", F.coalesce(F.try_element_at(table, F.col(key)), F.col(key)))
+    by_id = tiles.select(F.col("tile_id").alias(key), F.col("tile_id").alias("_own"))
+    by_alias = tiles.select(F.col("tile_id").alias("_alias"), F.col("tile_id").alias("_other"))
+    first = tiles.agg(F.min("tile_id").alias("t")).scalar()
+    return (rows.join(by_id, key, "left").join(by_alias, "_alias", "left")
+            .withColumn("tile_id", F.coalesce("_own", "_other", first)).drop("_own", "_other", "_alias"))
+
+
 def sort_hits(hits: DataFrame, by: str) -> DataFrame:
     """Order hits by relevance, confidence or acquisition date, best or latest first."""
     column = {"relevance": "relevance", "confidence": "confidence", "date": "acquisition_date"}[by]
