@@ -145,7 +145,7 @@ emb AS (SELECT {key}, idx, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS w F
 
 
 def _entries(df, key, vec):
-    return df.select(key, F.posexplode(vec).alias("idx", "w")).where("w <> 0")
+    return df.select(key, F.posexplode_outer(vec).alias("idx", "w")).where("w <> 0")
 
 
 @check("text_embed", "doc_id:l idx:l w:6", "SELECT * FROM emb", _embed_sql("documents", "doc_id"))

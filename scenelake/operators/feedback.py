@@ -52,8 +52,9 @@ def match_feedback(feedback: DataFrame, alerts: DataFrame, key: str = "alert_id"
              .select("alert_id", F.explode("_n").alias("_len"))
              .where(F.col("_len") <= F.length("alert_id"))
              .select("alert_id", F.explode(F.expr(
-                 "transform(sequence(1, length(alert_id) - _len + 1), i -> substring(alert_id, i, _len))")).alias(key)))
-    contained = parts.groupBy(key).agg(F.min("alert_id").alias("_contains"))
+                 "transform(sequence(1, length(alert_id) - _len + 1), i -> substring(alert_id, i, _len))")).alias("_part")))
+    contained = (parts.groupBy("_part").agg(F.min("alert_id").alias("_contains"))
+                 .withColumnRenamed("_part", key))
     resolved = (found.join(contained, key, "left")
                 .select(key, F.coalesce("matched_id", "_contains").alias("matched_id")))
     return salted_lookup(feedback.withColumn("_row", F.monotonically_increasing_id()), resolved, key, "_row"
