@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["pixels", "events", "retrieval", "alerting"]
+MODULES = ["pixels", "events", "retrieval", "alerting", "streams"]
 
 
 def load():

@@ -127,7 +127,7 @@ def _(s, sf):
 
 APPLIED = """
 SELECT a.alert_id, type, latitude, longitude, confidence, detected_at, sensor, affected_area, location_name, analysis_id, summary,
-  CASE WHEN action = 'CONFIRM' THEN 'CONFIRMED' WHEN action IS NOT NULL THEN 'REJECTED' ELSE status END AS status, action, reviewed_at AS at FROM alert a LEFT JOIN lt ON lt.matched_id = a.alert_id"""
+  CASE WHEN action = 'CONFIRM' THEN 'CONFIRMED' WHEN action IS NOT NULL THEN 'REJECTED' ELSE status END AS status, action, reviewed_at AS seen_at FROM alert a LEFT JOIN lt ON lt.matched_id = a.alert_id"""
 
 
 @check("feedback_apply", "alert_id:s status:s action:s", f"SELECT * FROM ({APPLIED})", FB)
@@ -136,11 +136,12 @@ def _(s, sf):
 
 
 @check("alert_to_json", "alert_id:s json:s", f"""
-SELECT alert_id, '{{"id":"' || alert_id || '","type":"' || type || '","latitude":' || latitude || ',"longitude":' || longitude || ',"confidence":' || confidence || ',"detectedAt":"' || detected_at || '","status":"' || status
+SELECT alert_id, '{{"id":"' || alert_id || '","type":"' || type || '","latitude":' || latitude || ',"longitude":' || longitude || ',"confidence":' || floor(confidence * 100.0) / 100.0 || ',"detectedAt":"' || detected_at || '","status":"' || status
   || '","sensor":"' || sensor || '","affectedArea":"' || affected_area || '","locationName":"' || location_name || '","analysisId":"' || analysis_id || '","summary":"' || summary || '"'
-  || coalesce(',"feedback":{{"action":"' || action || '","rationale":"Visual Inspection","analystNotes":"","reviewedAt":"' || at || '"}}', '') || '}}' AS json FROM ({APPLIED})""", FB)
+  || coalesce(',"feedback":{{"action":"' || action || '","rationale":"Visual Inspection","analystNotes":"","reviewedAt":"' || seen_at || '"}}', '') || '}}' AS json FROM ({APPLIED})""", FB)
 def _(s, sf):
-    return records.alert_to_json(fb.apply_feedback(v.alerts(s, sf), _latest(s, sf)))
+    rows = fb.apply_feedback(v.alerts(s, sf), _latest(s, sf))
+    return records.alert_to_json(rows.withColumn("confidence", F.floor(F.col("confidence") * 100.0) / 100.0))
 
 
 # Decisions are stored per reviewing user; the count includes everything appended so far.
