@@ -29,15 +29,11 @@ def _mask(array: str):
 
 
 def event_pairs(s, sf):
-    p = scored(s, sf)
-    original = v.pairs(s, sf).select("scene", F.col("r2").alias("_r2"), F.col("b2").alias("_b2"))
-    p = p.join(original, "scene")
     sar = lambda a: F.when(F.col("scene") % 3 != 0, F.transform(a, lambda x: x * 0.4))
-    return (p.withColumn("qa1", _mask("r1")).withColumn("qa2", _mask("_r2"))
-            .withColumn("sar1", sar("g1")).withColumn("sar2", sar("_b2"))
-            .withColumn("offset_mag", (F.col("scene") % 5).cast("double")).withColumn("view_ok", F.col("scene") % 4 != 0)
-            .withColumn("seasonal_delta", (F.col("scene") % 10) / 50.0)
-            .withColumn("reg_conf", F.lit(1.0) - (F.col("scene") % 5) / 10.0))
+    return scored(s, sf).withColumns({
+        "qa1": _mask("r1"), "qa2": _mask("r2"), "sar1": sar("g1"), "sar2": sar("b2"),
+        "offset_mag": (F.col("scene") % 5).cast("double"), "view_ok": F.col("scene") % 4 != 0,
+        "seasonal_delta": (F.col("scene") % 10) / 50.0, "reg_conf": F.lit(1.0) - (F.col("scene") % 5) / 10.0})
 
 
 def _usable(m: str, flag: str) -> str:
@@ -151,13 +147,12 @@ def _(s, sf):
 def assembled(s, sf):
     sid = F.col("scene").cast("string")
     lon, lat = F.lit(77.0) + F.col("scene") / 10.0, F.lit(12.0) + F.col("scene") / 10.0
-    ev = (classified(s, sf).withColumn("event_id", F.concat(F.lit("ce_"), sid))
-          .withColumn("t1_scene_id", F.concat(F.lit("s"), sid, F.lit("_0"))).withColumn("t2_scene_id", F.concat(F.lit("s"), sid, F.lit("_1")))
-          .withColumn("t1_datetime", F.lit("2023-01-01T00:00:00Z")).withColumn("t2_datetime", F.lit("2024-01-01T00:00:00Z"))
-          .withColumn("bbox", F.array(lon, lat, lon + 0.1, lat + 0.1))
-          .withColumn("mask_href", F.concat(F.lit("masks/tile_id=s"), sid))
-          .withColumn("offset_dx", F.lit(0.0)).withColumn("offset_dy", F.lit(0.0)).withColumn("latency_ms", F.lit(0)))
-    return ce.assemble(ev)
+    return ce.assemble(classified(s, sf).withColumns({
+        "event_id": F.concat(F.lit("ce_"), sid), "t1_scene_id": F.concat(F.lit("s"), sid, F.lit("_0")),
+        "t2_scene_id": F.concat(F.lit("s"), sid, F.lit("_1")), "t1_datetime": F.lit("2023-01-01T00:00:00Z"),
+        "t2_datetime": F.lit("2024-01-01T00:00:00Z"), "bbox": F.array(lon, lat, lon + 0.1, lat + 0.1),
+        "mask_href": F.concat(F.lit("masks/tile_id=s"), sid), "offset_dx": F.lit(0.0), "offset_dy": F.lit(0.0),
+        "latency_ms": F.lit(0)}))
 
 
 @check("change_event_assemble", "event_id:s stac_id:s start:s finish:s kind:s morph:s west:6 north:6 corners:l sar_fused:b n_stages:l conf:6", """

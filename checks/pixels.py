@@ -334,9 +334,7 @@ al AS (SELECT p.scene, y, x, r1, g1, b1, """ + ", ".join(
 
 
 def aligned(pairs):
-    for b in "rgb":
-        pairs = radiometry.radiometric_align(pairs, ["scene"], f"{b}1", f"{b}2", f"{b}a")
-    return pairs
+    return radiometry.radiometric_align(pairs, ["scene"], [(f"{b}1", f"{b}2", f"{b}a") for b in "rgb"])
 
 
 @check("radiometric_align", "scene:l y:l x:l ra:6 ga:6 ba:6", "SELECT * FROM al", ALIGN)
@@ -358,10 +356,7 @@ pr AS (SELECT df.scene, y, x, CASE WHEN top > 1e-4 THEN greatest(0.0, least(1.0,
 
 
 def scored(s, sf):
-    pairs = aligned(v.pairs(s, sf))
-    for b in "rgb":
-        pairs = pairs.withColumn(f"{b}2", F.col(f"{b}a")).drop(f"{b}a")
-    return ce.raw_change_prob(pairs, ["r", "g", "b"])
+    return ce.raw_change_prob(aligned(v.pairs(s, sf)), ["r", "g", "b"], after="a")
 
 
 @check("raw_change_prob", "scene:l y:l x:l prob:6", "SELECT * FROM pr", PROB)

@@ -33,20 +33,18 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
     both = checkpoint(both.where(F.col("src") != F.col("dst")).distinct())
     parents = checkpoint(nodes.select("node", F.col("node").alias("parent")).distinct())
     for _ in range(max_rounds):
-        owners = parents.select(F.col("parent")).distinct()
-        grand = (owners.join(parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand")), "parent"))
-        with_grand = salted_lookup(parents, grand, "parent", "node")
-        around = (both.join(with_grand.select(F.col("node").alias("dst"), "grand"), "dst")
-                  .groupBy("src").agg(F.min("grand").alias("least")))
-        hooks = around.join(with_grand.select(F.col("node").alias("src"), "parent"), "src")
-        none = F.lit(None)
-        proposals = (
-            parents.select("node", "parent", F.col("parent").alias("old"))
-            .unionByName(with_grand.select("node", F.col("grand").alias("parent"), none.alias("old")))
-            .unionByName(hooks.select(F.col("src").alias("node"), F.col("least").alias("parent"), none.alias("old")))
-            .unionByName(hooks.select(F.col("parent").alias("node"), F.col("least").alias("parent"),
-                                      none.alias("old"))))
-        merged = checkpoint(proposals.groupBy("node").agg(F.min("parent").alias("parent"), F.max("old").alias("old")))
+        owners = parents.select("parent").distinct()
+        grand = owners.join(parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand")), "parent")
+        lifted = salted_lookup(parents, grand, "parent", "node")
+        around = (both.join(lifted.select(F.col("node").alias("dst"), "grand"), "dst")
+                  .groupBy(F.col("src").alias("node")).agg(F.min("grand").alias("least")))
+        found = F.coalesce("least", "grand")
+        proposal = F.explode(F.array(*[
+            F.struct(node.alias("node"), parent.alias("parent"), old.alias("old")) for node, parent, old in (
+                (F.col("node"), F.least("parent", "grand", found), F.col("parent")),
+                (F.col("parent"), found, F.lit(None)))]))
+        merged = checkpoint(lifted.join(around, "node", "left").select(proposal.alias("p")).groupBy("p.node").agg(
+            F.min("p.parent").alias("parent"), F.max("p.old").alias("old")))
         changed = merged.where(F.col("parent") != F.col("old")).limit(1).count()
         parents = merged.select("node", "parent")
         if not changed:

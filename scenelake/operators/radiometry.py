@@ -67,13 +67,23 @@ def _moments(blocks: DataFrame, keys: Sequence[str], columns: Sequence[str]) ->
     return flat.groupBy(*keys).agg(*stats)
 
 
-def radiometric_align(blocks: DataFrame, keys: Sequence[str], before: str, after: str, out: str) -> DataFrame:
-    """Give the later block the mean and spread of the earlier one, where both have contrast."""
-    m1, s1, m2, s2 = (F.col(f"{p}_{c}") for c in (before, after) for p in ("m", "s"))
-    aligned = F.transform(F.col(after), lambda v: ((v - m2) / s2) * s1 + m1)
-    joined = blocks.join(_moments(blocks, keys, [before, after]), list(keys))
-    return (joined.withColumn(out, F.when((s1 > 1e-4) & (s2 > 1e-4), aligned).otherwise(F.col(after)))
-            .drop(*[f"{p}_{c}" for c in (before, after) for p in ("m", "s")]))
+def radiometric_align(blocks: DataFrame, keys: Sequence[str], bands: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Give later bands the mean and spread of the earlier ones, where both have contrast.
+
+    ``bands`` lists (before, after, out) array columns; all statistics come from
+    one aggregation and one join.
+    """
+    columns = [c for before, after, _ in bands for c in (before, after)]
+    joined = blocks.join(_moments(blocks, keys, columns), list(keys))
+
+    def aligned(before: str, after: str) -> Column:
+        m1, s1, m2, s2 = (F.col(f"{p}_{c}") for c in (before, after) for p in ("m", "s"))
+        moved = F.transform(F.col(after), lambda v: ((v - m2) / s2) * s1 + m1)
+        return F.when((s1 > 1e-4) & (s2 > 1e-4), moved).otherwise(F.col(after))
+
+    outs = [out for _, _, out in bands]
+    kept = [c for c in blocks.columns if c not in outs]
+    return joined.select(*kept, *[aligned(b, a).alias(out) for b, a, out in bands])
 
 
 def domain_standardize(blocks: DataFrame, keys: Sequence[str], value: str, out: str, mean: float = 0.15,

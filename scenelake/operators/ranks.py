@@ -32,7 +32,7 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     rows = rows.withColumn("_path", F.lit(0).cast("bigint"))
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    sizes = rows.groupBy(*keys, "_path").agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     wanted = F.array(*[F.struct(F.lit(i).alias("p"), F.lit(side).alias("side"),
                                 (F.floor if side == "lo" else F.ceil)(F.lit(float(p)) * (F.col("_n") - 1))
                                 .cast("bigint").alias("rank"))
@@ -40,8 +40,10 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     targets = (sizes.select(*keys, "_n", F.explode(wanted).alias("t"))
                .select(*keys, "_n", F.col("t.p").alias("_p"), F.col("t.side").alias("_side"),
                        F.col("t.rank").alias("_rank"), F.lit(0).cast("bigint").alias("_path")))
-    for _ in range(levels):
-        bounds = rows.groupBy(*keys, "_path").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    for level in range(levels):
+        bounds = sizes.drop("_n")
+        if level:
+            bounds = rows.groupBy(*keys, "_path").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         bucket = _value_bucket(F.col("_v"), F.col("_lo"), F.col("_hi"), buckets)
         rows = (rows.join(bounds, [*keys, "_path"])
                 .select(*keys, "_v", "_path", (F.col("_path") * buckets + bucket).alias("_next")))

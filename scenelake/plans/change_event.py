@@ -74,33 +74,29 @@ def suppress(pairs: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -
     """
     none = F.lit(None).cast("array<double>")
     sar1, sar2 = _orelse(pairs, "sar1", none), _orelse(pairs, "sar2", none)
-    row = (pairs
-           .withColumn("offset_mag", _orelse(pairs, "offset_mag", F.lit(0.0)))
-           .withColumn("view_ok", _orelse(pairs, "view_ok", F.lit(True)))
-           .withColumn("seasonal_delta", _orelse(pairs, "seasonal_delta", F.lit(0.02)))
-           .withColumn("reg_conf", _orelse(pairs, "reg_conf", F.lit(1.0)))
-           .withColumn("sar_agreement", sar_agreement(sar1, sar2))
-           .withColumn("sar_fused", sar1.isNotNull() & sar2.isNotNull()))
-    arrays = ["prob"]
-    carried = []
-    for n in ("1", "2"):
-        if f"qa{n}" in pairs.columns:
-            row = row.withColumn(f"scl{n}", looks_like_scl(F.col(f"qa{n}")))
-            arrays.append(f"qa{n}")
-            carried.append(f"scl{n}")
+    masks = [n for n in ("1", "2") if f"qa{n}" in pairs.columns]
+    arrays = ["prob", *[f"qa{n}" for n in masks]]
+    encodings = [f"scl{n}" for n in masks]
+    row = pairs.select(
+        *keys, *carry, "width", *arrays, *[looks_like_scl(F.col(f"qa{n}")).alias(f"scl{n}") for n in masks],
+        _orelse(pairs, "offset_mag", F.lit(0.0)).alias("offset_mag"),
+        _orelse(pairs, "view_ok", F.lit(True)).alias("view_ok"),
+        _orelse(pairs, "seasonal_delta", F.lit(0.02)).alias("seasonal_delta"),
+        _orelse(pairs, "reg_conf", F.lit(1.0)).alias("reg_conf"),
+        sar_agreement(sar1, sar2).alias("sar_agreement"), (sar1.isNotNull() & sar2.isNotNull()).alias("sar_fused"))
     factor = (F.when(F.col("offset_mag") > 2.5, 0.5).otherwise(1.0)
               * F.when(~F.col("view_ok") & ~F.col("sar_fused"), 0.2).otherwise(1.0)
               * F.when(F.abs("seasonal_delta") < 0.05, 0.8).otherwise(1.0)
               * F.when(~F.col("sar_fused"), 0.9).when(F.col("sar_agreement") < 0.2, 0.6).otherwise(1.0))
-    scalars = ["seasonal_delta", "reg_conf", "sar_agreement", "sar_fused", "_factor"]
-    px = unroll(row.withColumn("_factor", factor), [*keys, *carry, *scalars, *carried], arrays)
+    scalars = ["seasonal_delta", "reg_conf", "sar_agreement", "sar_fused"]
+    px = unroll(row.withColumn("_factor", factor), [*keys, *carry, *scalars, "_factor", *encodings], arrays)
     usable = F.lit(True)
-    for n in ("1", "2"):
-        if f"qa{n}" in arrays:
-            usable = usable & F.coalesce(decode_mixed(F.col(f"qa{n}"), F.col(f"scl{n}"))["usable"], F.lit(True))
+    for n in masks:
+        usable = usable & F.coalesce(decode_mixed(F.col(f"qa{n}"), F.col(f"scl{n}"))["usable"], F.lit(True))
     px = px.withColumn("usable", usable)
-    px = px.withColumn("p", F.when(F.col("usable"), F.col("prob") * F.col("_factor")).otherwise(F.lit(0.0)))
-    return px.withColumn("mask", F.col("p") > MASK_THRESHOLD).drop("_factor", *carried)
+    p = F.when(F.col("usable"), F.col("prob") * F.col("_factor")).otherwise(F.lit(0.0))
+    return px.select(*keys, *carry, *scalars, "y", "x", *arrays, "usable", p.alias("p"),
+                     (p > MASK_THRESHOLD).alias("mask"))
 
 
 def event_metrics(pixels: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:

@@ -14,6 +14,8 @@ from scenelake.operators.blocks import pyramid
 BLOCK_SCHEMA = ("path string, band int, block_row int, block_col int, height int, width int, dtype string, "
                 "values array<double>")
 BLOCK = 256
+# Pixels handed to Spark at once by the decoder.
+MAX_BATCH_VALUES = 1_000_000
 
 
 def decode_npy(content: bytes) -> np.ndarray:
@@ -38,20 +40,23 @@ def decode_files(files: DataFrame, decoder: Callable[[bytes], np.ndarray] = deco
 
     ``decoder`` turns bytes into an array; codecs for image formats plug in here.
     """
+    columns = ["path", "band", "block_row", "block_col", "height", "width", "dtype", "values"]
+
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 image = decoder(bytes(content))
                 image = image[np.newaxis] if image.ndim == 2 else image
-                rows = []
-                for b in range(image.shape[0]):
-                    for y in range(0, image.shape[1], block):
-                        for x in range(0, image.shape[2], block):
-                            part = image[b, y:y + block, x:x + block]
-                            rows.append((path, b, y // block, x // block, part.shape[0], part.shape[1],
-                                         str(image.dtype), part.astype(np.float64).ravel()))
-                yield pd.DataFrame(rows, columns=["path", "band", "block_row", "block_col", "height", "width",
-                                                  "dtype", "values"])
+                for b, y, x in np.ndindex(image.shape[0], -(-image.shape[1] // block), -(-image.shape[2] // block)):
+                    part = image[b, y * block:(y + 1) * block, x * block:(x + 1) * block]
+                    rows.append((path, b, y, x, *part.shape, str(image.dtype), part.astype(np.float64).ravel()))
+                    held += part.size
+                    if held >= MAX_BATCH_VALUES:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
     return files.select("path", "content").mapInPandas(decode, BLOCK_SCHEMA)
 
