@@ -65,7 +65,7 @@ def correlation_shift(before: pd.Series, after: pd.Series, width: pd.Series) ->
 
 
 def _zoomed_peak(product: np.ndarray, center: np.ndarray, factor: int) -> tuple[np.ndarray, complex]:
-    """Peak of the correlation on a fine grid of +-0.75 px around ``center``."""
+    """Peak of the correlation on a fine grid of +-0.75 px around ``center``; equal peaks prefer the centre."""
     span = int(np.ceil(factor * 1.5))
     offsets = (np.arange(span) - span // 2) / factor
     kernels = []
@@ -73,7 +73,10 @@ def _zoomed_peak(product: np.ndarray, center: np.ndarray, factor: int) -> tuple[
         freq = np.fft.fftfreq(n)
         kernels.append(np.exp(2j * np.pi * np.outer(center[axis] + offsets, freq)))
     fine = kernels[0] @ product @ kernels[1].T
-    peak = np.unravel_index(int(np.abs(fine).argmax()), fine.shape)
+    height = np.abs(fine)
+    away = np.hypot(*np.meshgrid(offsets, offsets, indexing="ij"))
+    best = np.where(height >= height.max() * (1 - 1e-9), away, np.inf)
+    peak = np.unravel_index(int(best.argmin()), fine.shape)
     return center + offsets[list(peak)], fine[peak]
 
 
