@@ -138,7 +138,8 @@ def cluster_summary(members: DataFrame, margin: float = 0.008, min_size: int = 2
                     ) -> DataFrame:
     """Centre, size, mean confidence and bounds per cluster; groups below ``min_size`` are noise."""
     return (members.groupBy(*keys, "cluster").agg(
-        round_to(F.avg("lat"), 5).alias("center_lat"), round_to(F.avg("lng"), 5).alias("center_lng"),
+        # Published centres of known clusters round ties to even.
+        F.bround(F.avg("lat"), 5).alias("center_lat"), F.bround(F.avg("lng"), 5).alias("center_lng"),
         F.count("*").alias("member_count"),
         round_to(F.avg(F.coalesce("confidence", F.lit(0.90))), 2).alias("confidence"),
         (F.min("lat") - margin).alias("min_lat"), (F.min("lng") - margin).alias("min_lng"),

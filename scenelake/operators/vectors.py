@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from scenelake.functions.text import sha256_bucket, uuid5_dns, words
 from scenelake.lookups import EMBEDDING_DIM, KEYWORD_SLOTS, KEYWORD_WEIGHTS, SLOT_WIDTH
@@ -78,6 +79,7 @@ def _scan_topk(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     labels = [r["query_id"] for r in rows]
     shared = points.sparkSession.sparkContext.broadcast(_unit(np.array([r["vector"] for r in rows], dtype=np.float64)))
     schema = _hit_schema(points, queries)
+    arrow = to_arrow_schema(schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.array([]), np.array([], dtype=object)) for _ in labels]
@@ -95,7 +97,7 @@ def _scan_topk(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             "query_id": [label for label, b in zip(labels, best) for _ in b[0]],
             "tile_id": [i for b in best for i in b[1]], "score": [float(s) for b in best for s in b[0]]})
         if len(frame):
-            yield from pa.Table.from_pandas(frame, preserve_index=False).to_batches()
+            yield from pa.Table.from_pandas(frame, schema=arrow, preserve_index=False).to_batches()
 
     return points.select("tile_id", "embedding").mapInArrow(scan, schema)
 
