@@ -11,7 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from scenelake.functions.mathx import clip
-from scenelake.operators.ranks import BUCKETS, grouped_cdf, grouped_quantiles
+from scenelake.operators.ranks import grouped_cdf, grouped_quantiles
+
+# Ranges of the cumulative share in which two distributions are merged.
+SHARE_BUCKETS = 64
 
 
 def tile_stats(pixels: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -96,7 +99,7 @@ def domain_standardize(blocks: DataFrame, keys: Sequence[str], value: str, out:
 
 
 def histogram_match(source: DataFrame, reference: DataFrame, keys: Sequence[str], value: str,
-                    out: str = "matched", buckets: int = BUCKETS) -> DataFrame:
+                    out: str = "matched", buckets: int = SHARE_BUCKETS) -> DataFrame:
     """Replace each source value by the reference value at the same cumulative share.
 
     Shares between two reference points are interpolated linearly and clamped at

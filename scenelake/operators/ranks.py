@@ -13,13 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 BUCKETS = 1024
+BUCKET_ROWS = 512
 
 
-def _value_bucket(value: Column, lo: Column, hi: Column, buckets: int) -> Column:
-    """Monotone bucket number of a value in [lo, hi]."""
+def _value_bucket(value: Column, lo: Column, hi: Column, size: Column, buckets: int) -> Column:
+    """Monotone bucket number of a value in [lo, hi]; small groups get few buckets, large ones ``buckets``."""
+    count = F.greatest(F.lit(1), F.least(F.lit(buckets), F.ceil(size / F.lit(float(BUCKET_ROWS)))))
     share = (value - lo) / (hi - lo)
-    return (F.when(hi > lo, F.least(F.lit(buckets - 1), F.floor(share * buckets).cast("int")))
-            .otherwise(F.lit(0)))
+    return F.when(hi > lo, F.least(count - 1, F.floor(share * count))).otherwise(F.lit(0)).cast("int")
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
@@ -41,10 +42,11 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
                .select(*keys, "_n", F.col("t.p").alias("_p"), F.col("t.side").alias("_side"),
                        F.col("t.rank").alias("_rank"), F.lit(0).cast("bigint").alias("_path")))
     for level in range(levels):
-        bounds = sizes.drop("_n")
+        bounds = sizes.withColumnRenamed("_n", "_size")
         if level:
-            bounds = rows.groupBy(*keys, "_path").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        bucket = _value_bucket(F.col("_v"), F.col("_lo"), F.col("_hi"), buckets)
+            bounds = rows.groupBy(*keys, "_path").agg(F.count("*").alias("_size"), F.min("_v").alias("_lo"),
+                                                      F.max("_v").alias("_hi"))
+        bucket = _value_bucket(F.col("_v"), F.col("_lo"), F.col("_hi"), F.col("_size"), buckets)
         rows = (rows.join(bounds, [*keys, "_path"])
                 .select(*keys, "_v", "_path", (F.col("_path") * buckets + bucket).alias("_next")))
         hist = rows.groupBy(*keys, "_path", "_next").agg(F.count("*").alias("_c"))
@@ -75,9 +77,9 @@ def grouped_cdf(df: DataFrame, keys: Sequence[str], value: str, buckets: int = B
     keys = list(keys)
     counts = (df.groupBy(*keys, F.col(value).cast("double").alias(value)).agg(F.count("*").alias("n")))
     bounds = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-                                       F.sum("n").alias("_total"))
-    counts = (counts.join(bounds, keys)
-              .withColumn("_b", _value_bucket(F.col(value), F.col("_lo"), F.col("_hi"), buckets)))
+                                       F.sum("n").alias("_total"), F.count("*").alias("_size"))
+    bucket = _value_bucket(F.col(value), F.col("_lo"), F.col("_hi"), F.col("_size"), buckets)
+    counts = counts.join(bounds, keys).withColumn("_b", bucket)
     hist = counts.groupBy(*keys, "_b").agg(F.sum("n").alias("_c"))
     ordered = W.partitionBy(*keys).orderBy("_b")
     hist = hist.select(*keys, "_b", (F.sum("_c").over(ordered) - F.col("_c")).alias("_start"))

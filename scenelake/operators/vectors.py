@@ -195,30 +195,35 @@ def vector_topk_ann(points: DataFrame, queries: DataFrame, k: int = 10, tables:
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _accumulate(hashed: pd.Series, slots: pd.Series) -> pd.Series:
-    """Sum token weights into one unit vector per text; a text without words is the first axis."""
+def _accumulate(codes: pd.Series) -> pd.Series:
+    """Sum token weights into one unit vector per text; a text without words is the first axis.
+
+    A code holds the token's hash and, above it, its keyword slot plus one.
+    """
     out = []
-    for tokens, keys in zip(hashed, slots):
-        h = np.asarray(tokens, dtype=np.int64)
-        s = np.asarray(keys, dtype=np.int64) * SLOT_WIDTH
-        if not h.size:
-            vec = np.eye(1, EMBEDDING_DIM)[0]
-        else:
-            index = np.concatenate([h, (h * 3 + 7) % EMBEDDING_DIM] + [(s + i) % EMBEDDING_DIM for i in range(3)])
-            weight = np.repeat([1.0, 0.5, *KEYWORD_WEIGHTS], [h.size, h.size, s.size, s.size, s.size])
-            vec = np.bincount(index, weight, minlength=EMBEDDING_DIM)
-            vec = vec / np.linalg.norm(vec)
-        out.append(vec)
+    for tokens in codes:
+        code = np.asarray(tokens, dtype=np.int64)
+        if not code.size:
+            out.append(np.eye(1, EMBEDDING_DIM)[0])
+            continue
+        h, slot = code % EMBEDDING_DIM, code // EMBEDDING_DIM
+        vec = np.bincount(h, minlength=EMBEDDING_DIM) + 0.5 * np.bincount((h * 3 + 7) % EMBEDDING_DIM, minlength=EMBEDDING_DIM)
+        s = (slot[slot > 0] - 1) * SLOT_WIDTH
+        for i, weight in enumerate(KEYWORD_WEIGHTS):
+            vec = vec + weight * np.bincount((s + i) % EMBEDDING_DIM, minlength=EMBEDDING_DIM)
+        out.append(vec / np.linalg.norm(vec))
     return pd.Series(out)
 
 
 def text_embed(text: Column) -> Column:
     """512-dim unit vector of a text: hashed tokens plus keyword slots. No shuffle."""
-    tokens = words(text)
-    slots = F.create_map(*[F.lit(x) for pair in KEYWORD_SLOTS.items() for x in pair])
-    hashed = F.transform(tokens, lambda t: sha256_bucket(t, EMBEDDING_DIM))
-    keyed = F.filter(F.transform(tokens, lambda t: F.try_element_at(slots, t)), lambda s: s.isNotNull())
-    return _accumulate(hashed, keyed)
+    slots = F.create_map(*[F.lit(x) for word, slot in KEYWORD_SLOTS.items() for x in (word, slot + 1)])
+
+    def code(token: Column) -> Column:
+        slot = F.when(token.isin(list(KEYWORD_SLOTS)), F.try_element_at(slots, token)).otherwise(F.lit(0))
+        return sha256_bucket(token, EMBEDDING_DIM) + slot * EMBEDDING_DIM
+
+    return _accumulate(F.transform(words(text), code))
 
 
 def image_embed(blocks: DataFrame, key: str, height: Column, bands: Sequence[str] = ("r", "g", "b")) -> DataFrame:
