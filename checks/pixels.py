@@ -13,7 +13,7 @@ from scenelake.operators import radiometry
 from scenelake.operators.blocks import bitemporal_join, pyramid, unroll
 from scenelake.operators.ranks import grouped_cdf
 from scenelake.plans import change_event as ce, rgb_report as rgb
-from scenelake.sources.rasters import scale_reflectance
+from scenelake.sources.rasters import scale_reflectance, write_mask
 
 IDS = "tile okey line".split()
 
@@ -324,6 +324,19 @@ def _(s, sf):
     return pyramid(_changes(s, sf), ["scene"], "distance")
 
 
+# The stored mask and its overviews, read back from disk.
+@check("mask_sink", "tile_id:l level:l y:l x:l mask:6", """
+SELECT scene AS tile_id, level, y >> level AS y, x >> level AS x, avg(CASE WHEN changed THEN 1.0 ELSE 0.0 END) AS mask
+FROM (SELECT *, unnest([0, 1, 2, 3, 4]) AS level FROM ev) GROUP BY ALL""", CHANGE_PX)
+def _(s, sf):
+    from uuid import uuid4
+    from scenelake.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(s)}/mask-{uuid4().hex}"
+    px = _changes(s, sf).withColumnRenamed("scene", "tile_id").withColumnRenamed("changed", "mask")
+    write_mask(px, path, min_size=8)
+    return s.read.parquet(path)
+
+
 ALIGN = v.PAIR_PX + ", " + ", ".join(f"""
 st_{b} AS (SELECT scene, avg({b}1) AS m1, stddev_pop({b}1) AS s1, avg({b}2) AS m2, stddev_pop({b}2) AS s2 FROM pair_px GROUP BY scene)"""
                                      for b in "rgb") + """,

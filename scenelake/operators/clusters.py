@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from scenelake.functions.mathx import round_to
 from scenelake.operators.components import connected_components, salted_lookup
@@ -183,6 +183,7 @@ def cluster_number(clusters: DataFrame) -> DataFrame:
 def cluster_types(members: DataFrame, ident: str = "alert_id", kind: str = "type", n: int = 3) -> DataFrame:
     """The first ``n`` distinct types of each cluster, in member order."""
     firsts = members.groupBy("cluster", kind).agg(F.min(ident).alias("_first"))
-    ordered = F.array_sort(F.collect_list(F.struct("_first", kind)))
-    return firsts.groupBy("cluster").agg(ordered.alias("_t")).select(
-        "cluster", F.transform(F.slice("_t", 1, n), lambda t: t[kind]).alias("types"))
+    rank = F.row_number().over(W.partitionBy("cluster").orderBy("_first", kind))
+    top = firsts.withColumn("_rank", rank).where(F.col("_rank") <= n)
+    ordered = F.array_sort(F.collect_list(F.struct("_rank", kind)))
+    return top.groupBy("cluster").agg(ordered.alias("_t")).select("cluster", F.col("_t")[kind].alias("types"))

@@ -48,8 +48,7 @@ def class_weights(df: DataFrame, cls: str, num_classes: int = 5) -> DataFrame:
     total = counts.agg(F.sum("_c").cast("double").alias("t")).scalar()
     weights = counts.withColumn("_w", total / (F.col("_c") * num_classes))
     whole = weights.agg(F.sum(F.col("_w") * F.col("_c")).alias("s")).scalar()
-    # One row per class of a fixed vocabulary: safe to broadcast.
-    return df.join(F.broadcast(weights.select(cls, (F.col("_w") / whole).alias("weight"))), cls)
+    return df.join(weights.select(cls, (F.col("_w") / whole).alias("weight")), cls)
 
 
 def split_holdout(df: DataFrame, ident: str, ratio: float = 0.20, seed: int = 42) -> tuple[DataFrame, DataFrame]:

@@ -46,10 +46,9 @@ def match_feedback(feedback: DataFrame, alerts: DataFrame, key: str = "alert_id"
     exact = alerts.select(F.col("alert_id").alias(key), F.col("alert_id").alias("matched_id")).distinct()
     found = ids.join(exact, key, "left")
     rest = found.where(F.col("matched_id").isNull()).select(key)
-    lengths = rest.agg(F.collect_set(F.length(key)).alias("_n"))
+    lengths = rest.agg(F.collect_set(F.length(key)).alias("n")).scalar()
     names = alerts.select("alert_id").distinct()
-    parts = (names.join(F.broadcast(lengths), F.length("alert_id") >= F.array_min("_n"))
-             .select("alert_id", F.explode("_n").alias("_len"))
+    parts = (names.select("alert_id", F.explode(lengths).alias("_len"))
              .where(F.col("_len") <= F.length("alert_id"))
              .select("alert_id", F.explode(F.expr(
                  "transform(sequence(1, length(alert_id) - _len + 1), i -> substring(alert_id, i, _len))")).alias("_part")))

@@ -113,7 +113,8 @@ def _block_topk(points: DataFrame, queries: DataFrame, k: int, point_block: int
     def splits(df: DataFrame, size: int, name: str) -> DataFrame:
         return df.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(float(size))).cast("int").alias(name))
 
-    grid = splits(points, point_block, "n_p").join(splits(queries, query_block, "n_q"), "bucket")
+    # One row per bucket; buckets are numbered by hash table and signature, 128 by default.
+    grid = F.broadcast(splits(points, point_block, "n_p").join(splits(queries, query_block, "n_q"), "bucket"))
 
     def place(df: DataFrame, own: str, other: str, own_n: str, other_n: str, ident: str, value: str) -> DataFrame:
         placed = df.join(grid, "bucket").withColumn(own, F.pmod(F.xxhash64(ident), F.col(own_n)).cast("int"))

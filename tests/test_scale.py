@@ -209,3 +209,13 @@ def test_load_alerts_only_into_an_empty_table(spark, tmp_path):
     assert {(r.alert_id, r.status, r.confidence) for r in first.collect()} == {("A1", "PENDING REVIEW", 0.5), ("A2", "PENDING REVIEW", 0.9)}
     assert records.load_alerts(spark, str(tmp_path / "a.json"), first.limit(1)).count() == 1
     assert records.load_alerts(spark, str(tmp_path / "a.json"), first.where("false")).count() == 2
+
+
+def test_tile_grid_in_sql(spark):
+    from scenelake.functions import sql
+    sql.register(spark)
+    scenes = spark.createDataFrame([(7, 300, 520)], "scene_id int, height int, width int").withColumn("bbox", F.array(*[F.lit(0.0)] * 4))
+    scenes.createOrReplaceTempView("scenes")
+    got = {(r.tile_x, r.tile_y, r.x_end, r.y_end) for r in spark.sql("SELECT g.* FROM scenes, LATERAL tile_grid(height, width, 256) g").collect()}
+    want = {(r.tile_x, r.tile_y, r.x_end, r.y_end) for r in nb.tile_grid(scenes, filter_edges=False).collect()}
+    assert got == want and len(got) == 6
