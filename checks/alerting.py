@@ -270,11 +270,18 @@ def _(s, sf):
     return clusters.cluster_types(members(s, sf)).withColumn("types", F.array_join("types", "|"))
 
 
-@check("neighbor_pairs", "a_lat:6 a_lng:6 b_lat:6 b_lng:6", f"""
-SELECT alat AS a_lat, alng AS a_lng, blat AS b_lat, blng AS b_lng FROM link WHERE (alat, alng) < (blat, blng)""",
+# Clustering needs no point pairs: a link joins two occupied cells that hold at
+# least one pair in reach, and the points of one cell are always in reach.
+CELL = f"CAST(floor({{c}} / {EPS / 2 ** 0.5 * (1 - 1e-12)!r}) AS BIGINT)"
+
+
+@check("neighbor_pairs", "src:s dst:s", f"""
+SELECT DISTINCT ay || '/' || ax AS src, b_y || '/' || bx AS dst FROM (
+  SELECT {CELL.format(c='alat')} AS ay, {CELL.format(c='alng')} AS ax, {CELL.format(c='blat')} AS b_y, {CELL.format(c='blng')} AS bx FROM link)
+WHERE b_y > ay OR (b_y = ay AND bx > ax)""",
        v.ALERT + "," + CLUSTER.split("reach AS")[0].split("spot AS")[1].join(["spot AS", ""]).rstrip().rstrip(","))
 def _(s, sf):
-    return clusters.neighbor_locations(points(s, sf), EPS)
+    return clusters.neighbor_cells(points(s, sf), EPS)
 
 
 # ---- labels --------------------------------------------------------------------------------

@@ -103,26 +103,6 @@ def neighbor_cells(points: DataFrame, eps: float, keys: Sequence[str] = ()) -> D
     return links.unionByName(tight).distinct()
 
 
-def neighbor_locations(points: DataFrame, eps: float) -> DataFrame:
-    """Pairs of distinct locations within ``eps`` (smaller location first).
-
-    The result is inherently a pair list; clustering does not use it. Locations
-    meet by equality of grid cells of side ``eps``, each looking at the cells
-    around its own.
-    """
-    spots = points.select("lat", "lng").distinct()
-    cell = [F.floor(F.col(c) / F.lit(eps)).cast("bigint") for c in ("lat", "lng")]
-    around = F.explode(F.array(*[F.struct(F.lit(dy).alias("y"), F.lit(dx).alias("x"))
-                                 for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
-    a = spots.select(F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"), cell[0].alias("_y"), cell[1].alias("_x"), around.alias("_s"))
-    a = a.select("a_lat", "a_lng", (F.col("_y") + F.col("_s.y")).alias("cy"), (F.col("_x") + F.col("_s.x")).alias("cx"))
-    b = spots.select(F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"), cell[0].alias("cy"), cell[1].alias("cx"))
-    dy, dx = F.col("a_lat") - F.col("b_lat"), F.col("a_lng") - F.col("b_lng")
-    first = (F.col("a_lat") < F.col("b_lat")) | ((F.col("a_lat") == F.col("b_lat")) & (F.col("a_lng") < F.col("b_lng")))
-    return (a.join(b, ["cy", "cx"]).where(first & (F.sqrt(dy * dy + dx * dx) <= eps))
-            .select("a_lat", "a_lng", "b_lat", "b_lng"))
-
-
 def spatial_clusters(points: DataFrame, eps: float, keys: Sequence[str] = (), ident: str = "alert_id") -> DataFrame:
     """Add ``cluster``, the smallest member id of the linked group."""
     placed = with_cell(points, eps, keys)
