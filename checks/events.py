@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from checks import views as v
 from checks.pixels import CHANGE_PX, PROB, _changes, scored
 from checks.registry import check
-from scenelake.functions.qa import decode_mixed
 from scenelake.operators import evaluation, neighbourhood as nb, radiometry, registration as reg, timeline
 from scenelake.operators.blocks import roll_up, unroll
 from scenelake.plans import change_event as ce, rgb_report as rgb

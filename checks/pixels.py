@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from checks import views as v
 from checks.registry import check
 from scenelake.functions import qa, spectral
-from scenelake.functions.mathx import round_to
 from scenelake.lookups import QA_BITS, REPORT_CATEGORIES
 from scenelake.operators import radiometry
 from scenelake.operators.blocks import bitemporal_join, pyramid, unroll

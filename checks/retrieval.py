@@ -230,11 +230,6 @@ def _(s, sf):
     return vectors.vector_topk(early, late)
 
 
-def _overlap_parsed(s, sf):
-    """Parsed queries of the events whose number is a tile: the tile is the query image."""
-    return parsed(s, sf)
-
-
 RANKED = TOPK + "," + PARSED + """,
 jo AS (SELECT t.query_id, t.tile_id, t.vec_rank, floor(greatest(0.0, least(100.0, (score + 1.0) / 2.0 * 100.0)) * 10.0 + 0.5) / 10.0 AS vector_score, q.aoi AS q_aoi,
          CASE WHEN primary_types IS NULL THEN 0 ELSE len(list_intersect(change_types, primary_types)) END AS overlap, len(change_types) AS nt,
@@ -253,8 +248,7 @@ def _ranked(s, sf):
 
 
 @check("hybrid_rank", "query_id:l tile_id:s rank:l relevance:1 overlap:l category:s details:s",
-       "SELECT *, coalesce(category, '') AS category, coalesce(description, '') AS details FROM (SELECT * RENAME (category AS c0) FROM rk) AS rk0(query_id, tile_id, vec_rank, vector_score, q_aoi, overlap, nt, temporal, category, description, semantic, relevance, rank)"
-       .replace("SELECT *, coalesce(category, '') AS category", "SELECT query_id, tile_id, rank, relevance, overlap, coalesce(category, '') AS category"), RANKED)
+       "SELECT query_id, tile_id, rank, relevance, overlap, coalesce(category, '') AS category, coalesce(description, '') AS details FROM rk", RANKED)
 def _(s, sf):
     return _ranked(s, sf)
 

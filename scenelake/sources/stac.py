@@ -39,7 +39,7 @@ def _text(*names: str) -> Column:
 def _number(*names: str) -> Column:
     """First property that is present, not empty and not zero, as a number."""
     def kept(n: str) -> Column:
-        value = F.try_to_double(_prop(n)) if hasattr(F, "try_to_double") else _prop(n).try_cast("double")
+        value = _prop(n).try_cast("double")
         return F.when((_prop(n) != "") & ((value != 0.0) | value.isNull()), _prop(n))
 
     return F.coalesce(*[kept(n) for n in names]).try_cast("double")
