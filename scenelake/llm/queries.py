@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scenelake.llm import decontaminate, mixing, sharding, simhash, toxicity
+from scenelake.llm import (decontaminate, language, mixing, quality, secrets, sharding, simhash, suffixes, toxicity,
+                           urls)
 from scenelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,12 +29,46 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((n_hit > 0) & (decontaminate.SHARE * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
+ORACLES["op1_decontaminate"] = r"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+item_windows AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS s
+  FROM (SELECT item_id, w, least(13, len(w)) AS m, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS i
+        FROM item_words WHERE len(w) > 0)),
+doc_words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+doc_windows AS (
+  SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS s
+  FROM (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i
+        FROM doc_words, (SELECT DISTINCT m FROM item_windows) WHERE len(w) >= m)),
+found AS (SELECT d.doc_id, d.i, d.m, t.item_id FROM doc_windows d JOIN item_windows t ON d.s = t.s AND d.m = t.m),
+hit AS (SELECT doc_id, count(DISTINCT word) AS n FROM (
+          SELECT doc_id, unnest(generate_series(i, i + m - 1)) AS word FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (
+            SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(a.n, 0) AS BIGINT) AS n_items, sha256(coalesce(a.ids, '')) AS items_sha256,
+       coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(d.w) AS contaminated
+FROM doc_words d LEFT JOIN hit h USING (doc_id) LEFT JOIN named a USING (doc_id)"""
+
+
 @query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
 @query
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
@@ -51,6 +86,63 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+@query
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(urls.RULES, "host string, path string, verdict string")
+    return urls.filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def _url_sql() -> str:
+    """The longest fitting rule by a join with the rules as values."""
+    values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)
+    return f"""
+WITH parts AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                     'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+rules(rule_host, rule_path, rule_verdict) AS (VALUES {values}),
+fits AS (
+  SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+         arg_max(rule_verdict, length(rule_host || rule_path)) AS verdict
+  FROM parts, rules
+  WHERE host <> '' AND (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, '{urls.DEFAULT}') AS verdict
+FROM parts p LEFT JOIN fits f USING (page_id)"""
+
+
+ORACLES["op7_urls"] = _url_sql()
+
+
+def _digest(spans: str):
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.train(docs))
+    return found.select(
+        "doc_id", *[_number_of(kind).alias(f"n_{kind}") for kind in secrets.KINDS],
+        F.sha2(_digest("base"), 256).alias("base_sha256"), _digest("spans").alias("spans"))
+
+
+def _number_of(kind: str):
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
