@@ -76,7 +76,7 @@ def targets(units: DataFrame) -> DataFrame:
         F.when(F.col("ratio") > F.col("level"), F.col("level")), ignorenulls=True).over(ordered))
     target = F.least(limit, F.coalesce(F.col("weight") * F.col("level"), limit))
     return ranked.select("key", "source_size", target.alias("target"),
-                         (F.col("source_size") / F.coalesce("documents", F.lit(1))).alias("mean"),
+                         F.coalesce(F.col("source_size") / F.col("documents"), F.lit(1.0)).alias("mean"),
                          F.coalesce("least", F.lit(1)).alias("least"))
 
 
@@ -94,7 +94,7 @@ def balance(units: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
     histogram = materialise(units.where(F.col("size") > 0).groupBy("key", "size").agg(F.sum("n").alias("n")))
     # All rates at most target / size at one end, all at the limit at the other.
     shallow = F.col("mean") / F.col("least")
-    share = F.log(F.col("target") / F.col("source_size"))
+    share = F.log(F.try_divide("target", "source_size"))
     state = sources.withColumns({
         "low": F.coalesce(F.least(share * shallow, F.lit(0.0)), F.lit(0.0)),
         "high": F.when(F.col("target") > F.col("source_size"), shallow * math.log(MOST)).otherwise(0.0),
@@ -108,7 +108,7 @@ def balance(units: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
         gap = F.coalesce("reached", F.lit(0.0)) - F.col("target")
         low = F.when(gap < 0, F.col("multiplier")).otherwise(F.col("low"))
         high = F.when(gap > 0, F.col("multiplier")).otherwise(F.col("high"))
-        step = F.col("multiplier") - gap / F.col("slope")
+        step = F.col("multiplier") - F.try_divide(gap, F.col("slope"))
         moved = F.when((step > low) & (step < high), step).otherwise((low + high) / 2)
         gone = F.abs(gap) <= F.col("target") * TOLERANCE
         state = materialise(state.join(sums, "key", "left").select(

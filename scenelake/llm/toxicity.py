@@ -50,7 +50,10 @@ def words(text: bytes | None) -> list[bytes]:
 
 def windows(text: bytes | None, size: int = WINDOW) -> Iterator[bytes]:
     """Whole text as windows of about ``size`` bytes, cut at words; a longer word is cut inside."""
-    line = b" " + b" ".join(words(text)) + b" "
+    found = words(text)
+    if not found:
+        return
+    line = b" " + b" ".join(found) + b" "
     start, last = 0, len(line) - 1
     while start < last:
         end = start + size
