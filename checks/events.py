@@ -105,9 +105,11 @@ def _scores(s, sf):
 
 
 def table_scores(s, sf):
-    """Class scores of a scene: the first entries of its first two vectors; every seventh scene has none."""
+    """Class scores of a scene: its first two vectors, folded into five sums each; every seventh scene has none."""
     e = v.table(s, sf, "embeddings")
-    pick = lambda i: F.max(F.when(F.col("vec_id") % 6 == i, F.slice("embedding", 1, 5)))
+    folded = F.array(*[F.expr(f"aggregate(filter(embedding, (x, i) -> i % 5 = {k}), 0D, (a, x) -> a + cast(x AS double))")
+                       for k in range(5)])
+    pick = lambda i: F.max(F.when(F.col("vec_id") % 6 == i, folded))
     return (e.where(F.expr("vec_id div 6") % 7 != 3).groupBy(F.expr("vec_id div 6").alias("scene"))
             .agg(pick(0).alias("morph_scores"), pick(1).alias("type_scores")))
 
@@ -118,8 +120,10 @@ def _arg(i: int, names) -> str:
 
 
 SEM = EVENT + f""",
-sc AS (SELECT vec_id // 6 AS scene, max(CASE WHEN vec_id % 6 = 0 THEN embedding[1:5] END) AS s0,
-              max(CASE WHEN vec_id % 6 = 1 THEN embedding[1:5] END) AS s1 FROM embeddings WHERE (vec_id // 6) % 7 <> 3 GROUP BY 1),
+sc AS (SELECT vec_id // 6 AS scene, max(CASE WHEN vec_id % 6 = 0 THEN folded END) AS s0,
+              max(CASE WHEN vec_id % 6 = 1 THEN folded END) AS s1 FROM (
+         SELECT vec_id, [list_sum([CAST(embedding[i] AS DOUBLE) FOR i IN range(k + 1, len(embedding) + 1, 5)]) FOR k IN range(0, 5)] AS folded
+         FROM embeddings) WHERE (vec_id // 6) % 7 <> 3 GROUP BY 1),
 sem AS (SELECT em.scene, n_masked,
   CASE WHEN n_masked = 0 THEN 'unknown' WHEN s1 IS NULL THEN 'construction' ELSE {_arg(1, ['construction', 'clearance', 'water_extent', 'road', 'unknown'])} END AS change_type,
   CASE WHEN n_masked = 0 THEN 'none' WHEN s0 IS NULL THEN 'appearance' ELSE {_arg(0, ['appearance', 'disappearance', 'expansion', 'contraction', 'none'])} END AS change_morphology
@@ -298,12 +302,12 @@ def _(s, sf):
 
 
 @check("ids", "scene_id:l tile:s region:s", """
-SELECT scene_id, 'S' || scene_id || '_x' || width || '_y' || height AS tile, 'a' || scene_id || '_reg_' || lpad(CAST(scene_id % 90 AS VARCHAR), 2, '0') AS region FROM sc""", SCENES)
+SELECT scene_id, 'S' || scene_id || '_x' || width || '_y' || height AS tile, 'a' || scene_id || '_reg_' || CASE WHEN scene_id % 1500 < 10 THEN '0' ELSE '' END || (scene_id % 1500) AS region FROM sc""", SCENES)
 def _(s, sf):
     from scenelake.functions.text import region_id, tile_id
     sid = F.col("scene_id").cast("string")
     return scene_table(s, sf).withColumn("tile", tile_id(F.concat(F.lit("S"), sid), F.col("width"), F.col("height"))).withColumn(
-        "region", region_id(F.concat(F.lit("a"), sid), F.col("scene_id") % 90))
+        "region", region_id(F.concat(F.lit("a"), sid), F.col("scene_id") % 1500))
 
 
 # An 8 x 8 scene is the crop of a 12 x 12 tile.

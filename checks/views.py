@@ -12,7 +12,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-# --- Scenes: an embedding is an 8 x 8 band; six make one scene (three bands, two dates). ---
+# --- Scenes: an embedding is an 8 x 8 band; six make one scene (three bands, two dates).
+# The first vectors complete the last scene a second time. ---
 
 SCENE_WIDTH = 8
 PAIR_ROLES = [(f"{b}{e + 1}", e, i) for e in (0, 1) for i, b in enumerate("rgb")]
@@ -20,11 +21,11 @@ PAIR_ROLES = [(f"{b}{e + 1}", e, i) for e in (0, 1) for i, b in enumerate("rgb")
 
 def band_blocks(spark, sf) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    complete = e.agg(F.expr("(max(vec_id) + 1) div 6 * 6").alias("n")).scalar()
+    places = F.expr("filter(array(vec_id, vec_id + n), p -> p < (n + 5) div 6 * 6)")
+    e = e.withColumn("n", e.agg(F.max("vec_id") + 1).scalar()).withColumn("place", F.explode(places))
     values = F.transform("embedding", lambda v: clip(F.lit(0.5) + F.lit(0.8) * v.cast("double"), 0.0, 1.0))
-    return e.where(F.col("vec_id") < complete).select(
-        F.expr("vec_id div 6").alias("scene"), F.expr("(vec_id div 3) % 2").alias("epoch"),
-        (F.col("vec_id") % 3).alias("band"), values.alias("values"))
+    return e.select(F.expr("place div 6").alias("scene"), F.expr("(place div 3) % 2").alias("epoch"),
+                    (F.col("place") % 3).alias("band"), values.alias("values"))
 
 
 def pairs(spark, sf) -> DataFrame:
@@ -41,10 +42,12 @@ def epoch_blocks(spark, sf, epoch: int) -> DataFrame:
 
 BAND_PX = """
 band_px AS (
-  SELECT vec_id // 6 AS scene, (vec_id // 3) % 2 AS epoch, vec_id % 3 AS band, pos // 8 AS y, pos % 8 AS x,
+  SELECT place // 6 AS scene, (place // 3) % 2 AS epoch, place % 3 AS band, pos // 8 AS y, pos % 8 AS x,
          greatest(0.0, least(1.0, 0.5 + 0.8 * CAST(v AS DOUBLE))) AS v
-  FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings
-        WHERE vec_id < (SELECT (max(vec_id) + 1) // 6 * 6 FROM embeddings)))
+  FROM (SELECT place, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM (
+          SELECT vec_id AS place, embedding FROM embeddings UNION ALL
+          SELECT vec_id + n, embedding FROM embeddings, (SELECT max(vec_id) + 1 AS n FROM embeddings)
+          WHERE vec_id + n < (n + 5) // 6 * 6)))
 """
 PAIR_PX = BAND_PX + ", pair_px AS (SELECT scene, y, x, " + ", ".join(
     f"max(CASE WHEN epoch = {e} AND band = {b} THEN v END) AS {name}" for name, e, b in PAIR_ROLES

@@ -64,7 +64,8 @@ def tile_id(scene: Column, x: Column, y: Column) -> Column:
 
 
 def region_id(analysis: Column, number: Column) -> Column:
-    return F.concat(analysis, F.lit("_reg_"), F.lpad(number.cast("string"), 2, "0"))
+    digits = number.cast("string")
+    return F.concat(analysis, F.lit("_reg_"), F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits))
 
 
 def normalize_platform(raw: Column) -> Column:

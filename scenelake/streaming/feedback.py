@@ -1,8 +1,9 @@
 """Analyst feedback as a stream.
 
 Sinks write one folder per micro-batch and replace it on a retry, so a batch
-that runs twice after a lost executor leaves the log unchanged. Current state
-is a view over the log.
+that runs twice after a lost executor leaves the log unchanged. Every decision
+is logged, however late it arrives; repeats are told by their id when the log
+is read. Current state is a view over the log.
 """
 
 from __future__ import annotations
@@ -17,26 +18,18 @@ def _log_batch(batch: DataFrame, batch_id: int, path: str) -> None:
     batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def run_feedback_log(feedback: DataFrame, path: str, checkpoint: str, event_time: str = "ts",
-                     delay: str = "1 hour", unique: tuple[str, ...] = ("alert_id", "ts")) -> StreamingQuery:
-    """Deduplicate a feedback stream within the watermark and log the latest decision per alert and batch."""
-    rows = feedback.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(unique))
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        _log_batch(latest_feedback(batch, "alert_id", [event_time, "event_id"]), batch_id, path)
-
-    return (rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+def run_feedback_log(feedback: DataFrame, path: str, checkpoint: str, unique: tuple[str, ...] = ("event_id",)
+                     ) -> StreamingQuery:
+    """Log every decision of a feedback stream, once per batch."""
+    return (feedback.writeStream.foreachBatch(lambda b, i: _log_batch(b.dropDuplicates(list(unique)), i, path))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def current_status(spark: SparkSession, path: str, event_time: str = "ts") -> DataFrame:
-    """Latest decision and number of decisions per alert over all logged batches."""
-    log = spark.read.parquet(path)
-    fields = [c for c in log.columns if c not in ("alert_id", "n_decisions", "batch")]
-    latest = log.groupBy("alert_id").agg(
-        F.max_by(F.struct(*fields), F.struct(event_time, "event_id")).alias("_f"),
-        F.sum("n_decisions").alias("n_decisions"))
-    return latest.select("alert_id", *[F.col("_f")[c].alias(c) for c in fields], "n_decisions")
+def current_status(spark: SparkSession, path: str, event_time: str = "ts", unique: tuple[str, ...] = ("event_id",)
+                   ) -> DataFrame:
+    """Latest decision and number of distinct decisions per alert over all logged batches."""
+    log = spark.read.parquet(path).drop("batch").dropDuplicates(list(unique))
+    return latest_feedback(log, "alert_id", [event_time, "event_id"])
 
 
 def run_retrain_trigger(labels: DataFrame, path: str, checkpoint: str, key: str, threshold: int = 20
