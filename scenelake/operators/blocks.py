@@ -41,14 +41,20 @@ def bitemporal_join(before: DataFrame, after: DataFrame, keys: Sequence[str], ba
 def unroll(blocks: DataFrame, keys: Sequence[str], arrays: Sequence[str], width: str = "width") -> DataFrame:
     """One row per pixel: keys, y, x and one column per array. No shuffle.
 
+    Positions are those of the scene where the table has block numbers that are not among the keys.
+
     The outer form keeps the optimizer from adding a non-empty test that would
     evaluate derived arrays a second time below the generator.
     """
     zipped = F.arrays_zip(*[F.col(a) for a in arrays])
-    flat = blocks.select(*keys, F.col(width).cast("int").alias("_stride"), F.posexplode_outer(zipped).alias("_pos", "_px"))
+    placed = {"block_row", "block_col", "block_size"} <= set(blocks.columns) - set(keys)
+    top, left = [F.col(c) * F.col("block_size") if placed else F.lit(0) for c in ("block_row", "block_col")]
+    flat = blocks.select(*keys, F.col(width).cast("int").alias("_stride"), top.alias("_top"), left.alias("_left"),
+                         F.posexplode_outer(zipped).alias("_pos", "_px"))
     flat = flat.where(F.col("_pos").isNotNull())
     return flat.select(
-        *keys, F.expr("_pos div _stride").cast("int").alias("y"), (F.col("_pos") % F.col("_stride")).cast("int").alias("x"),
+        *keys, (F.col("_top") + F.expr("_pos div _stride")).cast("int").alias("y"),
+        (F.col("_left") + F.col("_pos") % F.col("_stride")).cast("int").alias("x"),
         *[F.col("_px")[a].alias(a) for a in arrays])
 
 

@@ -1,8 +1,9 @@
 """Co-registration of two dates.
 
-A pair is one row holding both blocks, so the shift is found where the row
+A scene of one row holds both dates, so the shift is found where the row
 lives: an Arrow-batched function returns one small struct per row and nothing
-is grouped or moved. Applying the shift stays in the JVM.
+is grouped or moved. A scene of many blocks gets one shift from its overview,
+and pixels are moved by their position in the scene, across block borders.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from scenelake.operators.blocks import roll, warp_bilinear
+from scenelake.operators.blocks import roll, roll_up, unroll, warp_bilinear
+from scenelake.operators.scenes import is_blocked, scene_shift
 
 MAX_SHIFT = 6
 
@@ -109,12 +111,75 @@ def luminance(bands: Sequence[str]) -> Column:
     return F.transform(F.arrays_zip(*bands), lambda p: sum(p[b] for b in bands) / float(len(bands)))
 
 
-def coregister(pairs: DataFrame, bands: Sequence[str]) -> DataFrame:
-    """Roll the later bands ``b2`` by the whole-pixel shift, into ``b2a``; large shifts are left alone."""
-    shift = phase_shift(luminance([f"{b}1" for b in bands]), luminance([f"{b}2" for b in bands]), F.col("width"))
+def _with_shift(pairs: DataFrame, keys: Sequence[str], before: Column, after: Column, find) -> DataFrame:
+    """Add ``shift`` of the row, or of the scene of several blocks."""
+    if is_blocked(pairs):
+        return pairs.join(scene_shift(pairs, keys, before, after, find), list(keys))
+    return pairs.withColumn("shift", find(before, after, F.col("width")))
+
+
+def _move_by_position(pairs: DataFrame, keys: Sequence[str], bands: Sequence[str], wrap: bool) -> DataFrame:
+    """Later bands of blocked scenes read from shifted positions, into ``b2a``.
+
+    With ``wrap`` whole pixels move circularly; otherwise values are
+    interpolated between the four source pixels and edges repeat. Every pixel
+    writes to the at most four places that read it, with its weight; blocks are
+    put together again by their numbers.
+    """
+    size = pairs.groupBy(*keys).agg(
+        F.max(F.col("block_row") * F.col("block_size") + (F.size(f"{bands[0]}2") / F.col("width")).cast("int")).alias("_h"),
+        F.max(F.col("block_col") * F.col("block_size") + F.col("width")).alias("_w"))
+    moving = pairs.where("is_moved").join(size, list(keys))
+    carried = ["_h", "_w", "_dy", "_dx", "_size"]
+    px = unroll(moving.withColumns({"_dy": F.col("shift.dy"), "_dx": F.col("shift.dx"), "_size": F.col("block_size")}),
+                [*keys, *carried], [f"{b}2" for b in bands])
+    if wrap:
+        one = F.array(F.struct(F.pmod(F.col("y") + F.col("_dy"), "_h").cast("int").alias("y"),
+                               F.pmod(F.col("x") + F.col("_dx"), "_w").cast("int").alias("x"), F.lit(1.0).alias("weight")))
+    else:
+        def targets(pos: str, shift: str, extent: str, name: str) -> Column:
+            """Places whose source lies within one pixel of this one, with their weights along an axis."""
+            near = F.sequence(F.greatest(F.lit(0), F.floor(F.col(pos) + F.col(shift)).cast("int") - 1),
+                              F.least(F.col(extent) - 1, F.ceil(F.col(pos) + F.col(shift)).cast("int") + 1))
+            last = F.col(extent) - 1
+            # Edge pixels also serve every place that looks beyond the edge.
+            span = (F.when(F.col(pos) == 0, F.sequence(F.lit(0), F.least(last, F.greatest(F.lit(0), F.ceil(F.col(shift)).cast("int") + 1))))
+                    .when(F.col(pos) == last, F.sequence(F.greatest(F.lit(0), F.least(last, F.floor(last + F.col(shift)).cast("int") - 1)), last))
+                    .otherwise(F.when(F.greatest(F.lit(0), F.floor(F.col(pos) + F.col(shift)).cast("int") - 1)
+                                      <= F.least(last, F.ceil(F.col(pos) + F.col(shift)).cast("int") + 1), near)
+                               .otherwise(F.array().cast("array<int>"))))
+
+            def weight(place: Column) -> Column:
+                source = F.greatest(F.lit(0.0), F.least(last.cast("double"), place - F.col(shift)))
+                return F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(source - F.col(pos)))
+
+            return F.filter(F.transform(span, lambda p: F.struct(p.alias(name), weight(p).alias("weight"))),
+                            lambda t: t["weight"] > 0)
+
+        ys, xs = targets("y", "_dy", "_h", "y"), targets("x", "_dx", "_w", "x")
+        one = F.flatten(F.transform(ys, lambda a: F.transform(xs, lambda b: F.struct(
+            a["y"].alias("y"), b["x"].alias("x"), (a["weight"] * b["weight"]).alias("weight")))))
+    written = px.select(*keys, "_size", *[f"{b}2" for b in bands], F.explode(one).alias("_t"))
+    summed = written.groupBy(*keys, "_size", F.col("_t.y").alias("y"), F.col("_t.x").alias("x")).agg(
+        *[F.sum(F.col(f"{b}2") * F.col("_t.weight")).alias(f"{b}2a") for b in bands])
+    placed = summed.withColumn("block_row", F.expr("y div _size").cast("int")).withColumn(
+        "block_col", F.expr("x div _size").cast("int"))
+    blocks = roll_up(placed, [*keys, "block_row", "block_col"], [f"{b}2a" for b in bands]).drop("width")
+    joined = pairs.join(blocks, [*keys, "block_row", "block_col"], "left")
+    return joined.withColumns({f"{b}2a": F.coalesce(f"{b}2a", F.col(f"{b}2").cast("array<double>")) for b in bands})
+
+
+def coregister(pairs: DataFrame, bands: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Roll the later bands ``b2`` by the whole-pixel shift, into ``b2a``; large shifts are left alone.
+
+    ``keys`` name the scene where it has several blocks.
+    """
+    before, after = luminance([f"{b}1" for b in bands]), luminance([f"{b}2" for b in bands])
     dy, dx = F.col("shift.dy"), F.col("shift.dx")
     moved = (F.abs(dy) < MAX_SHIFT) & (F.abs(dx) < MAX_SHIFT) & ((dy != 0) | (dx != 0))
-    out = pairs.withColumn("shift", shift).withColumn("is_moved", moved)
+    out = _with_shift(pairs, keys, before, after, phase_shift).withColumn("is_moved", moved)
+    if is_blocked(pairs):
+        return _move_by_position(out, keys, bands, wrap=True)
     for b in bands:
         out = out.withColumn(f"{b}2a", F.when(F.col("is_moved"), roll(F.col(f"{b}2"), F.col("width"), dy, dx))
                              .otherwise(F.col(f"{b}2")))
@@ -126,16 +191,18 @@ def coregister_ncc(pairs: DataFrame, before: str, after: str) -> DataFrame:
     return pairs.withColumn("shift", correlation_shift(before, after, F.col("width")))
 
 
-def coregister_sub(pairs: DataFrame, bands: Sequence[str], estimate: bool = True) -> DataFrame:
+def coregister_sub(pairs: DataFrame, bands: Sequence[str], estimate: bool = True, keys: Sequence[str] = ()) -> DataFrame:
     """Sub-pixel shift of the first band; warps every later band into ``b2a`` when 0.2 < |shift| < 10."""
     first = bands[0]
     if estimate:
-        shift = subpixel_shift(f"{first}1", f"{first}2", "width")
+        out = _with_shift(pairs, keys, F.col(f"{first}1"), F.col(f"{first}2"), subpixel_shift)
     else:
-        shift = F.struct(F.lit(0.0).alias("dy"), F.lit(0.0).alias("dx"), F.lit(1.0).alias("confidence"))
+        out = pairs.withColumn("shift", F.struct(F.lit(0.0).alias("dy"), F.lit(0.0).alias("dx"), F.lit(1.0).alias("confidence")))
     dy, dx = F.col("shift.dy"), F.col("shift.dx")
     size = F.hypot(dx, dy)
-    out = pairs.withColumn("shift", shift).withColumn("is_moved", (size > 0.2) & (size < 10.0))
+    out = out.withColumn("is_moved", (size > 0.2) & (size < 10.0))
+    if is_blocked(pairs):
+        return _move_by_position(out, keys, bands, wrap=False)
     for b in bands:
         warped = warp_bilinear(F.col(f"{b}2"), F.col("width"), dy, dx)
         out = out.withColumn(f"{b}2a", F.when(F.col("is_moved"), warped).otherwise(F.col(f"{b}2")))

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from scenelake.functions.mathx import clip, or_missing
 from scenelake.functions.qa import decode_mixed
 from scenelake.lookups import MORPHOLOGY_CLASSES, TYPE_CLASSES
+from scenelake.operators import radiometry, registration, timeline
 from scenelake.operators.blocks import unroll
+from scenelake.operators.scenes import BLOCK, is_blocked, scene_values
 
 WEIGHTS = {"model": 0.40, "qa": 0.20, "sar": 0.15, "seasonal": 0.15, "registration": 0.10}
 MASK_THRESHOLD = 0.55
@@ -46,20 +48,47 @@ def qa_encoding(pixels: DataFrame, keys: Sequence[str], mask: str) -> DataFrame:
          & (F.bool_or(m.isin(4, 6, 7)) | (F.bool_or(m == 5) & F.bool_or(m.isin(8, 9, 10))))).alias("is_scl"))
 
 
-def raw_change_prob(pairs: DataFrame, bands: Sequence[str], after: str = "2") -> DataFrame:
-    """Add ``prob``: mean absolute band difference scaled by the block's maximum."""
+def raw_change_prob(pairs: DataFrame, bands: Sequence[str], after: str = "2", keys: Sequence[str] = ()) -> DataFrame:
+    """Add ``prob``: mean absolute band difference scaled by the scene's maximum.
+
+    ``keys`` name the scene where it has several blocks.
+    """
     zipped = F.arrays_zip(*[f"{b}1" for b in bands], *[f"{b}{after}" for b in bands])
     diff = F.transform(zipped, lambda p: sum(F.abs(p[f"{b}{after}"] - p[f"{b}1"]) for b in bands) / float(len(bands)))
     top = F.col("_top")
     scaled = F.transform("_diff", lambda d: F.when(top > 1e-4, clip(d / top, 0.0, 1.0)).otherwise(F.lit(0.0)))
-    return (pairs.withColumn("_diff", diff).withColumn("_top", F.array_max("_diff")).withColumn("prob", scaled)
-            .drop("_diff", "_top"))
+    rows = scene_values(pairs.withColumn("_diff", diff), keys, {"_top": (F.array_max("_diff"), F.max)})
+    return rows.withColumn("prob", scaled).drop("_diff", "_top")
+
+
+def _sar_change(sar1: Column, sar2: Column) -> Column:
+    return F.aggregate(F.zip_with(sar1, sar2, lambda a, b: F.abs(b - a)), F.lit(0.0), lambda acc, v: acc + v)
 
 
 def sar_agreement(sar1: Column, sar2: Column, threshold: float = 0.20) -> Column:
     """Mean absolute backscatter change relative to the threshold; NULL when a date has none."""
-    total = F.aggregate(F.zip_with(sar1, sar2, lambda a, b: F.abs(b - a)), F.lit(0.0), lambda acc, v: acc + v)
-    return clip(total / F.size(sar1) / F.lit(threshold + 1e-6), 0.0, 1.0)
+    return clip(_sar_change(sar1, sar2) / F.size(sar1) / F.lit(threshold + 1e-6), 0.0, 1.0)
+
+
+def _scene_sar(pairs: DataFrame, keys: Sequence[str], sar1: Column, sar2: Column, threshold: float = 0.20) -> DataFrame:
+    """Adds sar_agreement and sar_fused of the whole scene."""
+    both = sar1.isNotNull() & sar2.isNotNull()
+    rows = scene_values(pairs, keys, {"_change": (_sar_change(sar1, sar2), F.sum),
+                                      "_count": (F.when(both, F.size(sar1)), F.sum), "sar_fused": (both, F.bool_and)})
+    mean = clip(F.try_divide("_change", "_count") / F.lit(threshold + 1e-6), 0.0, 1.0)
+    return rows.withColumn("sar_agreement", F.when(F.col("sar_fused"), mean)).drop("_change", "_count")
+
+
+def _scene_encoding(pairs: DataFrame, keys: Sequence[str], mask: str, out: str) -> DataFrame:
+    """Adds ``out``: the test of ``looks_like_scl`` on the mask of the whole scene."""
+    m = F.col(mask)
+    has = lambda *classes: F.arrays_overlap(m, F.array(*[F.lit(c) for c in classes]))
+    rows = scene_values(pairs, keys, {
+        "_max": (F.array_max(m), F.max), "_min": (F.array_min(m), F.min), "_land": (has(4, 6, 7), F.bool_or),
+        "_bare": (has(5), F.bool_or), "_cloud": (has(8, 9, 10), F.bool_or)})
+    test = ((F.col("_max") <= 11) & (F.col("_min") >= 0) & (F.col("_min") != F.col("_max"))
+            & (F.col("_land") | (F.col("_bare") & F.col("_cloud"))))
+    return rows.withColumn(out, test).drop("_max", "_min", "_land", "_bare", "_cloud")
 
 
 def _orelse(df: DataFrame, name: str, default) -> Column:
@@ -77,13 +106,17 @@ def suppress(pairs: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -
     masks = [n for n in ("1", "2") if f"qa{n}" in pairs.columns]
     arrays = ["prob", *[f"qa{n}" for n in masks]]
     encodings = [f"scl{n}" for n in masks]
+    place = list(BLOCK) if is_blocked(pairs) else []
+    pairs = _scene_sar(pairs, keys, sar1, sar2)
+    for n in masks:
+        pairs = _scene_encoding(pairs, keys, f"qa{n}", f"scl{n}")
     row = pairs.select(
-        *keys, *carry, "width", *arrays, *[looks_like_scl(F.col(f"qa{n}")).alias(f"scl{n}") for n in masks],
+        *keys, *carry, *place, "width", *arrays, *encodings,
         _orelse(pairs, "offset_mag", F.lit(0.0)).alias("offset_mag"),
         _orelse(pairs, "view_ok", F.lit(True)).alias("view_ok"),
         _orelse(pairs, "seasonal_delta", F.lit(0.02)).alias("seasonal_delta"),
         _orelse(pairs, "reg_conf", F.lit(1.0)).alias("reg_conf"),
-        sar_agreement(sar1, sar2).alias("sar_agreement"), (sar1.isNotNull() & sar2.isNotNull()).alias("sar_fused"))
+        "sar_agreement", "sar_fused")
     factor = (F.when(F.col("offset_mag") > 2.5, 0.5).otherwise(1.0)
               * F.when(~F.col("view_ok") & ~F.col("sar_fused"), 0.2).otherwise(1.0)
               * F.when(F.abs("seasonal_delta") < 0.05, 0.8).otherwise(1.0)
@@ -135,6 +168,56 @@ def semantics_from_scores(n_masked: Column, morph_scores: Column, type_scores: C
     return kind, morph
 
 
+def detect_change(pairs: DataFrame, keys: Sequence[str], bands: Sequence[str] = ("r", "g", "b"),
+                  model=None) -> tuple[DataFrame, DataFrame]:
+    """(pixels, events) of a pair table, end to end.
+
+    Registers the later bands to the earlier ones (one sub-pixel shift per
+    scene), checks viewing angles, aligns radiometry, scores, suppresses false
+    alarms and classifies. Pair columns: bands ``b1``/``b2``, ``width``, and
+    optionally qa1/qa2, sar1/sar2, view1/incidence1/view2/incidence2,
+    seasonal_delta (0.02), morph_scores/type_scores, block numbers.
+
+    ``model`` may add ``prob`` (an array like the bands), ``morph_scores`` and
+    ``type_scores`` to the aligned pair table, whose later bands are ``ba``;
+    without it the scaled band difference is the probability.
+    """
+    keys = list(keys)
+    rows = registration.coregister_sub(pairs, bands, keys=keys)
+    angles = [_orelse(rows, c, F.lit(None).cast("double")) for c in ("view1", "incidence1", "view2", "incidence2")]
+    rows = rows.withColumns({
+        "offset_dy": F.col("shift.dy"), "offset_dx": F.col("shift.dx"), "reg_conf": F.col("shift.confidence"),
+        "offset_mag": F.hypot("shift.dx", "shift.dy"), "view_ok": view_angle(*angles)[0]})
+    rows = radiometry.radiometric_align(rows, keys, [(f"{b}1", f"{b}2a", f"{b}a") for b in bands])
+    rows = model(rows) if model else raw_change_prob(rows, bands, after="a", keys=keys)
+    scores = [c for c in ("morph_scores", "type_scores") if c in rows.columns]
+    carry = ["offset_dy", "offset_dx", *scores]
+    pixels = suppress(rows, keys, carry)
+    events = event_metrics(pixels, keys, carry)
+    empty = F.lit(None).cast("array<double>")
+    kind, morph = semantics_from_scores(F.col("n_masked"), *[_orelse(events, c, empty) for c in ("morph_scores", "type_scores")])
+    return pixels, events.withColumns({"change_type": kind, "change_morphology": morph, "stages": stages(F.col("sar_fused"))})
+
+
+def detect_change_over_stack(acquisitions: DataFrame, site: str, ts: str, bands: Sequence[str] = ("r", "g", "b"),
+                             model=None, min_confidence: float = 0.70, min_coverage: float = 0.75
+                             ) -> tuple[DataFrame, DataFrame]:
+    """(evidence, result): every acquisition of a site compared with the next one.
+
+    ``acquisitions``: one row per site and date with one array per band,
+    ``width``, and optionally qa, sar, view and incidence. ``evidence`` has one
+    row per pair, ``result`` the earliest supported date per site.
+    """
+    own = [c for c in (*bands, "qa", "sar", "view", "incidence") if c in acquisitions.columns]
+    paired = timeline.scene_pairs(acquisitions, site, ts, own)
+    pairs = paired.select(site, ts, F.col(f"next.{ts}").alias("_later"), "width",
+                          *[F.col(c).alias(f"{c}1") for c in own], *[F.col(f"next.{c}").alias(f"{c}2") for c in own])
+    _, events = detect_change(pairs, [site, ts, "_later"], bands, model)
+    scored = events.select(site, ts, F.struct(F.col("_later").alias(ts), "confidence", "qa_coverage").alias("next"))
+    evidence = timeline.date_confidence(scored, site, ts, min_confidence, min_coverage)
+    return evidence, timeline.earliest_supported(acquisitions, evidence, site)
+
+
 def assemble(events: DataFrame, model_name: str = "difference-map", model_version: str = "1.0.0",
              weights_sha256: str = "0" * 64, code_sha: str = "unversioned") -> DataFrame:
     """Nested event records: STAC feature, provenance and debug metrics.

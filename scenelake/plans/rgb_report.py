@@ -29,7 +29,7 @@ def change_pixels(pairs: DataFrame, keys: Sequence[str], threshold: float = 0.22
     ``after`` are date texts used by the phenology filter.
     """
     if register:
-        pairs = coregister(pairs, BANDS)
+        pairs = coregister(pairs, BANDS, keys)
     else:
         for b in BANDS:
             pairs = pairs.withColumn(f"{b}2a", F.col(f"{b}2"))
