@@ -140,11 +140,24 @@ def _(s, sf):
     return classified(s, sf)
 
 
+# The whole detection in one call, unregistered; every fifth scene is seen from too different an angle.
+PLAIN_META = "0.0 AS offset_mag, scene % 5 <> 4 AS view_ok, 0.02 AS seasonal_delta, 1.0 AS reg_conf"
+
+
 @check("change_event", "scene:l n_masked:l change_type:s change_morphology:s confidence:6 qa_coverage:6 stages:s", """
 SELECT *, CASE WHEN sar_agreement IS NULL THEN 'qa,registration,seasonal,confidence' ELSE 'qa,registration,seasonal,sar,confidence' END AS stages
-FROM ev_conf JOIN (SELECT scene, change_type, change_morphology FROM sem) USING (scene)""", SEM + "")
+FROM ev_conf JOIN (SELECT scene, change_type, change_morphology FROM sem) USING (scene)""", SEM.replace(META, PLAIN_META))
+def _(s, sf):
+    rows = event_pairs(s, sf).select("scene", "width", *[f"{b}{n}" for n in (1, 2) for b in "rgb"], "qa1", "qa2", "sar1", "sar2",
+                                     ((F.col("scene") % 5) * 5.0).alias("view1"), F.lit(2.0).alias("incidence2"))
+    _, events = ce.detect_change(rows.join(table_scores(s, sf), "scene", "left"), ["scene"], register=False)
+    return events.withColumn("stages", F.array_join("stages", ","))
+
+
+@check("change_event_registered", "scene:l dy:2 dx:2 registration_confidence:4 n_masked:l confidence:4")
 def _(s, sf):
-    return classified(s, sf).withColumn("stages", F.array_join(ce.stages(F.col("sar_fused")), ","))
+    _, events = ce.detect_change(event_pairs(s, sf).drop("offset_mag", "view_ok", "seasonal_delta", "reg_conf"), ["scene"])
+    return events.withColumns({"dy": F.col("offset_dy"), "dx": F.col("offset_dx")})
 
 
 def assembled(s, sf):
@@ -212,15 +225,33 @@ def _(s, sf):
     return timeline.earliest_supported(v.acquisitions(s, sf), evidence, "site")
 
 
-# Scenes of one site in order of their number: the stack's pairs are change events.
-@check("change_stack", "site:l earliest_scene:l n_pairs:l", """
-SELECT scene % 7 AS site, min(CASE WHEN confidence >= 0.45 AND qa_coverage >= 0.2 THEN scene END) AS earliest_scene, count(*) AS n_pairs
-FROM ev_conf GROUP BY 1""", EVENT)
+# Stacks of pictures: consecutive ones are compared, with the default limits of support.
+STACK = (EVENT.replace(v.PAIR_PX, v.STACK_PX).replace(META, PLAIN_META.replace("scene % 5 <> 4", "true"))
+         .replace("b2 * 0.4 AS s2", "g2 * 0.4 AS s2").replace("scene % 3 <> 0", "scene % 3 <> 0 AND (scene + 8) % 3 <> 0"))
+
+
+@check("change_stack", "site:l earliest:t n_pairs:l", """
+SELECT n.site, min(CASE WHEN confidence >= 0.70 AND qa_coverage >= 0.75 THEN TIMESTAMP '2024-01-01' + to_days(CAST(e.scene + 8 AS INTEGER)) END) AS earliest,
+       count(e.scene) AS n_pairs
+FROM (SELECT DISTINCT scene % 8 AS site FROM pic) n LEFT JOIN ev_conf e ON e.scene % 8 = n.site GROUP BY n.site""", STACK)
+def _(s, sf):
+    return _stack(s, sf)[1].withColumnRenamed("earliest_supported_date", "earliest")
+
+
+def _stack(s, sf):
+    rows = v.picture_stack(s, sf)
+    parity = F.col("picture") % 2 == 1
+    bits = lambda x: F.when(F.floor(x * 997.0) % 8 == 0, 3).when(F.floor(x * 997.0) % 8 == 1, 33).otherwise(1)
+    rows = rows.withColumn("qa", F.transform("r", lambda x: F.when(parity, (F.floor(x * 997.0) % 12).cast("int")).otherwise(bits(x))))
+    rows = rows.withColumn("sar", F.when(F.col("picture") % 3 != 0, F.transform("g", lambda x: x * 0.4)))
+    return ce.detect_change_over_stack(rows, "site", "ts", register=False)
+
+
+@check("change_stack_evidence", "site:l t1:t t2:t confidence:6 qa_coverage:6", """
+SELECT scene % 8 AS site, TIMESTAMP '2024-01-01' + to_days(CAST(scene AS INTEGER)) AS t1, TIMESTAMP '2024-01-01' + to_days(CAST(scene + 8 AS INTEGER)) AS t2,
+       confidence, qa_coverage FROM ev_conf""", STACK)
 def _(s, sf):
-    ev = metrics(s, sf).withColumn("site", F.col("scene") % 7)
-    valid = evaluation.between(F.col("confidence"), 0.45, 1.0) & (F.col("qa_coverage") >= 0.2)
-    evidence = ev.select("site", F.col("scene").alias("t2_date"), valid.alias("is_valid_change"))
-    return timeline.earliest_supported(ev, evidence, "site").withColumnRenamed("earliest_supported_date", "earliest_scene")
+    return _stack(s, sf)[0].withColumnsRenamed({"t1_date": "t1", "t2_date": "t2"})
 
 
 @check("seasonal_zscore", "site:l event_id:l z:6 is_anomaly:b", """

@@ -25,7 +25,7 @@ def band_blocks(spark, sf) -> DataFrame:
     e = e.withColumn("n", e.agg(F.max("vec_id") + 1).scalar()).withColumn("place", F.explode(places))
     values = F.transform("embedding", lambda v: clip(F.lit(0.5) + F.lit(0.8) * v.cast("double"), 0.0, 1.0))
     return e.select(F.expr("place div 6").alias("scene"), F.expr("(place div 3) % 2").alias("epoch"),
-                    (F.col("place") % 3).alias("band"), values.alias("values"))
+                    (F.col("place") % 3).alias("band"), F.expr("place div 3").alias("picture"), values.alias("values"))
 
 
 def pairs(spark, sf) -> DataFrame:
@@ -33,6 +33,14 @@ def pairs(spark, sf) -> DataFrame:
     return widen(band_blocks(spark, sf), ["scene"], roles).withColumn("width", F.lit(SCENE_WIDTH))
 
 
+def picture_stack(spark, sf) -> DataFrame:
+    """Every picture (three bands) as one acquisition; eight sites take turns, one picture a day."""
+    roles = {b: F.col("band") == i for i, b in enumerate("rgb")}
+    rows = widen(band_blocks(spark, sf), ["picture"], roles).withColumn("width", F.lit(SCENE_WIDTH))
+    return rows.withColumn("site", F.col("picture") % 8).withColumn(
+        "ts", F.timestamp_add("DAY", F.col("picture").cast("int"), F.lit("2024-01-01").cast("timestamp")))
+
+
 def epoch_blocks(spark, sf, epoch: int) -> DataFrame:
     """Blocks of one date with arrays r, g, b."""
     roles = {b: F.col("band") == i for i, b in enumerate("rgb")}
@@ -53,6 +61,13 @@ PAIR_PX = BAND_PX + ", pair_px AS (SELECT scene, y, x, " + ", ".join(
     f"max(CASE WHEN epoch = {e} AND band = {b} THEN v END) AS {name}" for name, e, b in PAIR_ROLES
 ) + " FROM band_px GROUP BY scene, y, x)"
 
+# Consecutive pictures of a site as pairs, named by the first one.
+STACK_PX = BAND_PX + """, pair_px AS (
+  SELECT a.scene, a.y, a.x, a.r AS r1, a.g AS g1, a.b AS b1, b.r AS r2, b.g AS g2, b.b AS b2
+  FROM pic a JOIN pic b ON b.scene = a.scene + 8 AND a.y = b.y AND a.x = b.x)""".replace("pair_px", """pic AS (
+  SELECT scene * 2 + epoch AS scene, y, x, max(CASE WHEN band = 0 THEN v END) AS r, max(CASE WHEN band = 1 THEN v END) AS g,
+         max(CASE WHEN band = 2 THEN v END) AS b FROM band_px GROUP BY ALL), pair_px""", 1)
+
 # --- Flat pixels: one row per line item. ---
 
 

@@ -169,11 +169,11 @@ def semantics_from_scores(n_masked: Column, morph_scores: Column, type_scores: C
 
 
 def detect_change(pairs: DataFrame, keys: Sequence[str], bands: Sequence[str] = ("r", "g", "b"),
-                  model=None) -> tuple[DataFrame, DataFrame]:
+                  model=None, register: bool = True) -> tuple[DataFrame, DataFrame]:
     """(pixels, events) of a pair table, end to end.
 
     Registers the later bands to the earlier ones (one sub-pixel shift per
-    scene), checks viewing angles, aligns radiometry, scores, suppresses false
+    scene; not with ``register=False``), checks viewing angles, aligns radiometry, scores, suppresses false
     alarms and classifies. Pair columns: bands ``b1``/``b2``, ``width``, and
     optionally qa1/qa2, sar1/sar2, view1/incidence1/view2/incidence2,
     seasonal_delta (0.02), morph_scores/type_scores, block numbers.
@@ -183,7 +183,7 @@ def detect_change(pairs: DataFrame, keys: Sequence[str], bands: Sequence[str] =
     without it the scaled band difference is the probability.
     """
     keys = list(keys)
-    rows = registration.coregister_sub(pairs, bands, keys=keys)
+    rows = registration.coregister_sub(pairs, bands, register, keys)
     angles = [_orelse(rows, c, F.lit(None).cast("double")) for c in ("view1", "incidence1", "view2", "incidence2")]
     rows = rows.withColumns({
         "offset_dy": F.col("shift.dy"), "offset_dx": F.col("shift.dx"), "reg_conf": F.col("shift.confidence"),
@@ -200,8 +200,8 @@ def detect_change(pairs: DataFrame, keys: Sequence[str], bands: Sequence[str] =
 
 
 def detect_change_over_stack(acquisitions: DataFrame, site: str, ts: str, bands: Sequence[str] = ("r", "g", "b"),
-                             model=None, min_confidence: float = 0.70, min_coverage: float = 0.75
-                             ) -> tuple[DataFrame, DataFrame]:
+                             model=None, register: bool = True, min_confidence: float = 0.70,
+                             min_coverage: float = 0.75) -> tuple[DataFrame, DataFrame]:
     """(evidence, result): every acquisition of a site compared with the next one.
 
     ``acquisitions``: one row per site and date with one array per band,
@@ -212,7 +212,7 @@ def detect_change_over_stack(acquisitions: DataFrame, site: str, ts: str, bands:
     paired = timeline.scene_pairs(acquisitions, site, ts, own)
     pairs = paired.select(site, ts, F.col(f"next.{ts}").alias("_later"), "width",
                           *[F.col(c).alias(f"{c}1") for c in own], *[F.col(f"next.{c}").alias(f"{c}2") for c in own])
-    _, events = detect_change(pairs, [site, ts, "_later"], bands, model)
+    _, events = detect_change(pairs, [site, ts, "_later"], bands, model, register)
     scored = events.select(site, ts, F.struct(F.col("_later").alias(ts), "confidence", "qa_coverage").alias("next"))
     evidence = timeline.date_confidence(scored, site, ts, min_confidence, min_coverage)
     return evidence, timeline.earliest_supported(acquisitions, evidence, site)
