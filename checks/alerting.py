@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import views as v
-from checks.registry import check
+from checks.registry import check, half_even
 from scenelake.functions import labels, mathx
 from scenelake.operators import clusters, evaluation as ev, feedback as fb
 from scenelake.plans import rgb_report as rgb
@@ -192,7 +192,7 @@ TYPE_CASE = ("CASE category WHEN 'flood' THEN 'Flood / Water-Body Inundation' WH
              "WHEN 'solar' THEN 'Solar Array / Industrial Facility' ELSE 'New Construction / Urban Expansion' END")
 LOG_SQL = f"""
 SELECT 'analysis_' || scene AS analysis_id, 's' || scene || '_0' AS tile_id_t1, 's' || scene || '_1' AS tile_id_t2, {TYPE_CASE} AS change_type,
-       floor(confidence * 100.0 + 0.5) / 100.0 AS confidence, area_ha AS affected_area_ha, area_sq_m AS affected_area_sq_m FROM rep"""
+       {half_even('confidence', 2)} AS confidence, area_ha AS affected_area_ha, area_sq_m AS affected_area_sq_m FROM rep"""
 
 
 @check("detection_log", "analysis_id:s tile_id_t1:s tile_id_t2:s change_type:s confidence:2 affected_area_ha:2 affected_area_sq_m:2", LOG_SQL, REP)
@@ -305,7 +305,7 @@ def _(s, sf):
 
 
 @check("per_class_accuracy", "cls:l accuracy:4 f1:4 macro_f1:4", f"""
-SELECT cls, (tp + tn) / (tp + fp + fn + tn) AS accuracy, f1, avg(floor(f1 * 1e4 + 0.5) / 1e4) OVER () AS macro_f1 FROM ({METRICS + COUNTS.format(keys='cls,', group='GROUP BY cls')})""", v.PAIR_LABEL)
+SELECT cls, (tp + tn) / (tp + fp + fn + tn) AS accuracy, f1, avg({half_even('f1', 4)}) OVER () AS macro_f1 FROM ({METRICS + COUNTS.format(keys='cls,', group='GROUP BY cls')})""", v.PAIR_LABEL)
 def _(s, sf):
     return ev.per_class_accuracy(v.pair_labels(s, sf), "cls", F.col("pred"), F.col("truth"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import views as v
-from checks.registry import check
+from checks.registry import check, half_even
 from scenelake.functions import qa, spectral
 from scenelake.lookups import QA_BITS, REPORT_CATEGORIES
 from scenelake.operators import radiometry
@@ -236,8 +236,8 @@ def _(s, sf):
 
 SUMMARY = """
 SELECT scene, count(*) AS n_pixels, count_if(changed) AS n_changed,
-  floor(count_if(changed) / count(*) * 100.0 * 100.0 + 0.5) / 100.0 AS change_ratio_pct,
-  floor(count_if(changed) * 0.01 * 100.0 + 0.5) / 100.0 AS area_ha, floor(count_if(changed) * 100.0 * 100.0 + 0.5) / 100.0 AS area_sq_m,
+  """ + half_even('count_if(changed) / count(*) * 100.0', 2) + """ AS change_ratio_pct,
+  """ + half_even('count_if(changed) * 0.01::DOUBLE', 2) + """ AS area_ha, """ + half_even('count_if(changed) * 100.0', 2) + """ AS area_sq_m,
   coalesce(avg(CASE WHEN changed THEN delta_veg END), 0.0) AS mean_delta_veg,
   coalesce(avg(CASE WHEN changed THEN delta_water END), 0.0) AS mean_delta_water,
   coalesce(avg(CASE WHEN changed THEN brightness2 END), 0.0) AS mean_brightness2,

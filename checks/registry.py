@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scenelake.functions.mathx import round_to
+from scenelake.functions.mathx import round_half_up
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +27,7 @@ def _spark_column(name: str, kind: str):
         return c.cast("boolean").alias(name)
     if kind == "t":
         return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(name)
-    return round_to(c.cast("double"), int(kind)).alias(name)
+    return round_half_up(c.cast("double"), int(kind)).alias(name)
 
 
 def _sql_column(name: str, kind: str) -> str:
@@ -43,6 +43,15 @@ def _sql_column(name: str, kind: str) -> str:
     return f'floor(CAST("{name}" AS DOUBLE) * {scale} + 0.5) / {scale} AS "{name}"'
 
 
+def half_even(value: str, digits: int) -> str:
+    """SQL of ``round_to``: the exact value to the nearest decimal, ties to even."""
+    s = f"1e{digits}::DOUBLE"
+    high = "(v * 134217729.0::DOUBLE - (v * 134217729.0::DOUBLE - v))"
+    over = f"(({high} * {s} - (floor(v * {s}) + 0.5::DOUBLE)) + (v - {high}) * {s})"
+    return (f"list_transform([CAST({value} AS DOUBLE)], lambda v: (CASE WHEN {over} > 0 OR ({over} = 0 AND floor(v * {s}) % 2 <> 0) "
+            f"THEN floor(v * {s}) + 1 ELSE floor(v * {s}) END) / {s})[1]")
+
+
 def check(name: str, spec: str, sql: str | None = None, ctes: str = ""):
     """Register a query; ``ctes`` are common table expressions put before ``sql``."""
     columns = [part.split(":") for part in spec.split()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import views as v
-from checks.registry import check
+from checks.registry import check, half_even
 from scenelake.functions import labels, mathx, text
 from scenelake.lookups import (INDEXED_AREAS, KEYWORD_SLOTS, METADATA_ALIASES, PLACE_PREPOSITIONS, PLACE_STOPWORDS,
                                PLATFORM_ALIASES, PROVIDERS, TAXONOMY, UNINDEXED_PLACES)
@@ -212,7 +212,7 @@ def _(s, sf):
 
 
 @check("relevance_pct", "query_id:l tile_id:s pct:1",
-       "SELECT query_id, tile_id, greatest(0.0, least(100.0, (score + 1.0) / 2.0 * 100.0)) AS pct FROM top", TOPK)
+       f"SELECT query_id, tile_id, {half_even('greatest(0.0, least(100.0, (score + 1.0) / 2.0 * 100.0))', 1)} AS pct FROM top", TOPK)
 def _(s, sf):
     return _hits(s, sf).withColumn("pct", labels.relevance_pct(F.col("score")))
 
@@ -230,15 +230,15 @@ def _(s, sf):
     return vectors.vector_topk(early, late)
 
 
-RANKED = TOPK + "," + PARSED + """,
-jo AS (SELECT t.query_id, t.tile_id, t.vec_rank, floor(greatest(0.0, least(100.0, (score + 1.0) / 2.0 * 100.0)) * 10.0 + 0.5) / 10.0 AS vector_score, q.aoi AS q_aoi,
+RANKED = TOPK + "," + PARSED + f""",
+jo AS (SELECT t.query_id, t.tile_id, t.vec_rank, {half_even('greatest(0.0, least(100.0, (score + 1.0) / 2.0 * 100.0))', 1)} AS vector_score, q.aoi AS q_aoi,
          CASE WHEN primary_types IS NULL THEN 0 ELSE len(list_intersect(change_types, primary_types)) END AS overlap, len(change_types) AS nt,
          CASE WHEN len(years) = 0 THEN 80.0 WHEN list_contains(years, coalesce(year, 2026)) THEN 100.0 ELSE 60.0 END AS temporal, category, description
        FROM top t JOIN parsed q ON t.query_id = q.query_id LEFT JOIN tile_profile p ON t.tile_id = p.tile_id
        WHERE q.is_supported AND (q.aoi IS NULL OR p.aoi = q.aoi)),
 fin AS (SELECT *, CASE WHEN nt = 0 THEN 75.0 WHEN overlap > 0 THEN 95.0 + overlap * 2.5 ELSE 35.0 END AS semantic FROM jo),
-rel AS (SELECT *, floor(greatest(45.0, least(99.4, CASE WHEN q_aoi IS NOT NULL THEN vector_score * 0.25::DOUBLE + semantic * 0.50::DOUBLE + 100.0::DOUBLE * 0.15::DOUBLE + temporal * 0.10::DOUBLE
-         ELSE vector_score * 0.45::DOUBLE + semantic * 0.40::DOUBLE + temporal * 0.15::DOUBLE END)) * 10.0::DOUBLE + 0.5) / 10.0 AS relevance FROM fin),
+rel AS (SELECT *, {half_even("""greatest(45.0, least(99.4, CASE WHEN q_aoi IS NOT NULL THEN vector_score * 0.25::DOUBLE + semantic * 0.50::DOUBLE + 100.0::DOUBLE * 0.15::DOUBLE + temporal * 0.10::DOUBLE
+         ELSE vector_score * 0.45::DOUBLE + semantic * 0.40::DOUBLE + temporal * 0.15::DOUBLE END))""", 1)} AS relevance FROM fin),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, vec_rank) AS rank FROM rel)"""
 
 

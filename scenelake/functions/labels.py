@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from scenelake.functions.mathx import clip, round_to
+from scenelake.functions.mathx import clip, round_half_up, round_to
 
 
 def confidence_tier(score: Column) -> Column:
     """HIGH / MEDIUM / LOW; scores above 1 are percentages already."""
-    pct = F.when(score > 1.0, round_to(score, 0)).otherwise(round_to(score * 100.0, 0))
+    pct = F.when(score > 1.0, round_half_up(score, 0)).otherwise(round_half_up(score * 100.0, 0))
     return F.when(pct < 70, "LOW").when(pct < 85, "MEDIUM").otherwise("HIGH")
 
 

@@ -19,12 +19,31 @@ def safe_ratio(num: Column, den: Column, default: float = 0.0) -> Column:
     return F.when(den != 0, num / den).otherwise(F.lit(default))
 
 
-def round_to(x: Column, digits: int) -> Column:
-    """Round half up on the binary value, the same in every SQL engine."""
+def round_half_up(x: Column, digits: int) -> Column:
+    """Round half up on the product with the power of ten, the same in every SQL engine."""
     scale = float(10 ** digits)
     return F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
 
 
+def round_to(x: Column, digits: int) -> Column:
+    """Round the exact binary value to ``digits`` decimals, ties to even (up to six decimals).
+
+    The product with the power of ten may itself round onto a tie, so the
+    distance to the middle is taken from the two halves of the factor, whose
+    products are exact.
+    """
+    scale = F.lit(float(10 ** digits))
+
+    def rounded(v: Column) -> Column:
+        below = F.floor(v * scale).cast("double")
+        high = v * 134217729.0 - (v * 134217729.0 - v)
+        over = (high * scale - (below + 0.5)) + (v - high) * scale
+        up = (over > 0) | ((over == 0) & (below % 2 != 0))
+        return F.when(up, below + 1.0).otherwise(below) / scale
+
+    return F.transform(F.array(x.cast("double")), rounded)[0]
+
+
 def l2_norm(values: Column) -> Column:
     """Euclidean length of an array of numbers."""
     return F.sqrt(F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double")))

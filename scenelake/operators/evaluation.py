@@ -33,9 +33,9 @@ def per_class_accuracy(df: DataFrame, cls: str, pred: Column, truth: Column) ->
     """Accuracy and F1 per class, with the macro F1 on every row."""
     per = seg_metrics(df, pred, truth, [cls])
     total = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
-    per = per.select(cls, round_to((F.col("tp") + F.col("tn")) / total, 4).alias("accuracy"), "f1")
+    per = per.withColumn("share", (F.col("tp") + F.col("tn")) / total).select(cls, round_to(F.col("share"), 4).alias("accuracy"), "f1")
     macro = per.agg(F.avg("f1").alias("macro_f1")).scalar()
-    return per.withColumn("macro_f1", round_to(macro, 4))
+    return per.withColumn("macro", macro).withColumn("macro_f1", round_to(F.col("macro"), 4)).drop("macro")
 
 
 def class_weights(df: DataFrame, cls: str, num_classes: int = 5) -> DataFrame:
