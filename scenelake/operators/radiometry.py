@@ -25,12 +25,15 @@ def tile_stats(pixels: DataFrame, keys: Sequence[str], values: Sequence[str]) ->
     every = F.explode(F.array(*[F.col(v) for v in values])).alias("v")
     counts = pixels.select(*keys, every).groupBy(*keys, "v").agg(F.count("*").alias("c"))
     total = F.sum("c")
-    mean = F.sum(F.col("v") * F.col("c")) / total
-    spread = F.sum(F.col("v") * F.col("v") * F.col("c")) / total - mean * mean
-    return counts.groupBy(*keys).agg(
-        total.alias("n"), F.sqrt(F.greatest(F.lit(0.0), spread)).alias("std"),
+    whole = counts.groupBy(*keys).agg(
+        total.alias("n"), (F.sum(F.col("v") * F.col("c")) / total).alias("_mean"),
         F.min("v").alias("v_min"), F.max("v").alias("v_max"),
         (F.min_by("c", "v") / total).alias("share_min"), (F.max_by("c", "v") / total).alias("share_max"))
+    # Squares of deviations: squares of the values would cancel where the mean is large.
+    away = F.col("v") - F.col("_mean")
+    spread = counts.join(whole.select(*keys, "_mean"), list(keys)).groupBy(*keys).agg(
+        F.sqrt(F.sum(away * away * F.col("c")) / total).alias("std"))
+    return whole.join(spread, list(keys)).select(*keys, "n", "std", "v_min", "v_max", "share_min", "share_max")
 
 
 def is_valid_tile(std: Column, v_max: Column, share_min: Column, share_max: Column, min_std: float = 4.0,

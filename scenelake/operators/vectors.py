@@ -197,23 +197,22 @@ def vector_topk_ann(points: DataFrame, queries: DataFrame, k: int = 10, tables:
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _accumulate(codes: pd.Series) -> pd.Series:
-    """Sum token weights into one unit vector per text; a text without words is the first axis.
+    """Sum token weights into one unit vector per text, a whole batch at once; a text without words is the first axis.
 
     A code holds the token's hash and, above it, its keyword slot plus one.
     """
-    out = []
-    for tokens in codes:
-        code = np.asarray(tokens, dtype=np.int64)
-        if not code.size:
-            out.append(np.eye(1, EMBEDDING_DIM)[0])
-            continue
-        h, slot = code % EMBEDDING_DIM, code // EMBEDDING_DIM
-        vec = np.bincount(h, minlength=EMBEDDING_DIM) + 0.5 * np.bincount((h * 3 + 7) % EMBEDDING_DIM, minlength=EMBEDDING_DIM)
-        s = (slot[slot > 0] - 1) * SLOT_WIDTH
-        for i, weight in enumerate(KEYWORD_WEIGHTS):
-            vec = vec + weight * np.bincount((s + i) % EMBEDDING_DIM, minlength=EMBEDDING_DIM)
-        out.append(vec / np.linalg.norm(vec))
-    return pd.Series(out)
+    n = len(codes)
+    sizes = np.fromiter(map(len, codes), np.int64, n)
+    code = np.concatenate([np.asarray(c, dtype=np.int64) for c in codes]) if n else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(n), sizes) * EMBEDDING_DIM
+    h, slot = code % EMBEDDING_DIM, code // EMBEDDING_DIM
+    named = slot > 0
+    start = (slot[named] - 1) * SLOT_WIDTH
+    at = [row + h, row + (h * 3 + 7) % EMBEDDING_DIM] + [row[named] + (start + i) % EMBEDDING_DIM for i in range(len(KEYWORD_WEIGHTS))]
+    weights = np.repeat([1.0, 0.5, *KEYWORD_WEIGHTS], [len(a) for a in at])
+    total = np.bincount(np.concatenate(at), weights, minlength=n * EMBEDDING_DIM).reshape(n, EMBEDDING_DIM)
+    total[sizes == 0, 0] = 1.0
+    return pd.Series(list(total / np.linalg.norm(total, axis=1, keepdims=True)))
 
 
 def text_embed(text: Column) -> Column:
@@ -240,22 +239,31 @@ def image_embed(blocks: DataFrame, key: str, height: Column, bands: Sequence[str
         first, *rest = [(F.col(pos) >= F.floor(F.col(size) * i / 4.0)).cast("int") for i in (1, 2, 3)]
         return first + rest[0] + rest[1]
 
-    sums = [agg for b in bands for agg in (F.sum(b).alias(f"s_{b}"), F.sum(F.col(b) * F.col(b)).alias(f"q_{b}"))]
+    moments = [agg for b in bands for agg in (F.avg(b).alias(f"m_{b}"), F.var_pop(b).alias(f"v_{b}"))]
     cells = px.groupBy(key, (cell("y", "_h") * 4 + cell("x", "_w")).alias("cell")).agg(
-        F.count("*").alias("n"), F.greatest(*[F.max(b) for b in bands]).alias("top"), *sums)
-    count = F.col("n") * len(bands)
-    mean = sum(F.col(f"s_{b}") for b in bands) / count
-    spread = sum(F.col(f"q_{b}") for b in bands) / count - mean * mean
-    cells = cells.withColumn("m", mean).withColumn("d", F.sqrt(F.greatest(F.lit(0.0), spread)))
+        F.count("*").alias("n"), F.greatest(*[F.max(b) for b in bands]).alias("top"), *moments)
+    mean = sum(F.col(f"m_{b}") for b in bands) / len(bands)
+    spread = sum(F.col(f"v_{b}") + (F.col(f"m_{b}") - mean) * (F.col(f"m_{b}") - mean) for b in bands) / len(bands)
+    cells = cells.withColumn("m", mean).withColumn("d", F.sqrt(spread))
+    # At most 16 cells; images below four pixels a side leave some out.
     tile = cells.groupBy(key).agg(
-        F.sum("n").alias("n"), F.max("top").alias("top"), F.sum(F.col("m") * F.col("m") + F.col("d") * F.col("d")).alias("energy"),
-        *[F.sum(f"{p}_{b}").alias(f"{p}_{b}") for p in ("s", "q") for b in bands],
-        F.array_sort(F.collect_list(F.struct("cell", "m", "d"))).alias("cells"))
+        F.max("top").alias("top"), F.sum(F.col("m") * F.col("m") + F.col("d") * F.col("d")).alias("energy"), F.sum("n").alias("n"),
+        F.collect_list(F.struct("cell", "n", "m", "d", *[f"{p}_{b}" for p in ("m", "v") for b in bands])).alias("cells"))
     tile = tile.withColumn("scale", F.when(F.col("top") > 1.0, 1.0 / 255.0).otherwise(1.0))
-    for b in bands:
-        tile = tile.withColumn(f"m_{b}", F.col(f"s_{b}") / F.col("n") * F.col("scale"))
-    std = {b: F.sqrt(F.greatest(F.lit(0.0), F.col(f"q_{b}") / F.col("n") * F.col("scale") * F.col("scale")
-                                - F.col(f"m_{b}") * F.col(f"m_{b}"))) for b in bands}
+
+    def over_cells(value) -> Column:
+        return F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + c["n"] * value(c)) / F.col("n")
+
+    def band_mean(b: str) -> Column:
+        return over_cells(lambda c: c[f"m_{b}"])
+
+    def band_std(b: str) -> Column:
+        away = lambda c: c[f"m_{b}"] - F.col(f"raw_{b}")
+        return F.sqrt(over_cells(lambda c: c[f"v_{b}"] + away(c) * away(c))) * F.col("scale")
+
+    tile = tile.withColumns({f"raw_{b}": band_mean(b) for b in bands})
+    tile = tile.withColumns({f"m_{b}": F.col(f"raw_{b}") * F.col("scale") for b in bands})
+    std = {b: band_std(b) for b in bands}
     r, g, b = (F.col(f"m_{x}") for x in bands)
     tile = tile.select(
         key, "cells", "scale", "energy", ((g - r) / (g + r + 1e-6)).alias("veg"),
@@ -276,7 +284,13 @@ def image_embed(blocks: DataFrame, key: str, height: Column, bands: Sequence[str
 
     # Segments in slot order: zeros, single rule slots, and the texture grid.
     unit = F.col("norm")
-    texture = F.flatten(F.transform("cells", lambda c: F.array(c["m"] * F.col("scale") / unit, c["d"] * F.col("scale") / unit)))
+    places = F.map_from_entries(F.transform("cells", lambda c: F.struct(c["cell"].alias("k"), F.struct(c["m"].alias("m"), c["d"].alias("d")).alias("v"))))
+    tile = tile.withColumn("places", places)
+
+    def shade(i: Column, part: str) -> Column:
+        return F.coalesce(F.try_element_at("places", i)[part], F.lit(0.0)) * F.col("scale") / unit
+
+    texture = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.array(shade(i, "m"), shade(i, "d"))))
     segments, at = [], 0
     for slot, part, width in sorted([(slot, F.array(rules[n] / unit), 1) for slot, n in placed]
                                     + [(TEXTURE_START, texture, 32)], key=lambda t: t[0]):

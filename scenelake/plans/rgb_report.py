@@ -59,10 +59,10 @@ def change_summary(pixels: DataFrame, keys: Sequence[str], gsd: float = 10.0) ->
     def masked(name: str) -> Column:
         return F.coalesce(F.avg(F.when(hit, F.col(name))), F.lit(0.0)).alias(f"mean_{name}")
 
-    pooled = (F.col("r2") + F.col("g2") + F.col("b2")) / 3.0
-    squares = (F.col("r2") * F.col("r2") + F.col("g2") * F.col("g2") + F.col("b2") * F.col("b2")) / 3.0
-    mean = F.avg(F.when(hit, pooled))
-    std = F.sqrt(F.greatest(F.lit(0.0), F.avg(F.when(hit, squares)) - mean * mean))
+    # Spread of all bands together: within the bands, and of their means.
+    means = [F.avg(F.when(hit, F.col(f"{b}2"))) for b in BANDS]
+    mean = sum(means) / 3.0
+    std = F.sqrt(sum(F.var_pop(F.when(hit, F.col(f"{b}2"))) + (m - mean) * (m - mean) for b, m in zip(BANDS, means)) / 3.0)
     signal = F.avg(F.when(hit, F.col("distance")))
     noise = F.avg(F.when(~hit, F.col("distance"))) + 1e-6
     conf = clip(sigmoid((signal / noise - 1.5) * 0.8), 0.72, 0.96)
