@@ -112,8 +112,10 @@ def histogram_match(source: DataFrame, reference: DataFrame, keys: Sequence[str]
     keys = list(keys)
     bucket = F.least(F.lit(buckets - 1), F.floor(F.col("q") * buckets).cast("int")).alias("_b")
     point = F.struct(F.col("q"), F.col(value).alias("v"))
-    src = grouped_cdf(source, keys, value).select(*keys, value, "q", bucket)
-    ref = grouped_cdf(reference, keys, value).select(*keys, value, "q", bucket)
+    sides = source.select(*keys, value, F.lit(True).alias("_source")).unionByName(
+        reference.select(*keys, value, F.lit(False).alias("_source")))
+    curves = grouped_cdf(sides, [*keys, "_source"], value).select(*keys, value, "q", bucket, "_source")
+    src, ref = curves.where("_source").drop("_source"), curves.where(~F.col("_source")).drop("_source")
     merged = (src.select(*keys, "_b", "q", value, F.lit(None).cast("struct<q:double,v:double>").alias("_r"))
               .unionByName(ref.select(*keys, "_b", "q", F.lit(None).cast("double").alias(value), point.alias("_r"))))
     totals = merged.groupBy(*keys, "_b").agg(F.min("_r").alias("_first"), F.max("_r").alias("_last"))

@@ -12,8 +12,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from scenelake.session import checkpoint
+
 BUCKETS = 1024
 BUCKET_ROWS = 512
+# Rows ordered together in one task, and how often ranges are cut to get there.
+ORDERED_ROWS = 100_000
+MAX_LEVELS = 6
 
 
 def _value_bucket(value: Column, lo: Column, hi: Column, size: Column, buckets: int) -> Column:
@@ -23,41 +28,46 @@ def _value_bucket(value: Column, lo: Column, hi: Column, size: Column, buckets:
     return F.when(hi > lo, F.least(count - 1, F.floor(share * count))).otherwise(F.lit(0)).cast("int")
 
 
+def _is_open(rows: Column, lo: Column, hi: Column) -> Column:
+    return (rows > ORDERED_ROWS) & (lo < hi)
+
+
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                      names: Sequence[str], levels: int = 1, buckets: int = BUCKETS) -> DataFrame:
+                      names: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
     """Exact linearly interpolated quantiles per group.
 
-    Each level narrows every wanted rank to one of ``buckets`` value ranges, so
-    ``levels`` rounds leave about 1/buckets^levels of a group for the exact step.
+    Each level narrows every wanted rank to one of ``buckets`` value ranges of
+    the range before. One level is enough unless outliers leave most of a group
+    in one range; ranges are then cut again, between their own smallest and
+    largest values, until at most ``ORDERED_ROWS`` rows are ordered together.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     rows = rows.withColumn("_path", F.lit(0).cast("bigint"))
-    sizes = rows.groupBy(*keys, "_path").agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    bounds = rows.groupBy(*keys, "_path").agg(F.count("*").alias("_size"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     wanted = F.array(*[F.struct(F.lit(i).alias("p"), F.lit(side).alias("side"),
-                                (F.floor if side == "lo" else F.ceil)(F.lit(float(p)) * (F.col("_n") - 1))
+                                (F.floor if side == "lo" else F.ceil)(F.lit(float(p)) * (F.col("_size") - 1))
                                 .cast("bigint").alias("rank"))
                        for i, p in enumerate(probs) for side in ("lo", "hi")])
-    targets = (sizes.select(*keys, "_n", F.explode(wanted).alias("t"))
+    targets = (bounds.select(*keys, F.col("_size").alias("_n"), F.explode(wanted).alias("t"))
                .select(*keys, "_n", F.col("t.p").alias("_p"), F.col("t.side").alias("_side"),
                        F.col("t.rank").alias("_rank"), F.lit(0).cast("bigint").alias("_path")))
-    for level in range(levels):
-        bounds = sizes.withColumnRenamed("_n", "_size")
-        if level:
-            bounds = rows.groupBy(*keys, "_path").agg(F.count("*").alias("_size"), F.min("_v").alias("_lo"),
-                                                      F.max("_v").alias("_hi"))
+    for level in range(MAX_LEVELS):
         bucket = _value_bucket(F.col("_v"), F.col("_lo"), F.col("_hi"), F.col("_size"), buckets)
         rows = (rows.join(bounds, [*keys, "_path"])
                 .select(*keys, "_v", "_path", (F.col("_path") * buckets + bucket).alias("_next")))
-        hist = rows.groupBy(*keys, "_path", "_next").agg(F.count("*").alias("_c"))
+        hist = rows.groupBy(*keys, "_path", "_next").agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         ordered = W.partitionBy(*keys, "_path").orderBy("_next")
         hist = hist.withColumn("_start", F.sum("_c").over(ordered) - F.col("_c"))
         inside = (F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_c"))
-        targets = (targets.join(hist, [*keys, "_path"]).where(inside)
-                   .select(*keys, "_n", "_p", "_side", (F.col("_rank") - F.col("_start")).alias("_rank"),
-                           F.col("_next").alias("_path")))
+        found = targets.join(hist, [*keys, "_path"]).where(inside)
+        targets = found.select(*keys, "_n", "_p", "_side", (F.col("_rank") - F.col("_start")).alias("_rank"), F.col("_next").alias("_path"))
+        bounds = found.select(*keys, F.col("_next").alias("_path"), F.col("_c").alias("_size"), "_lo", "_hi").distinct()
         rows = (rows.select(*keys, "_v", F.col("_next").alias("_path"))
-                .join(targets.select(*keys, "_path").distinct(), [*keys, "_path"], "left_semi"))
+                .join(bounds.select(*keys, "_path"), [*keys, "_path"], "left_semi"))
+        if not bounds.where(_is_open(F.col("_size"), F.col("_lo"), F.col("_hi"))).limit(1).count():
+            break
+        rows, targets, bounds = checkpoint(rows), checkpoint(targets), checkpoint(bounds)  # else plans would nest
     counts = rows.groupBy(*keys, "_path", "_v").agg(F.count("*").alias("_c"))
     ordered = W.partitionBy(*keys, "_path").orderBy("_v")
     counts = counts.withColumn("_start", F.sum("_c").over(ordered) - F.col("_c"))
@@ -75,17 +85,21 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
 def grouped_cdf(df: DataFrame, keys: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
     """Per group and distinct value: count and the share of values up to it (``q``)."""
     keys = list(keys)
-    counts = (df.groupBy(*keys, F.col(value).cast("double").alias(value)).agg(F.count("*").alias("n")))
-    bounds = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-                                       F.sum("n").alias("_total"), F.count("*").alias("_size"))
-    bucket = _value_bucket(F.col(value), F.col("_lo"), F.col("_hi"), F.col("_size"), buckets)
-    counts = counts.join(bounds, keys).withColumn("_b", bucket)
-    hist = counts.groupBy(*keys, "_b").agg(F.sum("n").alias("_c"))
-    ordered = W.partitionBy(*keys).orderBy("_b")
-    hist = hist.select(*keys, "_b", (F.sum("_c").over(ordered) - F.col("_c")).alias("_start"))
-    inner = W.partitionBy(*keys, "_b").orderBy(value)
-    running = F.sum("n").over(inner)
-    return (counts.withColumn("_run", running).join(hist, [*keys, "_b"])
+    counts = (df.groupBy(*keys, F.col(value).cast("double").alias(value)).agg(F.count("*").alias("n"))
+              .withColumn("_path", F.lit(0).cast("bigint")))
+    for level in range(MAX_LEVELS):
+        bounds = counts.groupBy(*keys, "_path").agg(
+            F.count("*").alias("_size"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+        if not bounds.where(_is_open(F.col("_size"), F.col("_lo"), F.col("_hi"))).limit(1).count():
+            break
+        bucket = _value_bucket(F.col(value), F.col("_lo"), F.col("_hi"), F.col("_size"), buckets)
+        counts = checkpoint(counts.join(bounds, [*keys, "_path"]).select(
+            *keys, value, "n", (F.col("_path") * buckets + bucket).alias("_path")))
+    hist = counts.groupBy(*keys, "_path").agg(F.sum("n").alias("_c"))
+    ordered, whole = W.partitionBy(*keys).orderBy("_path"), W.partitionBy(*keys)
+    hist = hist.select(*keys, "_path", (F.sum("_c").over(ordered) - F.col("_c")).alias("_start"), F.sum("_c").over(whole).alias("_total"))
+    running = F.sum("n").over(W.partitionBy(*keys, "_path").orderBy(value))
+    return (counts.withColumn("_run", running).join(hist, [*keys, "_path"])
             .select(*keys, value, "n", ((F.col("_start") + F.col("_run")) / F.col("_total")).alias("q")))
 
 

@@ -42,13 +42,14 @@ def test_components_of_a_chain_a_star_and_islands(spark):
     assert {r.node: r.component for r in got.collect()} == groups(edges, nodes)
 
 
-@pytest.mark.parametrize("levels,buckets", [(1, 1024), (3, 4), (0, 8)])
-def test_quantiles_of_a_hot_group(spark, levels, buckets, monkeypatch):
+@pytest.mark.parametrize("most,buckets", [(100_000, 1024), (400, 8)])
+def test_quantiles_of_a_hot_group(spark, most, buckets, monkeypatch):
     monkeypatch.setattr(ranks, "BUCKET_ROWS", 10)
+    monkeypatch.setattr(ranks, "ORDERED_ROWS", most)
     rng = np.random.default_rng(2)
     data = [("hot", float(x)) for x in np.round(rng.lognormal(size=500), 3)] + [("hot", 0.0)] * 300 + [("flat", 3.0)] * 5 + [("one", 1.5)]
     df = spark.createDataFrame(data, "k string, v double")
-    got = {r.k: (r.a, r.b) for r in grouped_quantiles(df, ["k"], "v", [0.02, 0.98], ["a", "b"], levels=levels, buckets=buckets).collect()}
+    got = {r.k: (r.a, r.b) for r in grouped_quantiles(df, ["k"], "v", [0.02, 0.98], ["a", "b"], buckets=buckets).collect()}
     for k in ("hot", "flat", "one"):
         want = np.percentile([x for g, x in data if g == k], [2, 98])
         assert got[k] == pytest.approx(tuple(want))
@@ -219,3 +220,18 @@ def test_tile_grid_in_sql(spark):
     got = {(r.tile_x, r.tile_y, r.x_end, r.y_end) for r in spark.sql("SELECT g.* FROM scenes, LATERAL tile_grid(height, width, 256) g").collect()}
     want = {(r.tile_x, r.tile_y, r.x_end, r.y_end) for r in nb.tile_grid(scenes, filter_edges=False).collect()}
     assert got == want and len(got) == 6
+
+
+def test_order_statistics_survive_outliers(spark, monkeypatch):
+    """One value of 1e9 must not leave its group in one range."""
+    from scenelake.operators import ranks
+    monkeypatch.setattr(ranks, "ORDERED_ROWS", 3000)
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.random(20_000), [1e9, -1e9]])
+    frame = spark.createDataFrame([(1, float(v)) for v in values] + [(2, 5.0)] * 2000, "k int, v double").repartition(8)
+    got = {r["k"]: (r["a"], r["b"]) for r in ranks.grouped_quantiles(frame, ["k"], "v", [0.02, 0.98], ["a", "b"]).collect()}
+    assert np.allclose(got[1], np.quantile(values, [0.02, 0.98])) and got[2] == (5.0, 5.0)
+    cdf = ranks.grouped_cdf(frame, ["k"], "v")
+    found = {r["v"]: r["q"] for r in cdf.where("k = 1").collect()}
+    for share, v in enumerate(np.sort(values), 1):
+        assert abs(found[float(v)] - share / len(values)) < 1e-12
