@@ -504,6 +504,8 @@ def _(s, sf):
 
 @check("fit_change_threshold", "tp:l fp:l fn:l tn:l precision:4 recall:4 f1:4")
 def _(s, sf):
-    px = suppressed(s, sf).select("scene", "prob", (F.col("prob") > 0.4).alias("truth"))
+    # Labels come from the other pipeline: what the RGB report calls changed.
+    truth = _changes(s, sf).select("scene", "y", "x", F.col("changed").alias("truth"))
+    px = suppressed(s, sf).select("scene", "y", "x", "prob").join(truth, ["scene", "y", "x"])
     _, scored_px = evaluation.fit_change_threshold(px, "prob", "truth")
     return evaluation.seg_metrics(scored_px, F.col("pred"), F.col("truth"))

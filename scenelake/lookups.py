@@ -138,13 +138,3 @@ REPORT_CATEGORIES = {
 
 MORPHOLOGY_CLASSES = ["appearance", "disappearance", "expansion", "contraction", "none"]
 TYPE_CLASSES = ["construction", "clearance", "water_extent", "road", "unknown"]
-# RGB report type -> change event vocabulary.
-REPORT_TO_EVENT_TYPE = {
-    "New Construction / Urban Expansion": "construction",
-    "Flood / Water-Body Inundation": "water_extent",
-    "Deforestation / Vegetation Loss": "clearance",
-    "Solar Array / Industrial Facility": "construction",
-    "General Spectral Anomaly": "unknown",
-}
-SUPPRESSION_STAGES = ["qa", "registration", "seasonal", "sar", "confidence"]
-REJECTION_REASONS = ["Cloud / shadow", "Seasonal variation", "Sensor difference", "False detection", "Other"]

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scenelake.operators.components import salted_lookup
 
+# Unmatched ids (short texts) that may be broadcast.
+IDS_BROADCAST = 100_000
+
 
 def alerts_by_status(alerts: DataFrame, status: str | None = None, short_pending: bool = False) -> DataFrame:
     """Alerts of a status; everything for none or ALL. ``short_pending`` reads PENDING as PENDING REVIEW."""
@@ -52,12 +55,17 @@ def match_feedback(feedback: DataFrame, alerts: DataFrame, key: str = "alert_id"
              .where(F.col("_len") <= F.length("alert_id"))
              .select("alert_id", F.explode(F.expr(
                  "transform(sequence(1, length(alert_id) - _len + 1), i -> substring(alert_id, i, _len))")).alias("_part")))
+    # Only substrings that some unmatched id equals are shuffled.
+    few = rest.count() <= IDS_BROADCAST
+    asked = rest.withColumnRenamed(key, "_part")
+    parts = parts.join(F.broadcast(asked) if few else asked, "_part", "left_semi")
     contained = (parts.groupBy("_part").agg(F.min("alert_id").alias("_contains"))
                  .withColumnRenamed("_part", key))
     resolved = (found.join(contained, key, "left")
                 .select(key, F.coalesce("matched_id", "_contains").alias("matched_id")))
-    return salted_lookup(feedback.withColumn("_row", F.monotonically_increasing_id()), resolved, key, "_row"
-                         ).drop("_row")
+    # The salt comes from the row itself, so a recomputed stage deals it to the same copy.
+    own = F.xxhash64(*feedback.columns)
+    return salted_lookup(feedback.withColumn("_row", own), resolved, key, "_row").drop("_row")
 
 
 def latest_feedback(feedback: DataFrame, key: str, order: list[str]) -> DataFrame:

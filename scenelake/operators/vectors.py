@@ -20,8 +20,9 @@ from scenelake.functions.text import sha256_bucket, uuid5_dns, words
 from scenelake.lookups import EMBEDDING_DIM, KEYWORD_SLOTS, KEYWORD_WEIGHTS, SLOT_WIDTH
 from scenelake.operators.blocks import unroll
 
-# Query sets up to this many numbers (rows x dimension) travel as one broadcast matrix.
-MAX_BROADCAST_VALUES = 4_000_000
+# Numbers (rows x dimension) of one block of queries, and scores a task holds at a time.
+BLOCK_VALUES = 1_000_000
+SCORE_CELLS = 2_000_000
 POINT_BLOCK = 20_000
 QUERY_BLOCK = 2_000
 # Vector index where the 4 x 4 texture grid of an image embedding starts.
@@ -63,6 +64,12 @@ def _dense(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _hit_schema_of(points: DataFrame, label) -> T.StructType:
+    kind = T.StringType() if isinstance(label, str) else T.LongType()
+    return T.StructType([T.StructField("query_id", kind), T.StructField("tile_id", points.schema["tile_id"].dataType),
+                         T.StructField("score", T.DoubleType())])
+
+
 def _hit_schema(points: DataFrame, queries: DataFrame) -> T.StructType:
     return T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),
@@ -74,30 +81,36 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("vec_rank", F.row_number().over(order)).where(F.col("vec_rank") <= k)
 
 
-def _scan_topk(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    rows = queries.select("query_id", "vector").collect()  # size checked by the caller
-    labels = [r["query_id"] for r in rows]
-    shared = points.sparkSession.sparkContext.broadcast(_unit(np.array([r["vector"] for r in rows], dtype=np.float64)))
-    schema = _hit_schema(points, queries)
+def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best rows of every query; equal scores prefer the smaller id."""
+    ordered = found.sort_values(["q", "score", "tile_id"], ascending=[True, False, True], kind="stable")
+    return ordered.groupby("q", sort=False).head(k)
+
+
+def _scan_topk(points: DataFrame, labels: list, vectors: np.ndarray, k: int) -> DataFrame:
+    """Hits of one bounded block of queries; the points stay where they are.
+
+    A task multiplies at most ``SCORE_CELLS`` scores at a time and keeps k rows per query.
+    """
+    shared = points.sparkSession.sparkContext.broadcast(_unit(vectors))
+    schema = _hit_schema_of(points, labels[0])
     arrow = to_arrow_schema(schema)
+    step = max(1, SCORE_CELLS // len(labels))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.array([]), np.array([], dtype=object)) for _ in labels]
+        best = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.array(batch.column(0).to_pylist(), dtype=object)
-            sims = np.round(_unit(_dense(batch.column(1))) @ shared.value.T, 9) + 0.0
-            for q in range(len(labels)):
-                top = _keep_best(sims[:, q], ids, k)
-                s, i = np.concatenate([best[q][0], sims[top, q]]), np.concatenate([best[q][1], ids[top]])
-                keep = _keep_best(s, i, k)
-                best[q] = (s[keep], i[keep])
-        frame = pd.DataFrame({
-            "query_id": [label for label, b in zip(labels, best) for _ in b[0]],
-            "tile_id": [i for b in best for i in b[1]], "score": [float(s) for b in best for s in b[0]]})
-        if len(frame):
-            yield from pa.Table.from_pandas(frame, schema=arrow, preserve_index=False).to_batches()
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                ids = np.array(part.column(0).to_pylist(), dtype=object)
+                sims = np.round(shared.value @ _unit(_dense(part.column(1))).T, 9) + 0.0
+                cut = -np.partition(-sims, k - 1, axis=1)[:, k - 1:k] if len(ids) > k else -np.inf
+                q, at = np.nonzero(sims >= cut)
+                new = pd.DataFrame({"q": q, "score": sims[q, at], "tile_id": ids[at]})
+                best = _best(new if best is None else pd.concat([best, new]), k)
+        if best is not None and len(best):
+            rows = pd.DataFrame({"query_id": [labels[i] for i in best["q"]], "tile_id": best["tile_id"], "score": best["score"]})
+            yield from pa.Table.from_pandas(rows, schema=arrow, preserve_index=False).to_batches()
 
     return points.select("tile_id", "embedding").mapInArrow(scan, schema)
 
@@ -140,21 +153,29 @@ def _block_topk(points: DataFrame, queries: DataFrame, k: int, point_block: int
     return p.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(score, _hit_schema(points, queries))
 
 
-def vector_topk(points: DataFrame, queries: DataFrame, k: int = 10,
-                max_broadcast_values: int = MAX_BROADCAST_VALUES) -> DataFrame:
+def vector_topk(points: DataFrame, queries: DataFrame, k: int = 10, block_values: int = BLOCK_VALUES) -> DataFrame:
     """Exact cosine top-k: points(tile_id, embedding), queries(query_id, vector).
 
-    A query set whose checked size is small is broadcast; a larger one is scored
-    against the points block by block.
+    Queries are streamed in blocks of at most ``block_values`` numbers; each is
+    broadcast to the points, which are never copied or moved.
     """
-    probe = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("d")).first()
-    if probe["n"] == 0:
-        return points.sparkSession.createDataFrame([], T.StructType(
-            _hit_schema(points, queries).fields + [T.StructField("vec_rank", T.IntegerType())]))
-    if probe["n"] * probe["d"] <= max_broadcast_values:
-        hits = _scan_topk(points, queries, k)
-    else:
-        hits = _block_topk(points.withColumn("bucket", F.lit(0)), queries.withColumn("bucket", F.lit(0)), k)
+    schema = _hit_schema(points, queries)
+    kind = queries.schema["query_id"].dataType
+    hits, labels, rows = None, [], []
+
+    def scanned():
+        found = _scan_topk(points, labels, np.array(rows, dtype=np.float64), k).withColumn("query_id", F.col("query_id").cast(kind))
+        return found if hits is None else hits.unionByName(found)
+
+    for label, vector in queries.select("query_id", "vector").toLocalIterator():
+        labels.append(label)
+        rows.append(vector)
+        if len(rows) * len(vector) >= block_values:
+            hits, labels, rows = scanned(), [], []
+    if rows:
+        hits = scanned()
+    if hits is None:
+        return points.sparkSession.createDataFrame([], T.StructType(schema.fields + [T.StructField("vec_rank", T.IntegerType())]))
     return _ranked(hits, k)
 
 

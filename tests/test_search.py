@@ -91,6 +91,13 @@ def test_image_embedding(spark):
     assert np.allclose(got, vec / np.linalg.norm(vec))
 
 
+@pytest.mark.parametrize("side", [1, 2, 3])
+def test_tiny_images_have_full_vectors(spark, side):
+    row = dict(tile="t", width=side, **{b: [0.5] * side * side for b in "rgb"})
+    got = vectors.image_embed(spark.createDataFrame([Row(**row)]), "tile", F.lit(side)).first().embedding
+    assert len(got) == 512 and np.isclose(np.linalg.norm(got), 1.0)
+
+
 @pytest.fixture(scope="module")
 def points(spark):
     rng = np.random.default_rng(11)
@@ -119,10 +126,12 @@ def collected(df):
     return out
 
 
-@pytest.mark.parametrize("limit", [10**6, 1])
-def test_topk_by_broadcast_and_by_blocks(points, limit):
+@pytest.mark.parametrize("values, cells", [(10**6, 10**6), (100, 60)])
+def test_topk_in_blocks_of_queries_and_scores(points, monkeypatch, values, cells):
     p, q, base, queries = points
-    assert collected(vectors.vector_topk(p, q, 7, max_broadcast_values=limit)) == brute(base, queries, 7)
+    monkeypatch.setattr(vectors, "SCORE_CELLS", cells)
+    assert collected(vectors.vector_topk(p, q, 7, block_values=values)) == brute(base, queries, 7)
+    assert vectors.vector_topk(p, q.limit(0), 7).count() == 0 == vectors.vector_topk(p.limit(0), q, 7).count()
 
 
 def test_blocks_split_hot_buckets(points):
