@@ -68,7 +68,7 @@ def _(s, sf):
 @check("alert_by_id", "alert_id:s type:s", "SELECT * FROM alert WHERE alert_id = (SELECT max(alert_id) FROM alert)", v.ALERT)
 def _(s, sf):
     a = v.alerts(s, sf)
-    return a.where(F.col("alert_id") == a.agg(F.max("alert_id").alias("m")).scalar()).limit(1)
+    return fb.alert_by_id(a, a.agg(F.max("alert_id").alias("m")).scalar())
 
 
 @check("alerts_text_filter", "alert_id:s", """

@@ -83,10 +83,7 @@ SELECT tile, avg(CAST(valid_data AS INTEGER)) AS valid, avg(CAST(cloud AS INTEGE
        avg(CAST(cloud_shadow AS INTEGER)) AS shadow, avg(CAST(usable AS INTEGER)) AS usable
 FROM (SELECT tile, {BITS_SQL} FROM pixel_flat) GROUP BY tile""", v.PIXEL_FLAT)
 def _(s, sf):
-    px = v.pixel_flat(s, sf).withColumns(qa.decode_bits(F.col("qa")))
-    share = lambda c: F.avg(F.col(c).cast("double"))
-    return px.groupBy("tile").agg(share("valid_data").alias("valid"), share("cloud").alias("cloud"),
-                                  share("cloud_shadow").alias("shadow"), share("usable").alias("usable"))
+    return v.pixel_flat(s, sf).withColumns(qa.decode_bits(F.col("qa"))).groupBy("tile").agg(*qa.qa_summary())
 
 
 # Tiles alternate between both encodings, so that the test has something to find.

@@ -269,6 +269,18 @@ def _(s, sf):
     return search.hybrid_rank(_hits(s, sf), good, v.tile_profiles(s, sf), 10).groupBy("query_id").agg(F.count("*").alias("n_hits"))
 
 
+@check("execute_search", "query_id:l coverage:s requested_location:s message:s n_aois:l n_results:l best:s", """
+SELECT p.query_id, CASE WHEN is_supported THEN 'AVAILABLE' ELSE 'UNAVAILABLE' END AS coverage,
+       CASE WHEN is_supported THEN coalesce(aoi_name, 'Indexed Catalogs') ELSE requested_location END AS requested_location,
+       CASE WHEN is_supported THEN 'Retrieved ' || coalesce(n, 0) || ' verified satellite observation scenes.'
+            ELSE 'Satellite imagery for \'\'' || requested_location || '\'\' is not currently available in the local indexed catalog.' END AS message,
+       3 AS n_aois, coalesce(n, 0) AS n_results, best
+FROM parsed p LEFT JOIN (SELECT query_id, count(*) AS n, arg_min(tile_id, rank) AS best FROM rk GROUP BY query_id) r ON p.query_id = r.query_id""".replace("\\'", "'"), RANKED)
+def _(s, sf):
+    found = search.respond(parsed(s, sf), _hits(s, sf), v.tile_profiles(s, sf))
+    return found.withColumns({"n_aois": F.size("available_aois"), "n_results": F.size("results"), "best": F.get("results", F.lit(0))["tile_id"]})
+
+
 # Conversation turns of users as text queries over the images of all scenes.
 @check("semantic_search", "query_id:s tile_id:s rank:l relevance:1")
 def _(s, sf):

