@@ -17,11 +17,11 @@ are sampled, and a round reads many symbols at once:
 * Round 2 agrees on the whole run. A run that occurs twice repeats throughout.
 * Round 3 splits runs left over into pieces of up to 32 strings, round 4 single
   strings of pieces left over. A string that stands alone is kept; everything
-  else in an interval of two and more is a repeat.
+  else is a repeat.
 
 The rounds need no text but the edges: the strings of a piece share a core,
 and differ in less than 32 bytes on either side. Shuffles carry hashes and
-edges; texts are shuffled once and that exchange is used twice.
+edges; texts are shuffled for the pieces and for the result.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from scenelake.llm.common import arrow_pass, utf8
+from scenelake.llm.common import arrow_pass, materialise, utf8
 
 LENGTH = 400
 ANCHOR = 64
@@ -125,8 +125,19 @@ def _long(values) -> pa.Array:
     return pa.array(np.asarray(values, dtype=np.uint64).view(np.int64))
 
 
+def _kinds(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """One row for equal (key, run) pairs, the last two columns, with the number of rows before them."""
+    key, run = columns[-2:]
+    order = np.lexsort((run, key))
+    new = np.r_[True, (key[order][1:] != key[order][:-1]) | (run[order][1:] != run[order][:-1])]
+    starts = np.flatnonzero(new)
+    first = order[starts]
+    return [*[c[first] for c in columns[:-2]], np.diff(np.r_[starts, len(order)]), key[first], run[first]]
+
+
 def _runs(docs: DataFrame, length: int, anchor: int) -> DataFrame:
-    names = ["h", "size", "first", "strings", "offset", "key", "run"]
+    """Runs of all texts; equal runs of a batch are counted in one row, so a frequent passage is a few rows a task."""
+    names = ["h", "size", "first", "strings", "offset", "n", "key", "run"]
 
     def run(batches):
         hasher = Hasher(length, anchor)
@@ -138,15 +149,15 @@ def _runs(docs: DataFrame, length: int, anchor: int) -> DataFrame:
                     parts.append((np.full(n, h, np.int64), np.full(n, size, np.int32), first.astype(np.int32),
                                   count.astype(np.int32), offset.astype(np.int32), key, whole))
             if parts:
-                columns = [np.concatenate(c) for c in zip(*parts)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:5]), *map(_long, columns[5:])], names)
+                columns = _kinds([np.concatenate(c) for c in zip(*parts)])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:6]), *map(_long, columns[6:])], names)
 
     return arrow_pass(docs.where(F.col("size") >= length).select("text", "h", "size"), run,
-                      "h long, size int, first int, strings int, offset int, key long, run long")
+                      "h long, size int, first int, strings int, offset int, n long, key long, run long")
 
 
 def _pieces(rows: DataFrame, length: int, anchor: int) -> DataFrame:
-    """Pieces of the listed runs of each text; ``anchor_at`` is the place of string offset 0 of the piece."""
+    """Pieces of the listed runs of each text; ``last_start`` is where a string with nothing of the left edge starts."""
     names = ["h", "size", "key", "core", "left", "right", "n", "last_start"]
 
     def run(batches):
@@ -169,15 +180,15 @@ def _pieces(rows: DataFrame, length: int, anchor: int) -> DataFrame:
     return arrow_pass(rows, run, "h long, size int, key long, core long, left binary, right binary, n long, last_start int")
 
 
-def _removals(text: bytes, marks: list[dict] | None, length: int) -> list[tuple[int, int]]:
-    """Byte spans covered by the marked strings: all of the runs but those of the pieces and strings found single."""
-    if not marks:
+def _removals(text: bytes, alone: list[dict] | None, length: int) -> list[tuple[int, int]]:
+    """Byte spans covered by strings that do not stand alone."""
+    strings = len(text) - length + 1
+    if strings < 1:
         return []
-    repeated = np.zeros(len(text) - length + 3, dtype=np.int8)
-    for wanted in (True, False):
-        for mark in marks:
-            if mark["repeats"] == wanted:
-                repeated[mark["first"] + 1:mark["first"] + mark["strings"] + 1] = wanted
+    repeated = np.zeros(strings + 2, dtype=np.int8)
+    repeated[1:-1] = 1
+    for mark in alone or ():
+        repeated[mark["first"] + 1:mark["first"] + mark["strings"] + 1] = 0
     edges = np.flatnonzero(np.diff(repeated))
     spans: list[list[int]] = []
     for start, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
@@ -197,36 +208,41 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     and equal texts no copy is spared. Further columns are ignored.
     """
     texts = _identified(docs)
-    # Rounds 1 and 2 in one exchange. A key occurs about once in a document, so
-    # the largest group is a small share of all runs; the windows spill.
-    runs = _runs(texts, length, anchor).repartition("key")
-    same_key, same_run = Window.partitionBy("key"), Window.partitionBy("key", "run")
-    runs = runs.withColumns({
-        "n_key": F.count("*").over(same_key), "low": F.min("run").over(same_key), "high": F.max("run").over(same_key),
-    }).where(F.col("n_key") > 1).withColumns({
-        "n": F.count("*").over(same_run), "number": F.row_number().over(same_run.orderBy("h", "first"))})
-    # Runs of several kinds under one key: one of each kind goes on.
-    listed = runs.where((F.col("low") != F.col("high")) & (F.col("number") == 1)).groupBy("h", "size").agg(
-        F.collect_list(F.struct("first", "strings", "offset", "key", "n")).alias("listed"))
+    # Rounds 1 and 2: a row per kind of run, with the number of kinds and of runs under its key. Batches have counted
+    # equal runs already, so what meets under a key is its different surroundings; the window spills.
+    where = F.struct("h", "size", "first", "strings", "offset")
+    kinds = _runs(texts, length, anchor).repartition("key").groupBy("key", "run").agg(
+        F.sum("n").alias("n"), F.min(where).alias("one"))
+    under = Window.partitionBy("key")
+    kinds = kinds.withColumns({"n_key": F.sum("n").over(under), "kinds": F.count("*").over(under)})
+    # A run alone is marked; one run of each kind that shares its key with other kinds goes on. Bounded by the text.
+    found = materialise(kinds.where((F.col("n_key") == 1) | (F.col("kinds") > 1)).select("one.*", "key", "n", "kinds").groupBy(
+        "h", "size").agg(
+        F.collect_list(F.when(F.col("kinds") == 1, F.struct("first", "strings"))).alias("alone"),
+        F.collect_list(F.when(F.col("kinds") > 1, F.struct("first", "strings", "offset", "key", "n"))).alias("listed")))
+    listed = found.where(F.size("listed") > 0).select("h", "size", "listed")
     with_lists = texts.join(listed.hint("shuffle_hash"), ["h", "size"], "left").select(
         "doc_id", "text", "h", "size", "listed")
-    pieces = _pieces(with_lists, length, anchor).repartition("key", "core")
-    kinds = pieces.groupBy("key", "core", "left", "right").agg(
+    pieces = _pieces(with_lists, length, anchor).repartition("key", "core").groupBy("key", "core", "left", "right").agg(
         F.sum("n").alias("n"), F.min(F.struct("h", "size", "last_start")).alias("one"))
-    kinds = kinds.withColumn("kinds", F.count("*").over(Window.partitionBy("key", "core")))
-    # Strings that stand alone: whole pieces, or single strings of pieces with a common core.
+    pieces = pieces.withColumn("kinds", F.count("*").over(Window.partitionBy("key", "core")))
+    # Rounds 3 and 4: whole pieces where nothing shares the core, else their single strings.
     left, right = F.octet_length("left"), F.octet_length("right")
-    alone = kinds.where((F.col("kinds") == 1) & (F.col("n") == 1)).select(
-        "one.h", "one.size", (F.col("one.last_start") - left).alias("first"), (left + right - (PIECE - 2)).alias("strings"))
-    strings = kinds.where(F.col("kinds") > 1).select("key", "core", "left", "right", "n", "one", F.explode(
-        F.sequence(F.lit(PIECE - 1) - right, left)).alias("t")).groupBy(
-        "key", "core", "t", F.expr("substring(left, length(left) - t + 1, t)").alias("before"),
-        F.expr(f"substring(right, 1, {PIECE - 1} - t)").alias("after")).agg(
-        F.sum("n").alias("n"), F.min(F.col("one")).alias("one")).where(F.col("n") == 1).select(
-        "one.h", "one.size", (F.col("one.last_start") - F.col("t")).alias("first"), F.lit(1).alias("strings"))
-    marks = runs.select("h", "size", "first", "strings", F.lit(True).alias("repeats")).unionByName(
-        alone.unionByName(strings).withColumn("repeats", F.lit(False)))
-    marked = marks.groupBy("h", "size").agg(F.collect_set(F.struct("first", "strings", "repeats")).alias("marks"))
+    whole = F.array(F.struct(
+        F.lit(-1).alias("t"), left.alias("back"), (left + right - (PIECE - 2)).alias("strings"),
+        F.lit(b"").alias("before"), F.lit(b"").alias("after")))
+    single = F.transform(F.sequence(F.lit(PIECE - 1) - right, left), lambda t: F.struct(
+        t.alias("t"), t.alias("back"), F.lit(1).alias("strings"), F.substring("left", left - t + 1, t).alias("before"),
+        F.substring("right", F.lit(1), F.lit(PIECE - 1) - t).alias("after")))
+    strings = pieces.where((F.col("kinds") > 1) | (F.col("n") == 1)).select(
+        "key", "core", "n", "one", F.explode(F.when(F.col("kinds") == 1, whole).otherwise(single)).alias("s"))
+    more = strings.groupBy("key", "core", "s.t", "s.before", "s.after").agg(
+        F.sum("n").alias("n"), F.min(F.struct("one", "s.back", "s.strings")).alias("m")).where(F.col("n") == 1).select(
+        "m.one.h", "m.one.size", F.struct((F.col("m.one.last_start") - F.col("m.back")).alias("first"),
+                                          F.col("m.strings").alias("strings")).alias("mark")).groupBy("h", "size").agg(
+        F.collect_list("mark").alias("more"))
+    marked = found.select("h", "size", "alone").join(more, ["h", "size"], "left").select(
+        "h", "size", F.concat("alone", F.coalesce("more", F.array().cast(found.schema["alone"].dataType))).alias("marks"))
     rows = texts.join(marked.hint("shuffle_hash"), ["h", "size"], "left").select("doc_id", "text", "h", "size", "marks")
 
     def run(batches):
