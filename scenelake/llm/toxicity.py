@@ -145,24 +145,37 @@ def _distinct(texts: list[bytes]) -> list[bytes]:
     return kept
 
 
+def _units(text: bytes) -> set[bytes]:
+    """Distinct words with their spaces."""
+    return {b" " + w + b" " for w in words(text)}
+
+
+def _chance(toxic: int, ordinary: int, share: float) -> float:
+    """Probability that at least ``toxic`` of the documents with a unit are toxic, if a document is with ``share``."""
+    n = toxic + ordinary
+    return sum(math.comb(n, i) * share ** i * (1 - share) ** (n - i) for i in range(toxic, n + 1))
+
+
 def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """Units far more frequent in toxic documents than chance explains among so many; and the commonest ordinary ones."""
     toxic, ordinary = _distinct(toxic), _distinct(ordinary)
     if not toxic or not ordinary:
         return b"", b""
-    docs_with = [Counter(w for t in texts for w in set(words(t))) for texts in (toxic, ordinary)]
+    docs_with = [Counter(u for t in texts for u in _units(t)) for texts in (toxic, ordinary)]
     least = max(3, 0.01 * len(toxic))
-
-    def weight(word: bytes) -> float:
-        p = docs_with[0][word] / len(toxic)
-        q = (docs_with[1][word] + 0.5) / (len(ordinary) + 1)
-        return docs_with[0][word] * math.log(p / q) if p > 8 * q else 0.0
-
-    marked = {w: weight(w) for w, n in docs_with[0].items() if n >= least}
-    # The end of a dictionary is the cheapest to refer to: strongest words last.
-    chosen = [w for w in sorted(marked, key=lambda w: (marked[w], w)) if marked[w] > 0]
-    first = b" " + b"  ".join(chosen) + b" "
-    common = sorted(docs_with[1], key=lambda w: (-docs_with[1][w], w))[:2000]
-    second = b" " + b"  ".join(common[::-1]) + b" "
+    share = len(toxic) / (len(toxic) + len(ordinary))
+
+    def weight(unit: bytes) -> float:
+        n, m = docs_with[0][unit], docs_with[1][unit]
+        p, q = n / len(toxic), (m + 0.5) / (len(ordinary) + 1)
+        return n * math.log(p / q) if p > 8 * q and _chance(n, m, share) * len(docs_with[0]) < 1 else 0.0
+
+    marked = {u: weight(u) for u, n in docs_with[0].items() if n >= least}
+    # The end of a dictionary is the cheapest to refer to: strongest units last.
+    chosen = [u for u in sorted(marked, key=lambda u: (marked[u], u)) if marked[u] > 0]
+    first = b"".join(chosen)
+    common = sorted(docs_with[1], key=lambda u: (-docs_with[1][u], u))[:2000]
+    second = b"".join(common[::-1])
     size = min(DICTIONARY_BYTES, len(first), len(second))
     return (first[-size:], second[-size:]) if chosen and size >= 8 else (b"", b"")
 
