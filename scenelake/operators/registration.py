@@ -2,7 +2,7 @@
 
 A scene of one row holds both dates, so the shift is found where the row
 lives: an Arrow-batched function returns one small struct per row and nothing
-is grouped or moved. A scene of many blocks gets one shift from its overview,
+is grouped or moved. A scene of many blocks gets one shift from all its pixels,
 and pixels are moved by their position in the scene, across block borders.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from scenelake.operators.blocks import roll, roll_up, unroll, warp_bilinear
 from scenelake.operators.scenes import is_blocked, scene_shift
+from scenelake.operators.spectra import FACTOR, registration_confidence, zoom_kernel, zoom_offsets, zoom_peak
 
 MAX_SHIFT = 6
 
@@ -68,17 +69,10 @@ def correlation_shift(before: pd.Series, after: pd.Series, width: pd.Series) ->
 
 def _zoomed_peak(product: np.ndarray, center: np.ndarray, factor: int) -> tuple[np.ndarray, complex]:
     """Peak of the correlation on a fine grid of +-0.75 px around ``center``; equal peaks prefer the centre."""
-    span = int(np.ceil(factor * 1.5))
-    offsets = (np.arange(span) - span // 2) / factor
-    kernels = []
-    for axis, n in enumerate(product.shape):
-        freq = np.fft.fftfreq(n)
-        kernels.append(np.exp(2j * np.pi * np.outer(center[axis] + offsets, freq)))
+    offsets = zoom_offsets(factor)
+    kernels = [zoom_kernel(center[axis] + offsets, n) for axis, n in enumerate(product.shape)]
     fine = kernels[0] @ product @ kernels[1].T
-    height = np.abs(fine)
-    away = np.hypot(*np.meshgrid(offsets, offsets, indexing="ij"))
-    best = np.where(height >= height.max() * (1 - 1e-9), away, np.inf)
-    peak = np.unravel_index(int(best.argmin()), fine.shape)
+    peak = zoom_peak(fine, offsets)
     return center + offsets[list(peak)], fine[peak]
 
 
@@ -88,7 +82,6 @@ def subpixel_shift(before: pd.Series, after: pd.Series, width: pd.Series) -> pd.
 
     Confidence is 1 minus the registration error, clipped to [0, 1].
     """
-    factor = 10
     rows = []
     for a, b, w in zip(before, after, width):
         fa, fb = np.fft.fft2(_square(a, w)), np.fft.fft2(_square(b, w))
@@ -98,11 +91,10 @@ def subpixel_shift(before: pd.Series, after: pd.Series, width: pd.Series) -> pd.
         size = np.array(surface.shape)
         peak = np.array(np.unravel_index(int(surface.argmax()), surface.shape), dtype=float)
         peak = np.where(peak > size // 2, peak - size, peak)
-        shift, top = _zoomed_peak(cross, peak, factor)
+        shift, top = _zoomed_peak(cross, peak, FACTOR)
         energy = float((np.abs(fa) ** 2).sum() * (np.abs(fb) ** 2).sum())
-        error = np.sqrt(abs(1.0 - abs(top) ** 2 / energy)) if energy > 0 else 0.0
         flat = [0.0 if n == 1 else s for s, n in zip(shift, size)]
-        rows.append((*np.round(flat, 6) + 0.0, float(np.clip(1.0 - error, 0.0, 1.0))))
+        rows.append((*np.round(flat, 6) + 0.0, registration_confidence(top, energy)))
     return pd.DataFrame(rows, columns=["dy", "dx", "confidence"])
 
 

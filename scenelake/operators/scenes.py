@@ -3,7 +3,7 @@
 A table is blocked if it carries ``block_row``, ``block_col`` and ``block_size``
 beside its arrays; several rows then share the keys of one scene. Figures of a
 scene are combined from per-row scalars, so arrays never move for them; one
-shift per scene is found on a bounded overview and applied by position.
+shift per scene is found at full resolution and applied by position.
 """
 
 from __future__ import annotations
@@ -14,12 +14,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from scenelake.operators.spectra import strip_shift
+
 BLOCK = ("block_row", "block_col", "block_size")
-# Longest side of the overview on which a scene's shift is found, in pixels.
-OVERVIEW = 512
+# Longest side of a scene that one task puts together, in pixels; larger ones are transformed in strips.
+WHOLE = 512
 
-_OVERVIEW_PAIR = (T.StructType().add("before", T.ArrayType(T.DoubleType())).add("after", T.ArrayType(T.DoubleType()))
-                  .add("width", T.IntegerType()))
+_PAIR = (T.StructType().add("before", T.ArrayType(T.DoubleType())).add("after", T.ArrayType(T.DoubleType()))
+         .add("width", T.IntegerType()))
 
 
 def is_blocked(df: DataFrame) -> bool:
@@ -38,9 +40,9 @@ def scene_values(df: DataFrame, keys: Sequence[str], values: dict[str, tuple[Col
     return df.join(whole, list(keys))
 
 
-@F.pandas_udf(_OVERVIEW_PAIR)
+@F.pandas_udf(_PAIR)
 def _assemble(parts: pd.Series) -> pd.DataFrame:
-    """Overviews of blocks, placed side by side."""
+    """Blocks, placed side by side."""
     rows = []
     for blocks in parts:
         tiles = {(b["block_row"], b["block_col"]): b for b in blocks}
@@ -56,39 +58,27 @@ def _assemble(parts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["before", "after", "width"])
 
 
-def _shrink(values: Column, width: Column, factor: Column) -> Column:
-    """Means of ``factor`` x ``factor`` cells of a block; a partial cell at the edge is averaged over what it has."""
-    height = (F.size(values) / width).cast("int")
-    rows, columns = F.ceil(height / factor).cast("int"), F.ceil(width / factor).cast("int")
-
-    def cell(i: Column) -> Column:
-        y0, x0 = F.floor(i / columns) * factor, (i % columns) * factor
-        y1, x1 = F.least(y0 + factor, height), F.least(x0 + factor, width)
-        line = F.transform(F.sequence(y0, y1 - 1), lambda y: F.aggregate(
-            F.slice(values, (y * width + x0 + 1).cast("int"), (x1 - x0).cast("int")), F.lit(0.0), lambda a, v: a + v))
-        return F.aggregate(line, F.lit(0.0), lambda a, v: a + v) / ((y1 - y0) * (x1 - x0))
-
-    return F.when(factor == 1, values).otherwise(F.transform(F.sequence(F.lit(0), rows * columns - 1), cell))
-
-
 def scene_shift(blocks: DataFrame, keys: Sequence[str], before: Column, after: Column, find: Callable) -> DataFrame:
-    """Keys and ``shift``: ``find(before, after, width)`` on the whole scene, or on its overview.
+    """Keys and ``shift``: ``find(before, after, width)`` on the whole scene at full resolution.
 
-    Scenes up to ``OVERVIEW`` pixels a side are used as they are; larger ones
-    are averaged over square cells, and the shift is scaled back.
+    Scenes up to ``WHOLE`` pixels a side are put together in one task; larger
+    ones get the same figures from strips. ``find`` is the phase correlation in
+    whole pixels, or the finer one if its shift has a ``confidence``.
     """
-    reach = blocks.groupBy(*keys).agg(F.max((F.greatest("block_row", "block_col") + 1) * F.col("block_size")).alias("_side"))
-    factor = F.ceil(F.col("_side") / float(OVERVIEW)).cast("int")
-    width = F.col("width").cast("int")
-    small = blocks.join(reach, list(keys)).select(
-        *keys, "block_row", "block_col", factor.alias("_factor"), _shrink(before, width, factor).alias("before"),
-        _shrink(after, width, factor).alias("after"), F.ceil(width / factor).cast("int").alias("width"))
-    # What a scene collects is bounded by the overview.
+    keys = list(keys)
+    px = blocks.select(*keys, *BLOCK, F.col("width").cast("int").alias("width"), before.alias("before"), after.alias("after"),
+                       (F.col("block_row") * F.col("block_size")).cast("int").alias("_top"),
+                       (F.col("block_col") * F.col("block_size")).cast("int").alias("_left"))
+    extent = px.groupBy(*keys).agg(F.max(F.col("_top") + (F.size("before") / F.col("width")).cast("int")).alias("_h"),
+                                   F.max(F.col("_left") + F.col("width")).alias("_w"))
+    px = px.join(extent, keys) if keys else px.crossJoin(extent)
+    is_small = F.greatest("_h", "_w") <= WHOLE
+    # What a scene collects is bounded by ``WHOLE``.
     part = F.struct("block_row", "block_col", "before", "after", "width")
-    whole = small.groupBy(*keys).agg(
-        F.collect_list(part).alias("_parts"), F.max("_factor").alias("_factor")).withColumn(
-        "_pair", _assemble("_parts"))
-    found = whole.withColumn("shift", find(F.col("_pair.before"), F.col("_pair.after"), F.col("_pair.width")))
-    scaled = [((F.col("shift")[f.name] * F.col("_factor")) if f.name in ("dy", "dx") else F.col("shift")[f.name])
-              .cast(f.dataType).alias(f.name) for f in found.schema["shift"].dataType.fields]
-    return found.select(*keys, F.struct(*scaled).alias("shift"))
+    small = px.where(is_small).groupBy(*keys).agg(F.collect_list(part).alias("_parts")).where(
+        F.size("_parts") > 0).withColumn("_pair", _assemble("_parts")).select(
+        *keys, find(F.col("_pair.before"), F.col("_pair.after"), F.col("_pair.width")).alias("shift"))
+    fields = small.schema["shift"].dataType.fields
+    large = strip_shift(px.where(~is_small), keys, "confidence" in {f.name for f in fields})
+    cast = [F.col("shift")[f.name].cast(f.dataType).alias(f.name) for f in fields]
+    return small.unionByName(large.select(*keys, F.struct(*cast).alias("shift")))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scenelake.functions.text import region_id
-from scenelake.operators import registration
+from scenelake.operators import registration, scenes as scenes_of
 from scenelake.operators.blocks import unroll
 from scenelake.plans import change_event as ce, rgb_report
 from scenelake.streaming import feedback as stream
@@ -79,6 +79,49 @@ def test_subpixel_registration_does_not_notice_blocks(spark):
     same(found[0][1], found[1][1])
 
 
+def large_scene(spark, height, width, size, shift):
+    """One scene in blocks, the last ones partial, and its circularly shifted later date with changes."""
+    rng = np.random.default_rng(8)
+    before = rng.random((height, width))
+    after = np.roll(before, (-shift[0], -shift[1]), (0, 1)) + 0.1 * rng.random((height, width))
+    after[50:90, 60:120] = 1.0
+    cut = [(r, c) for r in range(-(-height // size)) for c in range(-(-width // size))]
+
+    def rows(numbers):
+        for i in numbers:
+            r, c = cut[i]
+            box = np.s_[r * size:(r + 1) * size, c * size:(c + 1) * size]
+            yield 1, r, c, size, before[box].shape[1], before[box].ravel().tolist(), after[box].ravel().tolist()
+
+    schema = "scene int, block_row int, block_col int, block_size int, width int, r1 array<double>, r2 array<double>"
+    frames = spark.sparkContext.parallelize(range(len(cut)), 8).mapPartitions(rows).toDF(schema)
+    return frames, before, after
+
+
+def test_shift_of_large_scenes_is_that_of_all_pixels(spark):
+    for height, width, size, shift in ((3100, 3080, 512, (3, -5)), (700, 531, 128, (1, 4)), (600, 40, 64, (-2, 5))):
+        frame, _, _ = large_scene(spark, height, width, size, shift)
+        whole = scenes_of.scene_shift(frame, ["scene"], F.col("r1"), F.col("r2"), registration.phase_shift).collect()
+        assert [tuple(r["shift"]) for r in whole] == [shift]
+
+
+def test_subpixel_shift_of_large_scenes_is_that_of_all_pixels(spark, monkeypatch):
+    frame, _, _ = large_scene(spark, 151, 90, 32, (4, -3))
+    # Circularly by half a pixel along x.
+    half = F.transform("r2", lambda v, i: (v + F.col("r2")[F.greatest(i - 1, F.lit(0))]) / 2)
+    for after in (F.col("r2"), half):
+        found = []
+        for most in (1000, 16):
+            monkeypatch.setattr(scenes_of, "WHOLE", most)
+            rows = scenes_of.scene_shift(frame, ["scene"], F.col("r1"), after, registration.subpixel_shift)
+            found.append(by(rows.select("scene", "shift.*"), ["scene"], ["dy", "dx", "confidence"]))
+        same(*found)
+    frame, _, _ = large_scene(spark, 1100, 1040, 256, (4, -3))
+    monkeypatch.setattr(scenes_of, "WHOLE", 512)
+    rows = scenes_of.scene_shift(frame, ["scene"], F.col("r1"), F.col("r2"), registration.subpixel_shift).collect()
+    assert [tuple(r["shift"])[:2] for r in rows] == [(4.0, -3.0)]
+
+
 def test_reports_and_events_do_not_notice_blocks(spark):
     reports, events = [], []
     for n in (1, 2):
