@@ -476,6 +476,27 @@ def test_inferred_formats_find_what_patterns_miss():
     assert secrets.fit({}) == []
 
 
+def test_credentials_of_every_length_and_behind_separators(spark):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    key = lambda n: "".join(rng.choices(letters, k=n))
+    one = secrets.fit({"assign": [key(n) for n in [*range(6, 60), *range(150, 400, 5)] * 6]})[0]
+    for n in (8, 13, 19, 33, 77, 250, 402, 1000):
+        assert sum(one.accepts(key(n)) for _ in range(50)) >= 30, n
+    upper = ["".join(rng.choices("0123456789ABCDEF", k=40)) for _ in range(200)]
+    both, new = secrets.fit({"assign": upper}), upper[0][::-1]
+    for text, at in ((f"credential={new}.", 11), (f"https://host/path/{new}", 18), (f"https://host/{new}/path", 13)):
+        assert secrets.all_spans(text, both)[1] == [(at, "learned", at + 40)], text
+    words = [sentence(rng, 60) for _ in range(300)]
+    bare = {i: key(rng.choice((12, 14, 24, 260))) for i in range(40)}
+    rows = [(i, f"{w} password={key(rng.choice((12, 13, 14, 24, 250, 260)))} {w} {bare.get(i, '')}") for i, w in enumerate(words)]
+    docs = docs_of(spark, rows)
+    found = secrets.scan(docs, secrets.train(docs)).collect()
+    spans = {r["doc_id"]: [rows[r["doc_id"]][1][s["start"]:s["end"]] for s in r["spans"] if s["kind"] == "learned"] for r in found}
+    assert sum(spans[i] == [b] for i, b in bare.items()) >= 32
+    assert not any(v for i, v in spans.items() if i not in bare)
+
+
 def test_secrets_of_odd_rows(odd, none):
     rows = secrets.scan(odd, secrets.train(odd)).collect()
     assert len(rows) == 10 and all(not r["spans"] for r in rows)
