@@ -9,6 +9,7 @@ rules or if too much of its text went with the lines.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,15 +25,22 @@ SYMBOLS = b"#*$%&|<>"
 # A line may hold these shares (of its words) of symbols and of words ending in repeated or stray marks.
 LINE_SYMBOLS = 0.3
 LINE_STRAY = 0.3
-NAVIGATION_MARKS = 2  # separators that make a line a menu
+NAVIGATION_MARKS = 2  # separators that make a line a menu, if it has
+NAVIGATION_WORDS = 8  # no more words to a separator than these
+BOILERPLATE_WORDS = 25  # most words to a mark of boilerplate in a line that is boilerplate
 MENU_WORDS = 4  # a line of so few words without a sentence end is a menu entry
 LOST = 0.5  # share of the word bytes that may go with removed lines
 
 SENTENCE_END = (b".", b"!", b"?", b":", b";", b'"', b"'", b")", b"]", "…".encode(), "”".encode(), "»".encode(), "。".encode())
 SEPARATORS = (b"|", ">".encode(), "»".encode(), "›".encode(), "•".encode(), "·".encode())
-BOILERPLATE = (b"cookie", b"javascript", b"privacy policy", b"terms of use", b"terms of service", b"all rights reserved",
-               b"lorem ipsum", b"click here", b"sign in", b"log in", b"subscribe to", b"newsletter", b"skip to content",
-               b"copyright (c)", "©".encode())
+# Phrases between word borders; bytes of other scripts are letters.
+BOILERPLATE = re.compile(
+    rb"(?<![0-9a-z\x80-\xff])(?:cookies?|javascript|privacy policy|terms of use|terms of service|all rights reserved|"
+    rb"lorem ipsum|click here|sign in|log in|subscribe to|newsletters?|skip to content)(?![0-9a-z\x80-\xff])|"
+    rb"copyright \(c\)|" + "©".encode())
+# Cheap test before the pattern: a line without any of these has no phrase.
+HINTS = (b"cookie", b"javascript", b"privacy policy", b"terms of", b"all rights", b"lorem ipsum", b"click here", b"sign in",
+         b"log in", b"subscribe to", b"newsletter", b"skip to", b"copyright", "©".encode())
 
 _CONTINUED = bytes(range(0x80, 0xC0))
 
@@ -89,14 +97,17 @@ def line_rule(line: bytes) -> str | None:
     if not words:
         return None
     n = len(words)
-    if sum(line.count(mark) for mark in SEPARATORS) >= NAVIGATION_MARKS:
+    marks = sum(line.count(mark) for mark in SEPARATORS)
+    if marks >= NAVIGATION_MARKS and n <= NAVIGATION_WORDS * marks:
         return "navigation"
     stripped = line.strip(ASCII_SPACE)
     ends = stripped.endswith(SENTENCE_END)
     if not ends and n <= MENU_WORDS:
         return "navigation"
+    # Marks weigh by the words they stand among: a single one does not condemn a long line.
     low = line.lower()
-    if any(mark in low for mark in BOILERPLATE) or (b"{" in line and b"}" in line):
+    marks = (len(BOILERPLATE.findall(low)) if any(hint in low for hint in HINTS) else 0) + min(line.count(b"{"), line.count(b"}"))
+    if marks and n <= BOILERPLATE_WORDS * marks:
         return "boilerplate"
     if len(line) - len(line.translate(None, SYMBOLS)) > LINE_SYMBOLS * n:
         return "punctuation"

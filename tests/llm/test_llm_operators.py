@@ -549,6 +549,18 @@ def test_line_rules():
     assert line(b"BUY!! NOW!! THIS!! IS!! GREAT!!") == "punctuation"
 
 
+def test_single_marks_do_not_condemn_long_lines(spark):
+    prose = "This is an ordinary sentence with some words in it. " * 12
+    marks = ["Every newsletter of theirs. ", "They design in wood and blog in verse. ", "Use {x} here. ", "Some » quoted « words | here. "]
+    for mark in marks:
+        assert quality.line_rule((prose + mark + prose).encode()) is None, mark
+    assert quality.line_rule("They design in wood and blog in verse all day.".encode()) is None
+    assert quality.line_rule(b"Subscribe to our newsletter.") == "boilerplate" == quality.line_rule(b"if (a) { return b; }")
+    rng = random.Random(2)
+    text = sentence(rng, 400) + " newsletter and cookie. " + sentence(rng, 400) + "."
+    assert quality.judge(docs_of(spark, [(1, text)])).first()["kept"]
+
+
 # --- 10: toxicity ---
 
 
