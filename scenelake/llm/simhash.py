@@ -186,22 +186,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null ids only has a null component_id. Other columns are ignored.
     """
     found = materialise(fingerprints(docs))
-    classes = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = components(links(classes.select("fp")))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    rooted = _rooted(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     membership = rooted.join(named, "root").select("fp", "component_id")
     return found.join(membership, "fp").select("doc_id", "fp", "component_id")
 
 
+def _rooted(classes: DataFrame) -> DataFrame:
+    """(fp, least, root) of distinct fingerprints (fp, least); fingerprints that are linked share a root."""
+    classes = materialise(classes)
+    roots = components(links(classes.select("fp")))
+    return classes.join(roots, classes["fp"] == roots["node"], "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The row with the smallest doc_id of every class, all columns kept.
+    """One row of every class, all columns kept: the smallest by doc_id, then by digests of text and row, null ids last.
 
-    Of repeated rows with that id one stays; rows without an id cannot be named
-    as representatives and stay.
+    The class of a row is that of its own text, whatever other rows have its
+    id. Rows that are equal in all columns are one.
     """
-    kept = near_duplicates(docs.select("doc_id", "text")).where(F.col("doc_id") == F.col("component_id")).select(
-        F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    columns = docs.columns
+    row = docs.withColumn("_row", F.sha2(F.to_json(F.struct(*columns)), 256))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"),
+                     F.sha2("text", 256).alias("text"), F.col("_row").alias("row"))
+    found = materialise(fingerprints(row.select(order.alias("doc_id"), "text")))
+    rooted = _rooted(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_row"))
+    return row.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*columns)

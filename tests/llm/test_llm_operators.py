@@ -212,6 +212,18 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_leaves_one_row_of_each_class(spark):
+    rng = random.Random(11)
+    a, b, c, d = (sentence(rng, 80) for _ in range(4))
+    rows = [(1, a), (1, b), (2, b), (None, c), (None, c), (None, d), (7, d), (1, a), (3, "x y z"), (None, a)]
+    for seed in range(2):
+        docs = docs_of(spark, random.Random(seed).sample(rows, len(rows))).repartition(3 + seed)
+        kept = simhash.keep_one(docs)
+        assert kept.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(
+            [(1, a), (1, b), (None, c), (7, d), (3, "x y z")], key=str)
+
+
 # --- 3: language ---
 
 
