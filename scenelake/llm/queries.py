@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scenelake.llm import (decontaminate, language, mixing, quality, secrets, sharding, simhash, suffixes, toxicity,
-                           urls)
+                           urls, whitening)
 from scenelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whitening.quantised(table(spark, sf_dir, "embeddings"))
+    return whitening.whiten(vectors, whitening.fit(vectors)).withColumnRenamed("id", "vec_id")
