@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scenelake.llm import (decontaminate, language, lexical, mixing, quality, secrets, sharding, simhash, suffixes,
-                           toxicity, urls, whitening)
+from scenelake.llm import (decontaminate, language, lexical, mixing, pitman_yor, quality, secrets, sharding, simhash,
+                           suffixes, toxicity, urls, whitening)
 from scenelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,6 +179,12 @@ ranked AS (SELECT item_id, doc_id, score,
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20"""
 
 
+@query
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pitman_yor.score(docs, pitman_yor.train(docs))
+
+
 @query
 def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = whitening.quantised(table(spark, sf_dir, "embeddings"))
