@@ -15,6 +15,7 @@ embedding's length. Around these products:
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +30,8 @@ COMPONENTS = 16
 TOLERANCE = 1e-13  # of a residual, relative to the largest eigenvalue
 INNER_STEPS = 8  # MINRES steps of one correction
 MAX_ROUNDS = 200
+PART_BYTES = 16 << 20  # vectors that one task multiplies
+FAN_IN = 64  # sums that meet in one task
 RANK = 1e-12  # eigenvalues below this share of the largest one have no whitened value
 
 
@@ -62,30 +65,36 @@ def quantised(rows: DataFrame, key: str = "vec_id", column: str = "embedding") -
     return sound.where(F.size("v") == (common[0]["d"] if common else 0)).select("id", x.alias("x"))
 
 
-def _matrix(column: pa.Array, d: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _sums(fit: DataFrame, d: int, width: int, per_batch) -> np.ndarray:
-    """(d, width) sum over all rows of what ``per_batch`` makes of the rows of a batch; tasks add up first."""
+def _sums(fit: DataFrame, per_batch) -> np.ndarray | None:
+    """Sum of what ``per_batch`` makes of the rows of all batches; None without rows.
 
-    def run(batches):
+    Every task adds up its rows; the sums of ``FAN_IN`` tasks meet in one of the
+    next level, until one is left.
+    """
+
+    def of_rows(batches):
+        yield from added(per_batch(_matrix(b.column(0))) for b in batches if b.num_rows)
+
+    def of_sums(batches):
+        yield from added(pickle.loads(v.as_py()) for b in batches for v in b.column(0))
+
+    def added(parts):
         total = None
-        for batch in batches:
-            if batch.num_rows:
-                part = per_batch(_matrix(batch.column(0), d))
-                total = part if total is None else total + part
+        for part in parts:
+            total = part if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d, dtype=np.int32)), *map(pa.array, np.ascontiguousarray(total.T))],
-                                             ["dim", *[f"c{i}" for i in range(width)]])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], ["data"])
 
-    kind = "long" if per_batch is _counted else "double"
-    rows = arrow_pass(fit.select("x"), run, "dim int, " + ", ".join(f"c{i} {kind}" for i in range(width)))
-    found = rows.groupBy("dim").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(width)]).collect()
-    out = np.zeros((d, width), dtype=np.int64 if kind == "long" else np.float64)
-    for row in found:
-        out[row["dim"]] = row[1:]
-    return out
+    level, tasks = arrow_pass(fit, of_rows, "data binary"), fit.rdd.getNumPartitions()
+    while tasks > 1:
+        tasks = -(-tasks // FAN_IN)
+        level = arrow_pass(level.repartition(tasks), of_sums, "data binary")
+    found = level.collect()
+    return pickle.loads(found[0][0]) if found else None
 
 
 def _counted(x: np.ndarray) -> np.ndarray:
@@ -225,34 +234,33 @@ def fit(vectors: DataFrame, components: int = COMPONENTS, tolerance: float = TOL
     (fewer distinct vectors than dimensions, constant dimensions) are left out.
     """
     distinct = materialise(vectors.select("x").distinct())
-    first = distinct.limit(1).collect()
-    if not first:
+    counted = _sums(distinct, _counted)
+    if counted is None:
         return None
-    d = len(first[0]["x"])
-    counted = _sums(distinct, d, 2, _counted)
     n, sums = int(counted[0, 1]), counted[:, 0]
-    centre = Centre(n, sums)
+    centre, d = Centre(n, sums), len(sums)
+    distinct = distinct.coalesce(max(1, n * d * 8 // PART_BYTES))
 
     def product(block: np.ndarray) -> np.ndarray:
         def part(x):
             c = centre(x)
             return c.T @ (c @ block)
 
-        return _sums(distinct, d, block.shape[1], part) / n
+        return _sums(distinct, part) / n
 
-    trace = float(_sums(distinct, d, 1, lambda x: (centre(x) ** 2).sum(axis=0)[:, None]).sum() / n)
+    trace = float(_sums(distinct, lambda x: (centre(x) ** 2).sum()) / n)
     if trace == 0:
         return Whitening(n, sums, np.zeros(0), np.zeros((d, 0)), 0.0)
     values, basis = jacobi_davidson(product, d, components, tolerance)
     keep = values > RANK * values[0]
     values, basis = values[keep], basis[:, keep]
-    k, mapping = len(values), basis / np.sqrt(values)
+    mapping = basis / np.sqrt(values)
 
     def squares(x):
         z = centre(x) @ mapping
-        return np.vstack([z.T @ z, np.zeros((d - k, k))])
+        return z.T @ z
 
-    error = np.abs(_sums(distinct, d, k, squares)[:k] / n - np.eye(k)).max()
+    error = np.abs(_sums(distinct, squares) / n - np.eye(len(values))).max()
     return Whitening(n, sums, values, basis, trace, float(error))
 
 
@@ -268,14 +276,14 @@ def whiten(vectors: DataFrame, model: Whitening | None) -> DataFrame:
               "identity_error double")
     if model is None or not len(model.values):
         return vectors.sparkSession.createDataFrame([], schema)
-    centre, d, k = Centre(model.n, model.sums), len(model.sums), len(model.values)
+    centre, k = Centre(model.n, model.sums), len(model.values)
     mapping = model.vectors / np.sqrt(model.values)
     explained = model.values / model.trace
     names = ["id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
 
     def run(batches):
         for batch in batches:
-            x = _matrix(batch.column(1), d)
+            x = _matrix(batch.column(1))
             m = len(x)
             columns = (np.tile(np.arange(1, k + 1, dtype=np.int32), m), np.full(m * k, model.n, dtype=np.int64),
                        np.repeat(centre.deviations(x), k), (centre(x) @ mapping).ravel(), np.tile(explained, m),
