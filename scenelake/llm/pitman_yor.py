@@ -326,22 +326,30 @@ def _log_stirling(discount: float, size: int) -> np.ndarray:
     return table
 
 
-def expected_tables(c: np.ndarray, q: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and variance of the tables of many customers, from the saddle point of exp(q (1 - s**d) / d).
-
-    The saddle solves ``q (1 - s) s**(d - 1) = c``; both are off by a share of the order of 1 / c.
-    """
-    log_q, log_c = np.log(q), np.log(c)
+def _saddle(c: np.ndarray, log_q: np.ndarray, discount: float):
+    """Mean, variance and curvature of the coefficient of z**(c - 1) in ``s**(d - 1) exp(q (1 - s**d) / d)``, s = 1 - z."""
     low, high = np.full(len(c), -700.0), np.full(len(c), -1e-12)  # of log s
     for _ in range(80):
         middle = (low + high) / 2
-        above = log_q + np.log(-np.expm1(middle)) + (discount - 1) * middle > log_c
+        above = np.log(-np.expm1(middle)) + np.logaddexp(
+            np.log1p(-discount) - middle, log_q + (discount - 1) * middle) > np.log(c - 1)
         low, high = np.where(above, middle, low), np.where(above, high, middle)
     log_s = (low + high) / 2
-    mean = -q / discount * np.expm1(discount * log_s)
-    s = np.exp(log_s)
-    slope = 1 / (1 / -np.expm1(log_s) + (1 - discount) / s)
-    return mean, np.maximum(mean - q * np.exp((discount - 1) * log_s) * slope, 1e-9)
+    s, z = np.exp(log_s), -np.expm1(log_s)
+    more = -np.exp(log_q) / discount * np.expm1(discount * log_s)
+    flow = np.exp(log_q + (discount - 1) * log_s)
+    slope = flow * z / ((1 - discount) / s + flow * s + flow * z * (1 - discount))  # of log s along log q
+    curve = (1 - discount) * z / s ** 2 + flow * z + flow * z * z * (1 - discount) / s
+    return more, more - flow * s * slope, np.log(curve)
+
+
+def expected_tables(c: np.ndarray, q: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance of the tables of many customers: saddle point with its first correction. One table is certain."""
+    step = 0.02
+    below, (more, variance, curve), above = (_saddle(c, np.log(q) + h, discount) for h in (-step, 0.0, step))
+    more = more - (above[2] - below[2]) / (4 * step)
+    variance = variance - (above[2] - 2 * curve + below[2]) / (2 * step ** 2)
+    return 1 + np.maximum(more, 0), np.maximum(variance, 1e-9)
 
 
 def draw_tables(c: np.ndarray, q: np.ndarray, discount: float, stirling: np.ndarray, random) -> np.ndarray:
@@ -357,7 +365,10 @@ def draw_tables(c: np.ndarray, q: np.ndarray, discount: float, stirling: np.ndar
     rows = np.flatnonzero(c > EXACT)
     if len(rows):
         mean, variance = expected_tables(c[rows].astype(np.float64), q[rows], discount)
-        t[rows] = np.clip(np.rint(mean + random.standard_normal(len(rows)) * np.sqrt(variance)), 1, c[rows])
+        # The further tables are a sum of independent trials; a binomial with their mean and variance stands for it.
+        more = mean - 1
+        trials = np.maximum(np.ceil(more), np.rint(more ** 2 / np.maximum(more - variance, 1e-12 * (more + 1e-12)))).clip(1, 2 ** 62)
+        t[rows] = np.minimum(1 + random.binomial(trials.astype(np.int64), np.minimum(more / trials, 1)), c[rows])
     return t
 
 
@@ -400,7 +411,7 @@ def _seats(bucket: int, messages, number: int, layout: Layout, hot: dict[int, in
         h = int(contexts[i])
         x[i] = np.random.default_rng([h, number]).standard_gamma(STRENGTH / discount + hot.get(h, 0))
     tables = draw_tables(count.astype(np.int64), x[context] * discount * p[word], discount, _log_stirling(discount, EXACT), random)
-    yield _message(bucket, "open", pack(contexts, once, context, words, word, count, *earlier[number <= BURN_IN:], tables))
+    yield _message(bucket, "open", pack(contexts, once, context, words, word, count, *earlier[number <= BURN_IN + 1:], tables))
     yield _message(bucket, "tables", pack(words, np.bincount(word, tables, len(words)).astype(np.int64)))
 
 
