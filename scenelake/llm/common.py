@@ -63,3 +63,14 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write a small intermediate to the shared checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Like ``materialise``; the shuffle files behind the written rows are removed at once."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return materialise(df)
+    finally:
+        conf.set(name, before)

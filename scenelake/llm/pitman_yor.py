@@ -31,24 +31,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from scenelake.llm.common import arrow_pass, materialise, utf8
+from scenelake.llm.common import arrow_pass, settle, utf8
 
-ROUNDS = 4
-BURN_IN = 2  # rounds whose probabilities are not averaged
+ROUNDS = 3
+BURN_IN = 1  # rounds whose probabilities are not averaged
 STRENGTH = 1.0
 BUCKET_TOKENS = 3 << 20
-PIECE_BYTES = 16 << 20  # texts whose pairs are counted together before they travel
-SPLIT_BYTES = 4 << 20  # of a long text split at once
+PIECE_BYTES = 12 << 20  # texts whose pairs are counted together before they travel
+PIECE_DOCS = 1 << 16
+SPLIT_BYTES = 2 << 20  # of the texts of a piece, split into words at once
 HOT_WORDS = 1 << 16  # most contexts that may be split, so the list of them is bounded
+LAYOUT_EVERY = 16  # one document in so many is read to plan where rows go; results don't depend on it
 EXACT = 64  # dishes of up to this many customers draw their tables exactly, larger ones by saddle point
 HELD_OUT = 10
 
-_END = xxhash.xxh64_intdigest(b"")  # the end of a text; no word is empty
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_END = np.uint64(0x8F1D3C5B7A9E2468)  # the end of a text
 _MESSAGE = "bucket int, kind string, data binary"
 _KINDS = pa.int32(), pa.string(), pa.binary()
 
@@ -61,7 +63,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def pack(*arrays) -> bytes:
     """Arrays in the smallest unsigned type, compressed."""
-    small = [a.astype(np.min_scalar_type(int(a.max()))) if a.dtype.kind in "iu" and len(a) and a.min() >= 0 else a
+    small = [a.astype(np.min_scalar_type(int(a.max()))) if a.dtype.kind in "iu" and a.size and a.min() >= 0 else a
              for a in map(np.asarray, arrays)]
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(small, protocol=5))
 
@@ -77,53 +79,87 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words_of(text: bytes):
-    """Words of a text in lists of bounded size, A-Z lower-cased; a word is never cut."""
-    start = 0
-    while start < len(text):
-        end = start + SPLIT_BYTES
-        while end < len(text) and text[end] not in b"\x09\x0a\x0b\x0c\x0d\x20":
-            end += 1
-        yield text[start:end].lower().split()
-        start = end
+_SPACE = np.isin(np.arange(256), list(b"\x09\x0a\x0b\x0c\x0d\x20"))
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)  # masks of the first n bytes
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, 64-bit hash) of each word of a text; eight bytes of all words at a time."""
+    data = np.frombuffer(text + bytes(8), dtype=np.uint8)
+    space = _SPACE[data[:len(text)]]
+    edges = np.flatnonzero(np.diff(np.r_[True, space, True]))
+    start, length = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(text) + 1, dtype="<u8", buffer=data, strides=(1,))
+    found = length.astype(np.uint64) * _STEP
+    at, left, open_words = start.copy(), length.copy(), slice(None)
+    while len(at):
+        part = np.take(eight, at) & _BYTES[np.minimum(left, 8)]
+        found[open_words] = _mix(found[open_words] * _STEP ^ part)
+        more = np.flatnonzero(left > 8)
+        open_words = more if isinstance(open_words, slice) else open_words[more]
+        at, left = at[more] + 8, left[more] - 8
+    return start, found
+
+
+def hash_of(word: bytes) -> int:
+    return int(word_hashes(word)[1][0]) if word else int(_END)
 
 
 @dataclass
 class Piece:
-    """Texts of some documents as numbers of words: 0 is the end."""
+    """Texts of some documents as numbers of words, in the order of their hashes."""
 
-    hashes: np.ndarray  # of each number
-    ids: np.ndarray  # tokens of all documents, each closed by 0
-    ends: np.ndarray  # tokens up to the end of each document
+    hashes: np.ndarray  # of each number, ascending
+    words: np.ndarray  # tokens of all documents, each closed by an end
+    before: np.ndarray  # what stands before each token; a text begins after an end
+    doc: np.ndarray  # of each token
+    sizes: np.ndarray  # tokens of each document
 
-    def before(self) -> np.ndarray:
-        """The context of each token; a text begins after an end."""
-        return np.r_[0, self.ids[:-1]] if len(self.ids) else self.ids
+    def keys(self) -> np.ndarray:
+        return self.before * np.int64(len(self.hashes)) + self.words
+
+
+def _split(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens of the texts, and tokens of each text."""
+    joined = b"\n".join(texts).lower()
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    starts, hashes, low = [], [], 0
+    while low < len(joined):
+        high = low + SPLIT_BYTES
+        if high < len(joined):  # a word is never cut
+            while high < len(joined) and not _SPACE[joined[high]]:
+                high += 1
+        start, found = word_hashes(joined[low:high])
+        starts.append(start + low)
+        hashes.append(found)
+        low = high
+    starts = np.concatenate(starts) if starts else np.zeros(0, dtype=np.int64)
+    doc = np.searchsorted(begins, starts, side="right") - 1
+    tokens = np.full(len(starts) + len(texts), _END, dtype=np.uint64)
+    if len(starts):
+        tokens[np.arange(len(starts)) + doc] = np.concatenate(hashes)
+    return tokens, np.bincount(doc, minlength=len(texts)) + 1
 
 
 def pieces(batches, at: int):
     """(piece, batches it covers) from an iterator of Arrow batches with texts in column ``at``."""
-    numbers, ids, ends, covered, used = {b"": 0}, [], [], [], 0
+    texts, covered, used = [], [], 0
 
     def closed():
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), dtype=np.uint64, count=len(numbers))
-        return Piece(hashes, np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32), np.array(ends, dtype=np.int64)), covered
+        tokens, sizes = _split(texts)
+        hashes, words = np.unique(np.r_[tokens, _END], return_inverse=True)
+        words = words.astype(np.int64)
+        end, words = words[-1], words[:-1]
+        return Piece(hashes, words, np.r_[end, words[:-1]], np.repeat(np.arange(len(sizes)), sizes), sizes), covered
 
-    total = 0
     for batch in batches:
-        for text in batch.column(at):
-            text = text.as_py() or b""
-            used += len(text)
-            for part in words_of(text):
-                ids.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in part), dtype=np.int32, count=len(part)))
-                total += len(part)
-            ids.append(np.zeros(1, dtype=np.int32))
-            total += 1
-            ends.append(total)
+        texts += [t.as_py() or b"" for t in batch.column(at)]
+        used += batch.column(at).nbytes
         covered.append(batch)
-        if used >= PIECE_BYTES:
+        if used >= PIECE_BYTES or len(texts) >= PIECE_DOCS:
             yield closed()
-            numbers, ids, ends, covered, used, total = {b"": 0}, [], [], [], 0, 0
+            texts, covered, used = [], [], 0
     if covered:
         yield closed()
 
@@ -155,21 +191,19 @@ def plan(docs: DataFrame) -> Layout:
 
     def run(batches):
         for batch in batches:
-            counts, n = Counter(), 0
-            for text in batch.column(0):
-                for part in words_of(text.as_py() or b""):
-                    counts.update(part)
-                    n += len(part)
-                counts[b""] += 1
-                n += 1
-            least = max(256, n // HOT_WORDS)
-            heavy = [(w, c) for w, c in counts.items() if c >= least]
+            size = sum(len(t.as_py() or b"") for t in batch.column(0))
+            read = [t.as_py() or b"" for t in batch.column(0)[::LAYOUT_EVERY]]
+            tokens = _split(read)[0]
+            share = len(tokens) / max(1, sum(map(len, read)))  # tokens a byte
+            hashes, counts = np.unique(tokens, return_counts=True)
+            heavy = counts >= max(8, len(tokens) // HOT_WORDS)
+            total = int(share * size) + batch.num_rows
+            scaled = counts[heavy] * (total / max(1, len(tokens)))
             yield pa.RecordBatch.from_arrays([
-                pa.array([None, *(xxhash.xxh64_intdigest(w) for w, _ in heavy)], pa.uint64()).view(pa.int64()),
-                pa.array([n, *(c for _, c in heavy)], pa.int64())], ["h", "n"])
+                pa.array([None, *hashes[heavy].view(np.int64).tolist()], pa.int64()),
+                pa.array([total, *scaled.astype(np.int64).tolist()], pa.int64())], ["h", "n"])
 
-    counts = arrow_pass(docs.select(utf8()), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    counts = materialise(counts)
+    counts = settle(arrow_pass(docs.select(utf8()), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     total = counts.where("h IS NULL").collect()
     total = total[0]["n"] if total else 0
     buckets = -(-total // BUCKET_TOKENS) or 1
@@ -186,13 +220,24 @@ def _message(bucket: int, kind: str, data: bytes) -> pa.RecordBatch:
 
 def _pair_blob(piece: Piece, context: np.ndarray, word: np.ndarray, *more) -> bytes:
     """Pairs sorted by context, then word: hashes of the contexts with their runs, of the words, and word numbers."""
-    contexts, runs = np.unique(context, return_counts=True)
-    words, number = np.unique(word, return_inverse=True)
-    return pack(piece.hashes[contexts], runs, piece.hashes[words], number, *more)
+    first = np.flatnonzero(np.diff(context, prepend=-1))
+    used = np.zeros(len(piece.hashes) + 1, dtype=np.int64)
+    used[word + 1] = 1
+    return pack(deltas(piece.hashes[context[first]]), np.diff(np.r_[first, len(context)]),
+                deltas(piece.hashes[np.flatnonzero(used[1:])]), np.cumsum(used)[word], *more)
+
+
+def deltas(hashes: np.ndarray) -> np.ndarray:
+    """Ascending hashes as steps, byte by byte, so that leading zeros compress."""
+    return np.diff(hashes, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.copy()
+
+
+def undeltas(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(planes.T.copy().view("<u8").ravel().astype(np.uint64), dtype=np.uint64)
 
 
 def _slices(buckets: np.ndarray):
-    order = np.argsort(buckets, kind="stable")
+    order = np.argsort(buckets.astype(np.int16) if len(buckets) and buckets.max() < 1 << 15 else buckets, kind="stable")
     cuts = np.flatnonzero(np.diff(buckets[order])) + 1
     for part in np.split(order, cuts) if len(order) else ():
         yield int(buckets[part[0]]), part
@@ -204,14 +249,13 @@ def _pairs(docs: DataFrame, layout: Layout) -> DataFrame:
     def run(batches):
         for piece, covered in pieces(batches, 0):
             size = np.int64(len(piece.hashes))
-            key = piece.before().astype(np.int64) * size + piece.ids
             held = np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in covered])
-            held = np.repeat(held, np.diff(np.r_[0, piece.ends]))
-            pair = np.unique(key)
-            count = np.zeros(len(pair), dtype=np.int64)
-            trained, n = np.unique(key[~held], return_counts=True)
-            count[np.searchsorted(pair, trained)] = n
-            context, word = pair // size, pair % size
+            key = piece.keys() * 2 + held[piece.doc]
+            key.sort()
+            starts = np.flatnonzero(np.r_[True, (key[1:] >> 1) != (key[:-1] >> 1)])
+            count = np.add.reduceat(1 - (key & 1), starts)
+            context, word = np.divmod(key[starts] >> 1, size)
+            del key
             bucket = layout.bucket(piece.hashes[context], layout.parts_of(piece.hashes)[context], piece.hashes[word])
             for b, part in _slices(bucket):
                 yield _message(b, "pairs", _pair_blob(piece, context[part], word[part], count[part]))
@@ -242,6 +286,7 @@ class Pairs:
 
     @classmethod
     def merged(cls, blobs: list[list[np.ndarray]]) -> Pairs:
+        blobs = [[undeltas(b[0]), b[1], undeltas(b[2]), *b[3:]] for b in blobs]
         contexts = np.unique(np.concatenate([b[0] for b in blobs]))
         words = np.unique(np.concatenate([b[2] for b in blobs]))
         keys = np.concatenate([locate(contexts, words, b) for b in blobs])
@@ -253,7 +298,12 @@ class Pairs:
         return cls(contexts, np.bincount(context, minlength=len(contexts)), words, word, np.add.reduceat(counts[order], starts))
 
     def blob(self) -> bytes:
-        return pack(self.contexts, np.bincount(self.context, minlength=len(self.contexts)), self.words, self.word, self.count)
+        return pack(deltas(self.contexts), np.bincount(self.context, minlength=len(self.contexts)), deltas(self.words),
+                    self.word, self.count)
+
+    @classmethod
+    def of(cls, arrays: list[np.ndarray]) -> Pairs:
+        return cls(undeltas(arrays[0]), arrays[1], undeltas(arrays[2]), *arrays[3:])
 
     def keys(self) -> np.ndarray:
         return self.context * np.int64(len(self.words)) + self.word
@@ -273,8 +323,8 @@ def _merge(bucket: int, messages):
     more = np.flatnonzero(pairs.count > 1)
     contexts, context = np.unique(pairs.context[more], return_inverse=True)
     words, word = np.unique(pairs.word[more], return_inverse=True)
-    yield _message(bucket, "open", pack(pairs.contexts[contexts], once[contexts], context, pairs.words[words], word,
-                                        pairs.count[more], np.ones(len(more), dtype=np.int64)))
+    yield _message(bucket, "open", pack(deltas(pairs.contexts[contexts]), once[contexts], context,
+                                        deltas(pairs.words[words]), word, pairs.count[more], np.ones(len(more), dtype=np.int64)))
     yield _message(bucket, "sums", pack(np.array([(pairs.count == 1).sum(), (pairs.count == 2).sum()])))
 
 
@@ -287,10 +337,10 @@ def _word_rows(state: DataFrame, kind: str) -> DataFrame:
             for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 arrays = unpack(data.as_py())
                 if kind == "open":
-                    words = arrays[3]
+                    words = undeltas(arrays[3])
                     more = [np.zeros(len(words), dtype=np.int64)] * 3
                 else:
-                    pairs = Pairs(*arrays)
+                    pairs = Pairs.of(arrays)
                     words, n = pairs.words, len(pairs.words)
                     more = [np.bincount(pairs.word, weights, n).astype(np.int64) for weights in (
                         pairs.count, pairs.count == 1, pairs.count > 0)]
@@ -401,6 +451,7 @@ def _seats(bucket: int, messages, number: int, layout: Layout, hot: dict[int, in
         else:
             found.append(arrays)
     contexts, once, context, words, word, count, *earlier = state
+    contexts, words = undeltas(contexts), undeltas(words)
     tables, random = earlier[-1].astype(np.int64), np.random.default_rng([bucket, number])
     p = np.zeros(len(words))
     for w, k, t in found:
@@ -411,7 +462,7 @@ def _seats(bucket: int, messages, number: int, layout: Layout, hot: dict[int, in
         h = int(contexts[i])
         x[i] = np.random.default_rng([h, number]).standard_gamma(STRENGTH / discount + hot.get(h, 0))
     tables = draw_tables(count.astype(np.int64), x[context] * discount * p[word], discount, _log_stirling(discount, EXACT), random)
-    yield _message(bucket, "open", pack(contexts, once, context, words, word, count, *earlier[number <= BURN_IN + 1:], tables))
+    yield _message(bucket, "open", pack(deltas(contexts), once, context, deltas(words), word, count, *earlier[number <= BURN_IN + 1:], tables))
     yield _message(bucket, "tables", pack(words, np.bincount(word, tables, len(words)).astype(np.int64)))
 
 
@@ -438,10 +489,10 @@ def _hot_totals(state: DataFrame, layout: Layout) -> tuple[dict[int, int], list[
         for batch in batches:
             for kind, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 arrays, out = unpack(data.as_py()), []
-                contexts = arrays[0]
+                contexts = undeltas(arrays[0])
                 at = np.flatnonzero(layout.is_hot(contexts))
                 if kind == "pairs":
-                    pairs = Pairs(*arrays)
+                    pairs = Pairs.of(arrays)
                     out.append(np.bincount(pairs.context, pairs.count, len(contexts)))
                     out.append(np.bincount(pairs.context, pairs.count == 1, len(contexts)))
                 else:
@@ -493,37 +544,42 @@ def _root_draw(rows: DataFrame, root: Root, number: int) -> DataFrame:
 def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
     """Count pairs of all documents, seat those of the training documents, and keep the rounds after the burn-in."""
     layout = plan(docs)
-    state = materialise(_streamed(_pairs(docs, layout), _merge, _MESSAGE))
+    state = settle(_streamed(_pairs(docs, layout), _merge, _MESSAGE))
     sums = _exploded_sums(state)
     discount = discount_of(*sums)
-    words = materialise(_word_rows(state, "pairs").groupBy("w").agg(
-        F.sum("c").alias("c"), F.sum("once").alias("once"), F.sum("k").alias("k")))
-    total = words.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long")), F.sum("k"), F.sum((F.col("k") == 1).cast("long")),
-                      F.sum((F.col("k") == 2).cast("long"))).collect()[0]
-    tokens, types, customers, once, twice = (v or 0 for v in total)
+    words = settle(_word_rows(state, "pairs").groupBy("w").agg(
+        F.sum("c").alias("c"), F.sum("once").alias("once"), F.sum("k").alias("k")).where("c > 0"))
+    is_one = F.col("c") == 1
+    total = words.agg(F.sum("c"), F.count("*"), F.count_if(is_one), F.sum("k"), F.count_if(F.col("k") == 1), F.count_if(F.col("k") == 2)).collect()[0]
+    tokens, types, ones, customers, once, twice = (v or 0 for v in total)
     root = Root(types, customers, types, discount_of(once, twice))
-    current = words.select("w", "k", F.least("k", F.lit(1)).alias("t"))
-    pairs, seats, kept, roots = state.where("kind = 'pairs'"), state.where("kind = 'open'"), [], []
-    static = words.select("w", "c", "once")
+    # A word with one customer sits at one table whatever happens; only the others go through the rounds.
+    static = words.where(~is_one).select("w", "c", "once")
+    current = words.where(~is_one).select("w", "k", F.lit(1).cast("long").alias("t"))
+    pairs, seats, roots = state.where("kind = 'pairs'"), state.where("kind = 'open'"), []
     for number in range(1, rounds + 1):
         asked = _word_rows(seats, "open").select("w", "bucket").join(current, "w")
         hot = _hot_totals(pairs.unionAll(seats), layout)[1][-1]
         step = lambda bucket, messages, n=number, h=hot, r=root: _seats(bucket, messages, n, layout, h, r, discount)
-        seats = materialise(_streamed(seats.where("kind = 'open'").unionAll(_replies(asked, ["k", "t"])), step, _MESSAGE))
+        seats = settle(_streamed(seats.where("kind = 'open'").unionAll(_replies(asked, ["k", "t"])), step, _MESSAGE))
         sent = _exploded(seats, "tables", ("w", "sent")).groupBy("w").agg(F.sum("sent").alias("sent"))
         seated = static.join(sent, "w", "left").select(
-            "w", "c", "once", *[x for i in range(len(kept)) for x in (f"k{i}", f"t{i}")],
+            "w", "c", "once", *[x for i in range(len(roots)) for x in (f"k{i}", f"t{i}")],
             (F.col("once") + F.coalesce("sent", F.lit(0))).alias("k"))
-        drawn = materialise(_root_draw(seated, root, number))
-        customers, tables = (v or 0 for v in drawn.agg(F.sum("k"), F.sum("t")).collect()[0])
+        drawn = settle(_root_draw(seated, root, number))
+        customers, tables = ((v or 0) + ones for v in drawn.agg(F.sum("k"), F.sum("t")).collect()[0])
         root = Root(types, customers, tables, root.discount)
         current = drawn.select("w", "k", "t")
         if number > BURN_IN:
-            i = len(kept)
-            static = drawn.withColumnsRenamed({"k": f"k{i}", "t": f"t{i}"})
-            kept.append(number)
+            static = drawn.withColumnsRenamed({"k": f"k{len(roots)}", "t": f"t{len(roots)}"})
             roots.append(root)
-    return Model(layout, pairs.unionAll(seats.where("kind = 'open'")), static, tuple(roots), discount, tokens, types)
+    sole = words.where(is_one).select("w", "c", *[F.lit(1).cast("long").alias(x) for x in _samples(len(roots))])
+    return Model(layout, pairs.unionAll(seats.where("kind = 'open'")), static.select("w", "c", *_samples(len(roots))).unionAll(sole),
+                 tuple(roots), discount, tokens, types)
+
+
+def _samples(n: int) -> list[str]:
+    return [x for i in range(n) for x in (f"k{i}", f"t{i}")]
 
 
 def _exploded_sums(state: DataFrame) -> tuple[int, int]:
@@ -547,7 +603,7 @@ def _postings(docs: DataFrame, layout: Layout) -> DataFrame:
         partition = TaskContext.get().partitionId() << 32
         for number, (piece, covered) in enumerate(pieces(batches, 0)):
             name, size = np.int64(partition + number), np.int64(len(piece.hashes))
-            lengths = np.diff(np.r_[0, piece.ends])
+            lengths = piece.sizes
             ids = pa.concat_arrays([b.column(2) for b in covered])
             held = np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in covered])
             stored = pa.RecordBatch.from_arrays([ids], ["doc_id"])
@@ -556,18 +612,20 @@ def _postings(docs: DataFrame, layout: Layout) -> DataFrame:
                 writer.write_batch(stored)
             yield _message(int(name % layout.buckets), "y", pack(
                 np.array([name]), np.frombuffer(sink.getvalue(), dtype=np.uint8), held.astype(np.uint8), lengths))
-            key = piece.before().astype(np.int64) * size + piece.ids
-            order = np.argsort(key, kind="stable")
-            doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[order]
-            key = key[order]
-            new_pair = np.r_[True, key[1:] != key[:-1]][:len(key)]
-            starts = np.flatnonzero(new_pair | np.r_[True, doc[1:] != doc[:-1]][:len(key)])
+            docs_of = np.int64(len(lengths))
+            key, pair = piece.keys(), None
+            if int(size) ** 2 * int(docs_of) >= 1 << 63:  # number the pairs first
+                pair, key = np.unique(key, return_inverse=True)
+            key = key * docs_of + piece.doc
+            key.sort()
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             n = np.diff(np.r_[starts, len(key)])
-            first = np.flatnonzero(new_pair)
-            context, word = np.divmod(key[first], size)
-            entries = np.searchsorted(starts, np.r_[first, len(key)])  # of each pair, up to the next one's
+            key, doc = np.divmod(key[starts], docs_of)
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            context, word = np.divmod(key[first] if pair is None else pair[key[first]], size)
+            entries = np.r_[first, len(key)]  # of each pair, up to the next one's
+            del key, starts
             bucket = layout.bucket(piece.hashes[context], layout.parts_of(piece.hashes)[context], piece.hashes[word])
-            doc = doc[starts]
             for b, part in _slices(bucket):
                 length = entries[part + 1] - entries[part]
                 within = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
@@ -585,7 +643,8 @@ def _scores(bucket: int, messages, model: tuple, hot: tuple):
 
     def valued():
         n = len(pairs.words)
-        seen, k, t = np.zeros(n), np.zeros((len(roots), n)), np.zeros((len(roots), n))
+        alone = (np.bincount(pairs.word, pairs.count, n) > 0).astype(np.float64)  # unless a reply says more
+        seen, k, t = alone.copy(), np.tile(alone, (len(roots), 1)), np.tile(alone, (len(roots), 1))
         for reply in replies:
             at = np.searchsorted(pairs.words, reply[0])
             seen[at] = reply[1]
@@ -607,7 +666,7 @@ def _scores(bucket: int, messages, model: tuple, hot: tuple):
 
     for kind, arrays in messages:
         if kind == "pairs":
-            pairs = Pairs(*arrays)
+            pairs = Pairs.of(arrays)
         elif kind == "open":
             seats = arrays
         elif kind == "reply":
@@ -618,7 +677,7 @@ def _scores(bucket: int, messages, model: tuple, hot: tuple):
             if values is None:
                 values, replies = valued(), []
             keys, score, base, known = values
-            key = locate(pairs.contexts, pairs.words, arrays)
+            key = locate(pairs.contexts, pairs.words, [undeltas(arrays[0]), arrays[1], undeltas(arrays[2]), arrays[3]])
             length, doc, n, name = arrays[4:]
             at, docs = np.repeat(np.searchsorted(keys, key), length), int(doc.max()) + 1
             word = np.repeat(key % len(pairs.words), length)
@@ -640,11 +699,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     columns are ignored. ``score`` covers the end of the text as well.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    columns = [x for i in range(len(model.roots)) for x in (f"k{i}", f"t{i}")]
-    asked = _word_rows(model.state, "pairs").select("w", "bucket").join(model.words.where("c > 0"), "w")
+    columns = _samples(len(model.roots))
+    # A bucket that has the only customer of a word needs no reply.
+    asked = _word_rows(model.state, "pairs").select("w", "bucket", F.col("c").alias("own")).join(model.words, "w").where("own <> 1 OR c <> 1")
+    replies = settle(_replies(asked, ["c", *columns]))
     hot = _hot_totals(model.state, model.layout)
     arguments = model.layout, model.roots, model.discount, model.tokens, model.types
-    messages = model.state.unionAll(_replies(asked, ["c", *columns])).unionAll(_postings(docs, model.layout))
+    messages = model.state.unionAll(replies).unionAll(_postings(docs, model.layout))
     parts = _streamed(messages, lambda bucket, rows: _scores(bucket, rows, arguments, hot),
                       "bucket long, kind string, source int, data binary")
     tokens = model.tokens

@@ -53,17 +53,18 @@ def check_base(found, docs):
 
 def plain_scores(model, docs):
     """Averaged predictive probabilities from the seating, with dictionaries."""
-    h = lambda w: py.xxhash.xxh64_intdigest(w.encode())
+    h = lambda w: py.hash_of(w.encode())
     c, t = collections.Counter(), [collections.Counter() for _ in model.roots]
     opened = {}
     for r in model.state.collect():
         a = py.unpack(r["data"])
         if r["kind"] == "open":
+            a[0], a[3] = py.undeltas(a[0]), py.undeltas(a[3])
             for i in range(len(a[2])):
                 pair = int(a[0][a[2][i]]), int(a[3][a[4][i]])
                 opened[pair] = [int(x[i]) for x in a[6:]]
         else:
-            p = py.Pairs(*a)
+            p = py.Pairs.of(a)
             for u, w, n in zip(p.contexts[p.context], p.words[p.word], p.count):
                 c[int(u), int(w)] += int(n)
     for pair, n in c.items():
@@ -81,7 +82,7 @@ def plain_scores(model, docs):
     words = {int(np.int64(r["w"]).view(np.uint64)): r for r in model.words.collect()}
     for s, root in enumerate(model.roots):
         assert root.customers == sum(sent[s].values())
-        assert all(words[w][f"k{s}"] == k and (k > 0) <= words[w][f"t{s}"] <= max(k, 0) for w, k in sent[s].items())
+        assert all(words[w][f"k{s}"] == k and 0 < words[w][f"t{s}"] <= k for w, k in sent[s].items() if k)
     d, strength = model.discount, py.STRENGTH
 
     def single(s, w):
@@ -192,6 +193,24 @@ def test_draws_follow_the_weights(discount):
     assert many.mean() == pytest.approx(mean[0], rel=0.02) and many.var() == pytest.approx(variance[0], rel=0.1)
 
 
+def test_word_hashes_and_splits(monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcü", k=rng.choice([1, 2, 7, 8, 9, 16, 17, 40, 300]))) for _ in range(500)]
+    by_word = {w: py.hash_of(w.encode()) for w in words}
+    assert len(set(by_word.values())) == len(by_word)
+    texts = [" ".join(words[i:i + 7]) for i in range(0, 500, 7)] + ["", " \t", "A aA"]
+    monkeypatch.setattr(py, "SPLIT_BYTES", 50)
+    tokens, sizes = py._split([t.encode() for t in texts])
+    want = [py.hash_of(w.encode()) for t in texts for w in tokens_of(t)]
+    assert tokens.tolist() == want and sizes.tolist() == [len(tokens_of(t)) for t in texts]
+    hashes = np.sort(tokens)
+    assert (py.undeltas(py.deltas(hashes)) == hashes).all()
+
+
+def tokens_of(text):
+    return globals()["tokens"](text)
+
+
 def test_large_dishes_stay_in_range():
     c = np.array([65, 1000, 10 ** 6, 10 ** 9])
     for q in (1e-6, 0.5, 1e4):
