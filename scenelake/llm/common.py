@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -65,12 +66,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove written tables that nothing refers to any more (shared disk, not memory)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Like ``materialise``; the shuffle files behind the written rows are removed at once."""
     conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(name, "false")
     conf.set(name, "true")
     try:
-        return materialise(df)
+        return materialise(df.select("*"))  # a query takes this setting when it is made
     finally:
         conf.set(name, before)

@@ -35,12 +35,12 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from scenelake.llm.common import arrow_pass, settle, utf8
+from scenelake.llm.common import arrow_pass, release, settle, utf8
 
 ROUNDS = 3
 BURN_IN = 1  # rounds whose probabilities are not averaged
 STRENGTH = 1.0
-BUCKET_TOKENS = 3 << 20
+BUCKET_TOKENS = 6 << 20
 PIECE_BYTES = 12 << 20  # texts whose pairs are counted together before they travel
 PIECE_DOCS = 1 << 16
 SPLIT_BYTES = 2 << 20  # of the texts of a piece, split into words at once
@@ -573,6 +573,8 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
         if number > BURN_IN:
             static = drawn.withColumnsRenamed({"k": f"k{len(roots)}", "t": f"t{len(roots)}"})
             roots.append(root)
+        del asked, sent, seated, drawn
+        release(docs.sparkSession)  # the tables of the round before
     sole = words.where(is_one).select("w", "c", *[F.lit(1).cast("long").alias(x) for x in _samples(len(roots))])
     return Model(layout, pairs.unionAll(seats.where("kind = 'open'")), static.select("w", "c", *_samples(len(roots))).unionAll(sole),
                  tuple(roots), discount, tokens, types)
