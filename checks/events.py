@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from checks import views as v
@@ -10,6 +12,7 @@ from checks.registry import check
 from scenelake.operators import evaluation, neighbourhood as nb, radiometry, registration as reg, timeline
 from scenelake.operators.blocks import roll_up, unroll
 from scenelake.plans import change_event as ce, rgb_report as rgb
+from scenelake.session import ensure_checkpoint_dir
 from scenelake.sources import pairs as pair_source, rasters, records
 
 # Masks and backscatter derived from the bands: even scenes use bit flags, odd
@@ -189,10 +192,10 @@ def _(s, sf):
 
 @check("change_event_export", "event_id:s artifact:s n_chars:l")
 def _(s, sf):
-    rows = assembled(s, sf)
-    return rows.select("event_id", F.explode(F.create_map(
-        F.lit("stac"), F.to_json("stac_change_event"), F.lit("provenance"), F.to_json("provenance"),
-        F.lit("readme"), records.event_readme(rows))).alias("artifact", "text")).withColumn("n_chars", F.length("text"))
+    path = f"{ensure_checkpoint_dir(s)}/events-{uuid4().hex}"
+    records.export_events(assembled(s, sf), path)
+    stored = records.read_events(s, path)
+    return stored.withColumn("n_chars", F.length("value"))
 
 
 # ---- time -------------------------------------------------------------------
@@ -238,13 +241,21 @@ def _(s, sf):
     return _stack(s, sf)[1].withColumnRenamed("earliest_supported_date", "earliest")
 
 
-def _stack(s, sf):
+@check("change_stack_blocks", "site:l t1:t t2:t confidence:6 qa_coverage:6", """
+SELECT scene % 8 AS site, TIMESTAMP '2024-01-01' + to_days(CAST(scene AS INTEGER)) AS t1, TIMESTAMP '2024-01-01' + to_days(CAST(scene + 8 AS INTEGER)) AS t2,
+       confidence, qa_coverage FROM ev_conf""", STACK)
+def _(s, sf):
+    cut = lambda rows: v.blocks_of_pictures(rows, ["r", "g", "b", "qa", "sar"])
+    return _stack(s, sf, cut)[0].withColumnsRenamed({"t1_date": "t1", "t2_date": "t2"})
+
+
+def _stack(s, sf, cut=lambda rows: rows):
     rows = v.picture_stack(s, sf)
     parity = F.col("picture") % 2 == 1
     bits = lambda x: F.when(F.floor(x * 997.0) % 8 == 0, 3).when(F.floor(x * 997.0) % 8 == 1, 33).otherwise(1)
     rows = rows.withColumn("qa", F.transform("r", lambda x: F.when(parity, (F.floor(x * 997.0) % 12).cast("int")).otherwise(bits(x))))
     rows = rows.withColumn("sar", F.when(F.col("picture") % 3 != 0, F.transform("g", lambda x: x * 0.4)))
-    return ce.detect_change_over_stack(rows, "site", "ts", register=False)
+    return ce.detect_change_over_stack(cut(rows), "site", "ts", register=False)
 
 
 @check("change_stack_evidence", "site:l t1:t t2:t confidence:6 qa_coverage:6", """
@@ -460,12 +471,19 @@ def _(s, sf):
 @check("raster_scan", "vec_id:l y:l x:l v:6", """
 SELECT vec_id, pos // 8 AS y, pos % 8 AS x, CAST(e AS DOUBLE) AS v FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)""")
 def _(s, sf):
-    e = v.table(s, sf, "embeddings")
-    files = e.select(F.col("vec_id").cast("string").alias("path"),
-                     rasters.encode_npy(F.col("embedding").cast("array<double>"), F.lit(8)).alias("content"))
-    blocks = rasters.decode_files(files, block=4)
-    px = unroll(blocks, ["path", "block_row", "block_col"], ["values"])
-    return px.select(F.col("path").cast("bigint").alias("vec_id"), (F.col("block_row") * 4 + F.col("y")).alias("y"),
+    # Files of up to 64 pictures as bands, named by their first one; read back in windows of 4 x 4.
+    path = f"{ensure_checkpoint_dir(s)}/rasters-{uuid4().hex}"
+    e = v.table(s, sf, "embeddings").groupBy(F.expr("vec_id div 64").alias("file")).agg(
+        F.array_sort(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("e")))).alias("b"))
+    listed = F.array_join(F.transform("b", lambda b: b["vec_id"].cast("string")), "-")
+    images = e.select(listed.alias("name"), F.size("b").alias("bands"), F.lit(8).alias("height"), F.lit(8).alias("width"),
+                      F.flatten(F.transform("b", lambda b: b["e"])).alias("values"))
+    names = images.select(F.sha2("name", 256).alias("file"), F.split("name", "-").alias("ids"))
+    rasters.write_images(images.withColumn("name", F.sha2("name", 256)), path)
+    blocks = rasters.scan(s, path, block=4, task_bytes=1 << 14)
+    px = unroll(blocks, ["path", "band", "block_row", "block_col"], ["values"])
+    px = px.withColumn("file", F.regexp_extract("path", "([^/]+)[.]npy$", 1)).join(names, "file")
+    return px.select(F.get("ids", F.col("band")).cast("bigint").alias("vec_id"), (F.col("block_row") * 4 + F.col("y")).alias("y"),
                      (F.col("block_col") * 4 + F.col("x")).alias("x"), F.col("values").alias("v"))
 
 
@@ -493,13 +511,25 @@ def _(s, sf):
     return pair_source.index_pairs(files, "levir")
 
 
-@check("checksum_manifest", "file:s size:l sha256:s state:s")
+@check("checksum_manifest", "file:s state:s size:l", """
+SELECT s_suppkey || '.npy' AS file, CASE WHEN s_suppkey % 5 = 0 THEN 'added' WHEN s_suppkey % 11 = 3 THEN 'missing'
+       WHEN s_suppkey % 7 = 1 THEN 'changed' ELSE 'same' END AS state,
+       CASE WHEN s_suppkey % 11 = 3 AND s_suppkey % 5 <> 0 THEN NULL ELSE 128 + 8 * 4 END AS size FROM supplier
+WHERE NOT (s_suppkey % 5 = 0 AND s_suppkey % 11 = 3)""")
 def _(s, sf):
+    # A file per supplier in two states of a folder; the manifest is stored in the first.
     from scenelake.sources import manifest
-    sums = manifest.checksums(s, sf, "*.parquet")
-    lines = manifest.manifest_lines(sums)
-    stored = lines.select(F.substring("value", 1, 64).alias("sha256"), F.expr("substring(value, 67)").alias("path"))
-    return manifest.verify(stored, sums).join(sums, "path").withColumn("file", F.regexp_extract("path", "[^/]+$", 0))
+    base = f"{ensure_checkpoint_dir(s)}/manifest-{uuid4().hex}"
+    key = F.col("s_suppkey")
+    rows = v.table(s, sf, "supplier").select(
+        key, key.cast("string").alias("name"), F.lit(1).alias("bands"), F.lit(2).alias("height"), F.lit(2).alias("width"))
+    four = lambda x: F.array(*[x.cast("double")] * 4).alias("values")
+    rasters.write_images(rows.where(key % 5 != 0).select("*", four(key)), f"{base}/before")
+    rasters.write_images(rows.where(key % 11 != 3).select("*", four(F.when(key % 7 == 1, -key).otherwise(key))), f"{base}/after")
+    manifest.append_manifest(manifest.checksums(s, f"{base}/before", ".npy"), f"{base}/sums")
+    now = manifest.checksums(s, f"{base}/after", ".npy")
+    states = manifest.verify(manifest.read_manifest(s, f"{base}/sums"), now)
+    return states.join(now.select("path", "size"), "path", "left").withColumnRenamed("path", "file")
 
 
 @check("fit_change_threshold", "tp:l fp:l fn:l tn:l precision:4 recall:4 f1:4")

@@ -9,10 +9,11 @@ from checks.registry import check, half_even
 from scenelake.functions import qa, spectral
 from scenelake.lookups import QA_BITS, REPORT_CATEGORIES
 from scenelake.operators import radiometry
-from scenelake.operators.blocks import bitemporal_join, pyramid, unroll
+from scenelake.operators.blocks import bitemporal_join, pyramid, roll_up, unroll
 from scenelake.operators.ranks import grouped_cdf
 from scenelake.plans import change_event as ce, rgb_report as rgb
-from scenelake.sources.rasters import scale_reflectance, write_mask
+from scenelake.sources import rasters
+from scenelake.sources.rasters import scale_reflectance
 
 IDS = "tile okey line".split()
 
@@ -328,9 +329,11 @@ def _(s, sf):
     from uuid import uuid4
     from scenelake.session import ensure_checkpoint_dir
     path = f"{ensure_checkpoint_dir(s)}/mask-{uuid4().hex}"
-    px = _changes(s, sf).withColumnRenamed("scene", "tile_id").withColumnRenamed("changed", "mask")
-    write_mask(px, path, min_size=8)
-    return s.read.parquet(path)
+    px = _changes(s, sf).select(F.col("scene").alias("tile_id"), "y", "x", F.col("changed").cast("double").alias("mask"))
+    blocks = roll_up(px, ["tile_id"], ["mask"]).withColumns(
+        {"block_row": F.lit(0), "block_col": F.lit(0), "block_size": F.lit(v.SCENE_WIDTH)})
+    rasters.write_mask(blocks, path, min_size=8)
+    return rasters.read_mask(s, path)
 
 
 ALIGN = v.PAIR_PX + ", " + ", ".join(f"""

@@ -41,6 +41,20 @@ def picture_stack(spark, sf) -> DataFrame:
         "ts", F.timestamp_add("DAY", F.col("picture").cast("int"), F.lit("2024-01-01").cast("timestamp")))
 
 
+def blocks_of_pictures(pictures: DataFrame, arrays, side: int = 4) -> DataFrame:
+    """Pictures cut into square blocks: one row per block, with its place."""
+    place = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"))
+                                for r in range(SCENE_WIDTH // side) for c in range(SCENE_WIDTH // side)]))
+    rows = pictures.withColumn("_p", place)
+
+    def cut(name: str):
+        starts = [F.col("_p.r") * side * SCENE_WIDTH + F.col("_p.c") * side + line * SCENE_WIDTH + 1 for line in range(side)]
+        return F.concat(*[F.slice(name, start, side) for start in starts])
+
+    return rows.withColumns({**{a: cut(a) for a in arrays}, "width": F.lit(side), "block_row": F.col("_p.r"),
+                             "block_col": F.col("_p.c"), "block_size": F.lit(side)}).drop("_p")
+
+
 def epoch_blocks(spark, sf, epoch: int) -> DataFrame:
     """Blocks of one date with arrays r, g, b."""
     roles = {b: F.col("band") == i for i, b in enumerate("rgb")}

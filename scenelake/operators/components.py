@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from scenelake.session import checkpoint
 
@@ -20,6 +22,21 @@ def salted_lookup(rows: DataFrame, table: DataFrame, key: str, spread: str, salt
     return salted.join(copies, [key, "_salt"], how).drop("_salt")
 
 
+def spread_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join rows to a table with unique ``keys`` (figures of a group) when one group may hold a third of the rows.
+
+    Rows are spread by the hash of their other plain columns over ``salts`` copies
+    of the table's row. Both sides are exchanged for the join, whatever grouping
+    made them, so groups that are still too large are split at run time.
+    """
+    plain = [F.col(f"`{f.name}`") for f in rows.schema
+             if f.name not in keys and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    salt = F.pmod(F.xxhash64(*plain), F.lit(salts)) if plain else F.lit(0)
+    salted = rows.withColumn("_salt", salt.cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, component) with component = smallest node id reachable.
 

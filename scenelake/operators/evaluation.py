@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scenelake.functions.mathx import round_to, safe_ratio
+from scenelake.operators.components import spread_lookup
 from scenelake.operators.ranks import lowest_n
 
 
@@ -48,7 +49,7 @@ def class_weights(df: DataFrame, cls: str, num_classes: int = 5) -> DataFrame:
     total = counts.agg(F.sum("_c").cast("double").alias("t")).scalar()
     weights = counts.withColumn("_w", total / (F.col("_c") * num_classes))
     whole = weights.agg(F.sum(F.col("_w") * F.col("_c")).alias("s")).scalar()
-    return df.join(weights.select(cls, (F.col("_w") / whole).alias("weight")), cls)
+    return spread_lookup(df, weights.select(cls, (F.col("_w") / whole).alias("weight")), [cls])
 
 
 def split_holdout(df: DataFrame, ident: str, ratio: float = 0.20, seed: int = 42) -> tuple[DataFrame, DataFrame]:

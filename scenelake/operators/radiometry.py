@@ -11,7 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from scenelake.functions.mathx import clip
+from scenelake.operators.components import spread_lookup
 from scenelake.operators.ranks import grouped_cdf, grouped_quantiles
+from scenelake.operators.scenes import is_blocked
 
 # Ranges of the cumulative share in which two distributions are merged.
 SHARE_BUCKETS = 64
@@ -31,7 +33,7 @@ def tile_stats(pixels: DataFrame, keys: Sequence[str], values: Sequence[str]) ->
         (F.min_by("c", "v") / total).alias("share_min"), (F.max_by("c", "v") / total).alias("share_max"))
     # Squares of deviations: squares of the values would cancel where the mean is large.
     away = F.col("v") - F.col("_mean")
-    spread = counts.join(whole.select(*keys, "_mean"), list(keys)).groupBy(*keys).agg(
+    spread = spread_lookup(counts, whole.select(*keys, "_mean"), keys).groupBy(*keys).agg(
         F.sqrt(F.sum(away * away * F.col("c")) / total).alias("std"))
     return whole.join(spread, list(keys)).select(*keys, "n", "std", "v_min", "v_max", "share_min", "share_max")
 
@@ -60,7 +62,7 @@ def percentile_stretch(pixels: DataFrame, keys: Sequence[str], value: str, lower
     else:
         limits = grouped_quantiles(pixels, keys, value, [lower, upper], ["_lo", "_hi"])
     scaled = clip((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")), 0.0, 1.0)
-    return (pixels.join(limits, list(keys))
+    return (spread_lookup(pixels, limits, keys)
             .withColumn(out, F.when(F.col("_hi") > F.col("_lo"), scaled).otherwise(F.lit(0.0)))
             .drop("_lo", "_hi"))
 
@@ -73,6 +75,12 @@ def _moments(blocks: DataFrame, keys: Sequence[str], columns: Sequence[str]) ->
     return flat.groupBy(*keys).agg(*stats)
 
 
+def _with_moments(blocks: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Blocks with the moments of their key; a scene of many blocks is spread."""
+    moments = _moments(blocks, keys, columns)
+    return spread_lookup(blocks, moments, keys) if is_blocked(blocks) else blocks.join(moments, list(keys))
+
+
 def radiometric_align(blocks: DataFrame, keys: Sequence[str], bands: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Give later bands the mean and spread of the earlier ones, where both have contrast.
 
@@ -80,7 +88,7 @@ def radiometric_align(blocks: DataFrame, keys: Sequence[str], bands: Sequence[tu
     one aggregation and one join.
     """
     columns = [c for before, after, _ in bands for c in (before, after)]
-    joined = blocks.join(_moments(blocks, keys, columns), list(keys))
+    joined = _with_moments(blocks, keys, columns)
 
     def aligned(before: str, after: str) -> Column:
         m1, s1, m2, s2 = (F.col(f"{p}_{c}") for c in (before, after) for p in ("m", "s"))
@@ -97,7 +105,7 @@ def domain_standardize(blocks: DataFrame, keys: Sequence[str], value: str, out:
     """Shift a band to the reference mean and spread, then clip to [0, 1]."""
     m, s = F.col(f"m_{value}"), F.col(f"s_{value}")
     shifted = F.transform(F.col(value), lambda v: clip(F.when(s > 1e-6, (v - m) / s * std + mean).otherwise(v), 0.0, 1.0))
-    joined = blocks.join(_moments(blocks, keys, [value]), list(keys))
+    joined = _with_moments(blocks, keys, [value])
     return joined.withColumn(out, shifted).drop(f"m_{value}", f"s_{value}")
 
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from scenelake.operators.components import spread_lookup
 from scenelake.session import checkpoint
 
 BUCKETS = 1024
@@ -54,7 +55,7 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
                        F.col("t.rank").alias("_rank"), F.lit(0).cast("bigint").alias("_path")))
     for level in range(MAX_LEVELS):
         bucket = _value_bucket(F.col("_v"), F.col("_lo"), F.col("_hi"), F.col("_size"), buckets)
-        rows = (rows.join(bounds, [*keys, "_path"])
+        rows = (spread_lookup(rows, bounds, [*keys, "_path"])
                 .select(*keys, "_v", "_path", (F.col("_path") * buckets + bucket).alias("_next")))
         hist = rows.groupBy(*keys, "_path", "_next").agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         ordered = W.partitionBy(*keys, "_path").orderBy("_next")
@@ -63,8 +64,8 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
         found = targets.join(hist, [*keys, "_path"]).where(inside)
         targets = found.select(*keys, "_n", "_p", "_side", (F.col("_rank") - F.col("_start")).alias("_rank"), F.col("_next").alias("_path"))
         bounds = found.select(*keys, F.col("_next").alias("_path"), F.col("_c").alias("_size"), "_lo", "_hi").distinct()
-        rows = (rows.select(*keys, "_v", F.col("_next").alias("_path"))
-                .join(bounds.select(*keys, "_path"), [*keys, "_path"], "left_semi"))
+        rows = spread_lookup(rows.select(*keys, "_v", F.col("_next").alias("_path")), bounds.select(*keys, "_path"),
+                             [*keys, "_path"], "left_semi")
         if not bounds.where(_is_open(F.col("_size"), F.col("_lo"), F.col("_hi"))).limit(1).count():
             break
         rows, targets, bounds = checkpoint(rows), checkpoint(targets), checkpoint(bounds)  # else plans would nest
@@ -93,7 +94,7 @@ def grouped_cdf(df: DataFrame, keys: Sequence[str], value: str, buckets: int = B
         if not bounds.where(_is_open(F.col("_size"), F.col("_lo"), F.col("_hi"))).limit(1).count():
             break
         bucket = _value_bucket(F.col(value), F.col("_lo"), F.col("_hi"), F.col("_size"), buckets)
-        counts = checkpoint(counts.join(bounds, [*keys, "_path"]).select(
+        counts = checkpoint(spread_lookup(counts, bounds, [*keys, "_path"]).select(
             *keys, value, "n", (F.col("_path") * buckets + bucket).alias("_path")))
     hist = counts.groupBy(*keys, "_path").agg(F.sum("n").alias("_c"))
     ordered, whole = W.partitionBy(*keys).orderBy("_path"), W.partitionBy(*keys)

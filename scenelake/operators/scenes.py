@@ -14,7 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from scenelake.operators.components import spread_lookup
 from scenelake.operators.spectra import strip_shift
+from scenelake.session import checkpoint
 
 BLOCK = ("block_row", "block_col", "block_size")
 # Longest side of a scene that one task puts together, in pixels; larger ones are transformed in strips.
@@ -36,8 +38,9 @@ def scene_values(df: DataFrame, keys: Sequence[str], values: dict[str, tuple[Col
     out = df.withColumns({name: local for name, (local, _) in values.items()})
     if not is_blocked(df):
         return out
-    whole = out.groupBy(*keys).agg(*[combine(name).alias(name) for name, (_, combine) in values.items()])
-    return df.join(whole, list(keys))
+    # Written, so that a chain of such figures reads its rows once each instead of doubling the plan.
+    whole = checkpoint(out.groupBy(*keys).agg(*[combine(name).alias(name) for name, (_, combine) in values.items()]))
+    return spread_lookup(df, whole, list(keys))
 
 
 @F.pandas_udf(_PAIR)
@@ -71,7 +74,7 @@ def scene_shift(blocks: DataFrame, keys: Sequence[str], before: Column, after: C
                        (F.col("block_col") * F.col("block_size")).cast("int").alias("_left"))
     extent = px.groupBy(*keys).agg(F.max(F.col("_top") + (F.size("before") / F.col("width")).cast("int")).alias("_h"),
                                    F.max(F.col("_left") + F.col("width")).alias("_w"))
-    px = px.join(extent, keys) if keys else px.crossJoin(extent)
+    px = spread_lookup(px, extent, keys) if keys else px.crossJoin(extent)
     is_small = F.greatest("_h", "_w") <= WHOLE
     # What a scene collects is bounded by ``WHOLE``.
     part = F.struct("block_row", "block_col", "before", "after", "width")

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from scenelake.operators.components import spread_lookup
+
 
 def with_next(df: DataFrame, keys: Sequence[str], order: Sequence[str], payload: Sequence[str],
               bucket: Column) -> DataFrame:
@@ -65,5 +67,5 @@ def seasonal_zscore(df: DataFrame, site: str, ts: str, value: str, limit: float
     rows = df.withColumn("month", F.month(ts))
     base = rows.groupBy(site, "month").agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
     z = F.when(F.col("_s") > 1e-9, (F.col(value) - F.col("_m")) / F.col("_s")).otherwise(F.lit(0.0))
-    return (rows.join(base, [site, "month"]).withColumn("z", z)
+    return (spread_lookup(rows, base, [site, "month"]).withColumn("z", z)
             .withColumn("is_anomaly", F.abs("z") > limit).drop("_m", "_s"))

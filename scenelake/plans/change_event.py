@@ -199,19 +199,42 @@ def detect_change(pairs: DataFrame, keys: Sequence[str], bands: Sequence[str] =
     return pixels, events.withColumns({"change_type": kind, "change_morphology": morph, "stages": stages(F.col("sar_fused"))})
 
 
+def _block_pairs(acquisitions: DataFrame, site: str, ts: str, own: Sequence[str]) -> DataFrame:
+    """Blocks of each date of a site beside the same blocks of its next date.
+
+    Dates are paired first, on one small row per date; blocks then meet by site,
+    later date and place, so a busy site is spread over its dates and blocks. A
+    block that only one of two dates has is compared with nothing.
+    """
+    dates = timeline.scene_pairs(acquisitions.select(site, ts).distinct(), site, ts, []).select(
+        site, ts, F.col(f"next.{ts}").alias("_later"))
+    before = acquisitions.select(site, ts, *BLOCK, "width", *[F.col(c).alias(f"{c}1") for c in own])
+    after = acquisitions.select(site, F.col(ts).alias("_later"), *BLOCK, F.col("width").alias("_width"),
+                                *[F.col(c).alias(f"{c}2") for c in own])
+    paired = before.join(dates, [site, ts]).join(after, [site, "_later", *BLOCK])
+    sides = F.format_string("block widths differ: %d and %d", F.col("width"), F.col("_width"))
+    same = F.when(F.col("width") == F.col("_width"), F.col("width")).otherwise(F.raise_error(sides).cast("int"))
+    return paired.withColumn("width", same).drop("_width")
+
+
 def detect_change_over_stack(acquisitions: DataFrame, site: str, ts: str, bands: Sequence[str] = ("r", "g", "b"),
                              model=None, register: bool = True, min_confidence: float = 0.70,
                              min_coverage: float = 0.75) -> tuple[DataFrame, DataFrame]:
     """(evidence, result): every acquisition of a site compared with the next one.
 
     ``acquisitions``: one row per site and date with one array per band,
-    ``width``, and optionally qa, sar, view and incidence. ``evidence`` has one
-    row per pair, ``result`` the earliest supported date per site.
+    ``width``, and optionally qa, sar, view and incidence; or one row per site,
+    date and block of a larger scene (block numbers as in ``operators.scenes``).
+    ``evidence`` has one row per pair of dates, ``result`` the earliest
+    supported date per site.
     """
     own = [c for c in (*bands, "qa", "sar", "view", "incidence") if c in acquisitions.columns]
-    paired = timeline.scene_pairs(acquisitions, site, ts, own)
-    pairs = paired.select(site, ts, F.col(f"next.{ts}").alias("_later"), "width",
-                          *[F.col(c).alias(f"{c}1") for c in own], *[F.col(f"next.{c}").alias(f"{c}2") for c in own])
+    if is_blocked(acquisitions):
+        pairs = _block_pairs(acquisitions, site, ts, own)
+    else:
+        paired = timeline.scene_pairs(acquisitions, site, ts, own)
+        pairs = paired.select(site, ts, F.col(f"next.{ts}").alias("_later"), "width",
+                              *[F.col(c).alias(f"{c}1") for c in own], *[F.col(f"next.{c}").alias(f"{c}2") for c in own])
     _, events = detect_change(pairs, [site, ts, "_later"], bands, model, register)
     scored = events.select(site, ts, F.struct(F.col("_later").alias(ts), "confidence", "qa_coverage").alias("next"))
     evidence = timeline.date_confidence(scored, site, ts, min_confidence, min_coverage)

@@ -15,6 +15,7 @@ from scenelake.functions.spectral import (is_cloud_rgb, is_phenology, month_dist
                                           water_proxy)
 from scenelake.lookups import REPORT_CATEGORIES
 from scenelake.operators.blocks import unroll
+from scenelake.operators.components import spread_lookup
 from scenelake.operators.ranks import grouped_quantiles
 from scenelake.operators.registration import coregister
 
@@ -106,7 +107,7 @@ def mask_rgba(pixels: DataFrame, reports: DataFrame, keys: Sequence[str]) -> Dat
     """Overlay colour per pixel: the category's colour where changed, else transparent."""
     colours = reports.select(*keys, *[_by_category(i).alias(c) for c, i in zip("RGBA", (2, 3, 4, 5))])
     shown = [F.when(F.col("changed"), F.col(c)).otherwise(F.lit(0)).alias(c) for c in "RGBA"]
-    return pixels.join(colours, list(keys)).select(*keys, "y", "x", *shown)
+    return spread_lookup(pixels, colours, keys).select(*keys, "y", "x", *shown)
 
 
 def heatmap_rgba(pixels: DataFrame, keys: Sequence[str], bounded: bool = True) -> DataFrame:
@@ -124,7 +125,7 @@ def heatmap_rgba(pixels: DataFrame, keys: Sequence[str], bounded: bool = True) -
     def channel(x: Column) -> Column:
         return F.floor(x).cast("int")
 
-    return (pixels.join(top, list(keys))
+    return (spread_lookup(pixels, top, keys)
             .withColumn("_d", clip(F.col("distance") / (F.col("_p99") + 1e-6), 0.0, 1.0))
             .select(*keys, "y", "x", channel(d * 255).alias("R"),
                     channel((1.0 - F.abs(d - 0.5) * 2) * 200).alias("G"), channel((1.0 - d) * 255).alias("B"),

@@ -107,9 +107,32 @@ def event_readme(events: DataFrame) -> Column:
         F.col("confidence").cast("string"), F.col("change_type"), F.col("change_morphology"))
 
 
-def export_events(events: DataFrame, path: str) -> None:
-    """Per event: STAC feature, provenance and readme, as text files in a folder of the event."""
-    rows = events.select("event_id", F.explode(F.create_map(
+EVENT_FILES = 64  # files that an export is clustered into, by event
+
+
+def export_events(events: DataFrame, path: str, mask: DataFrame | None = None, files: int = EVENT_FILES) -> None:
+    """STAC feature, provenance, readme and optionally the mask of each event, as rows clustered by event.
+
+    ``mask`` has one row per block of a mask: event_id, block_row, block_col,
+    block_size, width and the array ``mask``. Rows of one event lie together, in
+    files ordered by event, so a reader of one event opens few files however
+    many events there are; the artefact is a folder level.
+    """
+    none = F.lit(None).cast("array<double>")
+    texts = events.select("event_id", F.explode(F.create_map(
         F.lit("stac"), F.to_json("stac_change_event"), F.lit("provenance"), F.to_json("provenance"),
-        F.lit("readme"), event_readme(events))).alias("artifact", "value"))
-    rows.write.mode("append").partitionBy("event_id", "artifact").text(path)
+        F.lit("readme"), event_readme(events))).alias("artifact", "value")).select(
+        "event_id", "artifact", "value", *[F.lit(None).cast("int").alias(c) for c in ("block_row", "block_col", "block_size", "width")],
+        none.alias("mask"))
+    if mask is not None:
+        texts = texts.unionByName(mask.select(
+            "event_id", F.lit("mask").alias("artifact"), F.lit(None).cast("string").alias("value"),
+            *[F.col(c).cast("int") for c in ("block_row", "block_col", "block_size", "width")], F.col("mask").cast("array<double>")))
+    # A busy event has many mask blocks: they are dealt by place as well.
+    dealt = texts.repartitionByRange(files, "event_id", F.coalesce("block_row", F.lit(-1)), F.coalesce("block_col", F.lit(-1)))
+    dealt.sortWithinPartitions("event_id").write.mode("append").partitionBy("artifact").parquet(path)
+
+
+def read_events(spark, path: str) -> DataFrame:
+    """Stored artefacts: event_id, artifact, value (texts) or the mask block."""
+    return spark.read.parquet(path)

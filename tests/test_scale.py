@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Row, functions as F
 
-from scenelake.operators import clusters, feedback, neighbourhood as nb, radiometry, ranks, timeline
+from scenelake.operators import clusters, evaluation, feedback, neighbourhood as nb, radiometry, ranks, timeline
 from scenelake.operators.components import connected_components
 from scenelake.operators.ranks import grouped_cdf, grouped_quantiles, lowest_n
 from scenelake.plans import rgb_report
@@ -162,12 +162,97 @@ def test_raster_files_round_trip(spark, tmp_path):
     assert {b.dtype for b in blocks.select("dtype").distinct().collect()} == {"float32"}
 
 
+def mask_blocks(spark, name, image, size):
+    rows = []
+    for r in range(-(-image.shape[0] // size)):
+        for c in range(-(-image.shape[1] // size)):
+            part = image[r * size:(r + 1) * size, c * size:(c + 1) * size]
+            rows.append((name, r, c, size, part.shape[1], part.astype(float).ravel().tolist()))
+    return spark.createDataFrame(rows, "tile_id string, block_row int, block_col int, block_size int, width int, mask array<double>")
+
+
+def cell_means(image, level):
+    side = 1 << level
+    return {(y // side, x // side): image[y:y + side, x:x + side].mean() for y in range(0, image.shape[0], side)
+            for x in range(0, image.shape[1], side)}
+
+
 def test_mask_sink_adds_overviews_to_large_masks_only(spark, tmp_path):
-    big = spark.range(512 * 4).select(F.lit("big").alias("tile_id"), F.expr("int(id div 512)").alias("y"), F.expr("int(id % 512)").alias("x"), (F.col("id") % 2 == 0).alias("mask"))
-    tiny = spark.range(16).select(F.lit("tiny").alias("tile_id"), F.expr("int(id div 4)").alias("y"), F.expr("int(id % 4)").alias("x"), F.lit(True).alias("mask"))
-    rasters.write_mask(big.unionByName(tiny), str(tmp_path / "m"))
-    got = {(r.tile_id, r.level): r["count"] for r in spark.read.parquet(str(tmp_path / "m")).groupBy("tile_id", "level").count().collect()}
-    assert got == {("big", 0): 2048, ("tiny", 0): 16, ("big", 1): 512, ("big", 2): 128, ("big", 3): 64, ("big", 4): 32}
+    rng = np.random.default_rng(3)
+    big, wide, tiny = rng.random((70, 90)) > 0.5, rng.random((5, 66)) > 0.3, rng.random((9, 7)) > 0.5
+    blocks = mask_blocks(spark, "big", big, 32).unionAll(mask_blocks(spark, "wide", wide, 32)).unionAll(mask_blocks(spark, "tiny", tiny, 32))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rasters.write_mask(blocks.mapInArrow(counted, blocks.schema), str(tmp_path / "m"), min_size=64)
+    assert seen.value == blocks.count()  # the input is evaluated once
+    got = {}
+    for r in rasters.read_mask(spark, str(tmp_path / "m")).collect():
+        got.setdefault((r.tile_id, r.level), {})[r.y, r.x] = r.mask
+    assert set(got) == {("tiny", 0), *[(t, n) for t in ("big", "wide") for n in range(5)]}
+    for (tile, level), cells in got.items():
+        assert cells == pytest.approx(cell_means({"big": big, "wide": wide, "tiny": tiny}[tile], level))
+
+
+def test_masks_are_blocks_on_disk_and_appended(spark, tmp_path):
+    image = np.arange(64 * 64).reshape(64, 64) % 3 == 0
+    for name in ("a", "b"):
+        rasters.write_mask(mask_blocks(spark, name, image, 32), str(tmp_path / "m"), min_size=64)
+    stored = spark.read.parquet(str(tmp_path / "m"))
+    assert {(r.tile_id, r.level): r["count"] for r in stored.groupBy("tile_id", "level").count().collect()} == {
+        (t, n): 4 for t in "ab" for n in range(5)}
+    with pytest.raises(Exception, match="whole cells"):
+        rasters.write_mask(mask_blocks(spark, "odd", image, 24), str(tmp_path / "odd"), min_size=8)
+
+
+def test_a_file_above_two_gigabytes_is_read_by_window(spark, tmp_path):
+    """Sparse zeros with a few values: only the windows asked for are read, by many tasks."""
+    bands, height, width = 2, 16_400, 16_400
+    path = tmp_path / "big.npy"
+    image = np.lib.format.open_memmap(path, mode="w+", dtype="float32", shape=(bands, height, width))
+    spots = {(0, 0, 0): 1.5, (1, 300, 16_399): 2.5, (1, 16_399, 16_399): 3.5}
+    for at, value in spots.items():
+        image[at] = value
+    del image
+    assert os.path.getsize(path) > 2 << 30
+    reader = rasters.RasterReader({"path": str(path), "block": "256"})
+    parts = reader.partitions()
+    assert len(parts) == -(-os.path.getsize(path) // rasters.TASK_BYTES)
+    with open(path, "rb") as source:
+        windows = rasters.Windows(source)
+        assert windows.places(256) == (2, 65, 65)
+        assert windows.read(0, 0, 0, 256)[0, 0] == 1.5 and windows.read(1, 1, 64, 256)[44, 15] == 2.5
+        assert windows.read(1, 64, 64, 256).shape == (16, 16) and windows.read(1, 64, 64, 256)[15, 15] == 3.5
+    last = [b for batch in reader.read(parts[-1]) for b in batch.to_pylist()]
+    total = 2 * 65 * 65
+    assert len(last) == total - total * (len(parts) - 1) // len(parts)
+    assert [max(b["values"]) for b in last if max(b["values"])] == [3.5]
+
+
+def test_windows_of_many_files_and_a_failed_write(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    images = {f"i{i}": rng.random((1 + i % 3, 20 + i, 13)) for i in range(12)}
+    rows = [(n, *a.shape, a.ravel().tolist()) for n, a in images.items()]
+    rasters.write_images(spark.createDataFrame(rows, rasters.IMAGE_SCHEMA).repartition(4), str(tmp_path / "r"))
+    assert sorted(os.listdir(tmp_path / "r")) == sorted(f"{n}.npy" for n in images)
+    for task_bytes in (1000, 1 << 20):
+        found = {}
+        for b in rasters.scan(spark, str(tmp_path / "r"), block=8, task_bytes=task_bytes).collect():
+            found[os.path.basename(b.path)[:-4], b.band, b.block_row, b.block_col] = np.array(b["values"]).reshape(b.height, b.width)
+        for n, a in images.items():
+            for band, y, x in np.ndindex(a.shape[0], -(-a.shape[1] // 8), -(-a.shape[2] // 8)):
+                assert (found.pop((n, band, y, x)) == a[band, y * 8:y * 8 + 8, x * 8:x * 8 + 8]).all()
+        assert not found
+    bad = spark.createDataFrame([*rows[:2], ("bad", 1, 2, 2, [1.0])], rasters.IMAGE_SCHEMA).repartition(1)
+    with pytest.raises(Exception):
+        rasters.write_images(bad, str(tmp_path / "f"))
+    assert not [f for f in os.listdir(tmp_path / "f") if f.endswith(".npy")]
+    rasters.write_images(spark.createDataFrame(rows[:3], rasters.IMAGE_SCHEMA), str(tmp_path / "r"), "overwrite")
+    assert len(os.listdir(tmp_path / "r")) == 3
 
 
 def test_manifest_finds_changes(spark, tmp_path):
@@ -195,13 +280,20 @@ def test_pair_layouts(spark, layout, paths, want):
     assert [(r["sample"], r[mask]) for r in out] == want
 
 
-def test_events_are_exported_per_folder(spark, small, tmp_path):
+def test_events_are_exported_in_clustered_files(spark, small, tmp_path):
     from checks.events import assembled
     ev = assembled(spark, small)
-    records.export_events(ev, str(tmp_path / "out"))
+    masks = ev.select("event_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("block_row"), F.lit(0).alias("block_col"),
+                      F.lit(2).alias("block_size"), F.lit(2).alias("width"), F.array(*[F.lit(1.0)] * 4).alias("mask"))
+    records.export_events(ev, str(tmp_path / "out"), masks, files=4)
+    stored = records.read_events(spark, str(tmp_path / "out"))
     n = ev.count()
-    for artifact in ("stac", "provenance", "readme"):
-        assert len(glob.glob(str(tmp_path / f"out/event_id=*/artifact={artifact}/*.txt"))) == n
+    assert {r.artifact: r["count"] for r in stored.groupBy("artifact").count().collect()} == {
+        "stac": n, "provenance": n, "readme": n, "mask": 4 * n}
+    assert len(glob.glob(str(tmp_path / "out/artifact=*/*.parquet"))) <= 16
+    one = stored.where(F.col("event_id") == ev.first()["event_id"])
+    assert one.where("artifact = 'readme'").collect()[0]["value"].startswith("Change Event: ")
+    assert one.where("artifact = 'mask'").count() == 4
 
 
 def test_load_alerts_only_into_an_empty_table(spark, tmp_path):
@@ -235,3 +327,50 @@ def test_order_statistics_survive_outliers(spark, monkeypatch):
     found = {r["v"]: r["q"] for r in cdf.where("k = 1").collect()}
     for share, v in enumerate(np.sort(values), 1):
         assert abs(found[float(v)] - share / len(values)) < 1e-12
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Joins by exchange, tasks not merged, so that the rows of a partition are those of a task."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, x in conf.items():
+        spark.conf.set(k, x)
+    yield
+    for k, x in before.items():
+        spark.conf.set(k, x)
+
+
+def heat(pixels):
+    return rgb_report.heatmap_rgba(pixels.withColumnRenamed("v", "distance"), ["k"], bounded=False)
+
+
+def colours(pixels):
+    reports = pixels.select("k").distinct().withColumn("category", F.lit("NO_CHANGE"))
+    return rgb_report.mask_rgba(pixels.withColumn("changed", F.col("v") > 0), reports, ["k"])
+
+
+@pytest.mark.parametrize("operator", [
+    lambda px: radiometry.percentile_stretch(px, ["k"], "v"), heat, colours, lambda px: evaluation.class_weights(px, "k"),
+    lambda px: timeline.seasonal_zscore(px.withColumn("ts", F.lit("2024-03-01").cast("timestamp")), "k", "ts", "v")],
+    ids=["stretch", "heatmap", "mask", "class_weights", "zscore"])
+def test_a_key_with_a_third_of_the_rows_is_spread(spark, no_broadcast, operator):
+    n = 6000
+    rows = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 200).alias("k"),
+                                 F.col("id").alias("y"), F.lit(0).alias("x"), F.rand(5).alias("v"))
+    out = operator(rows)
+    tasks = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == n and max(tasks) < n / 12  # the key alone has n / 3
+
+
+def test_scene_figures_of_a_hot_scene_are_spread(spark, no_broadcast):
+    from scenelake.operators.scenes import scene_values
+
+    n = 6000
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 200).alias("scene"), F.col("id").alias("block_row"),
+        F.lit(0).alias("block_col"), F.lit(8).alias("block_size"), F.rand(1).alias("v"))
+    out = scene_values(rows, ["scene"], {"top": (F.col("v"), F.max)})
+    tasks = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == n and max(tasks) < n / 12
+    assert out.where("scene = -1").agg(F.min("top"), F.max("top")).collect()[0][0] == out.where("scene = -1").agg(F.max("v")).collect()[0][0]

@@ -187,3 +187,33 @@ def test_late_feedback_is_kept(spark, tmp_path):
         stream.run_feedback_log(feed, str(tmp_path / "log"), str(tmp_path / "state")).awaitTermination()
     found = by(stream.current_status(spark, str(tmp_path / "log")), ["alert_id"], ["action", "n_decisions"])
     assert found == {("A",): ["CONFIRM", 1], ("B",): ["CONFIRM", 2]}
+
+
+@pytest.mark.parametrize("register", [False, True])
+def test_stacks_do_not_notice_blocks(spark, register):
+    """One site with four dates and one with two: as one row per date, 2 x 2 and 4 x 4 blocks."""
+    found = []
+    for cut in (1, 2, 4):
+        rows = scenes(spark, cut, n=4)
+        ts = F.timestamp_add("DAY", F.col("scene"), F.lit("2024-05-01").cast("timestamp"))
+        own = ["width", *([] if cut == 1 else ["block_row", "block_col", "block_size"])]
+        stack = rows.select(F.lit("a").alias("site"), ts.alias("ts"), *own, *[F.col(f"{b}1").alias(b) for b in "rgb"],
+                            F.col("qa1").alias("qa"), F.col("sar1").alias("sar"))
+        other = rows.where("scene < 2").select(F.lit("b").alias("site"), ts.alias("ts"), *own, *[F.col(f"{b}2").alias(b) for b in "rgb"],
+                                               F.col("qa1").alias("qa"), F.col("sar2").alias("sar"))
+        evidence, result = ce.detect_change_over_stack(stack.unionAll(other), "site", "ts", register=register,
+                                                       min_confidence=0.3, min_coverage=0.1)
+        assert evidence.groupBy("site").count().orderBy("site").collect() == [("a", 3), ("b", 1)]
+        found.append((by(evidence, ["site", "t1_date", "t2_date"], ["confidence", "qa_coverage", "is_valid_change"]),
+                      by(result, ["site"], ["n_pairs"]), {tuple(r) for r in result.collect()}))
+    for other in found[1:]:
+        same(found[0][0], other[0])
+        assert found[0][1:] == other[1:]
+
+
+def test_blocks_of_one_date_only_meet_nothing(spark):
+    rows = scenes(spark, 2, n=1).select("block_row", "block_col", "block_size", "width", *[F.col(f"{b}1").alias(b) for b in "rgb"])
+    first = rows.where("block_row = 0").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    second = rows.withColumn("ts", F.lit("2024-01-02").cast("timestamp"))
+    evidence, result = ce.detect_change_over_stack(first.unionByName(second).withColumn("site", F.lit(1)), "site", "ts", register=False)
+    assert evidence.count() == 1 and result.collect()[0]["n_pairs"] == 1
