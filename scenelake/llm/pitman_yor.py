@@ -40,8 +40,8 @@ from scenelake.llm.common import arrow_pass, release, settle, utf8
 ROUNDS = 3
 BURN_IN = 1  # rounds whose probabilities are not averaged
 STRENGTH = 1.0
-BUCKET_TOKENS = 6 << 20
-PIECE_BYTES = 12 << 20  # texts whose pairs are counted together before they travel
+BUCKET_TOKENS = 4 << 20
+PIECE_BYTES = 8 << 20  # texts whose pairs are counted together before they travel
 PIECE_DOCS = 1 << 16
 SPLIT_BYTES = 2 << 20  # of the texts of a piece, split into words at once
 HOT_WORDS = 1 << 16  # most contexts that may be split, so the list of them is bounded
@@ -116,7 +116,10 @@ class Piece:
     sizes: np.ndarray  # tokens of each document
 
     def keys(self) -> np.ndarray:
-        return self.before * np.int64(len(self.hashes)) + self.words
+        keys = self.before.astype(np.int64)
+        keys *= len(self.hashes)
+        keys += self.words
+        return keys
 
 
 def _split(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,9 +152,9 @@ def pieces(batches, at: int):
     def closed():
         tokens, sizes = _split(texts)
         hashes, words = np.unique(np.r_[tokens, _END], return_inverse=True)
-        words = words.astype(np.int64)
+        words = words.astype(np.int32)
         end, words = words[-1], words[:-1]
-        return Piece(hashes, words, np.r_[end, words[:-1]], np.repeat(np.arange(len(sizes)), sizes), sizes), covered
+        return Piece(hashes, words, np.r_[end, words[:-1]], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), sizes), covered
 
     for batch in batches:
         texts += [t.as_py() or b"" for t in batch.column(at)]
@@ -250,7 +253,9 @@ def _pairs(docs: DataFrame, layout: Layout) -> DataFrame:
         for piece, covered in pieces(batches, 0):
             size = np.int64(len(piece.hashes))
             held = np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in covered])
-            key = piece.keys() * 2 + held[piece.doc]
+            key = piece.keys()
+            key *= 2
+            key += held[piece.doc]
             key.sort()
             starts = np.flatnonzero(np.r_[True, (key[1:] >> 1) != (key[:-1] >> 1)])
             count = np.add.reduceat(1 - (key & 1), starts)
@@ -618,11 +623,13 @@ def _postings(docs: DataFrame, layout: Layout) -> DataFrame:
             key, pair = piece.keys(), None
             if int(size) ** 2 * int(docs_of) >= 1 << 63:  # number the pairs first
                 pair, key = np.unique(key, return_inverse=True)
-            key = key * docs_of + piece.doc
+            key *= docs_of
+            key += piece.doc
             key.sort()
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            n = np.diff(np.r_[starts, len(key)])
+            n = np.diff(np.r_[starts, len(key)]).astype(np.int32)
             key, doc = np.divmod(key[starts], docs_of)
+            doc = doc.astype(np.int32)
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             context, word = np.divmod(key[first] if pair is None else pair[key[first]], size)
             entries = np.r_[first, len(key)]  # of each pair, up to the next one's
