@@ -101,14 +101,16 @@ def _(s, sf):
 
 @check("gazetteer_match", "query_id:l alias:s known:s", "SELECT * FROM parsed", PARSED)
 def _(s, sf):
-    q = F.lower(F.trim("query"))
-    return v.query_texts(s, sf).withColumn("alias", search.indexed_alias(q)["alias"]).withColumn("known", search.unindexed_place(q))
+    rows = v.query_texts(s, sf)
+    found = search.match_phrases(rows, "query", search.phrase_table(s))
+    return rows.join(found.select("query", F.col("area.alias").alias("alias"), F.col("place").alias("known")), "query", "left")
 
 
 @check("first_match", "query_id:l place:s", "SELECT query_id, coalesce(aoi_name, known) AS place FROM parsed", PARSED)
 def _(s, sf):
-    q = F.lower(F.trim("query"))
-    return v.query_texts(s, sf).withColumn("place", F.coalesce(search.indexed_alias(q)["aoi_name"], search.unindexed_place(q)))
+    rows = v.query_texts(s, sf)
+    found = search.match_phrases(rows, "query", search.phrase_table(s))
+    return rows.join(found.select("query", F.coalesce("area.aoi_name", "place").alias("place")), "query", "left")
 
 
 @check("place_heuristic", "query_id:l place:s", f"""

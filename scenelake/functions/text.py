@@ -25,11 +25,6 @@ def hyphenated_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(HYPHENATED), F.lit(0))
 
 
-def has_phrase(lowered: Column, phrase: str) -> Column:
-    """The phrase occurs between word boundaries; the plain search spares most rows the pattern."""
-    return lowered.contains(phrase) & lowered.rlike(f"(^|[^{WORD}]){phrase}($|[^{WORD}])")
-
-
 def years(text: Column) -> Column:
     """Sorted distinct years 2010..2029 named in the text."""
     found = F.filter(words(text), lambda w: w.rlike("^20[12][0-9]$"))

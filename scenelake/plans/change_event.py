@@ -18,6 +18,7 @@ from scenelake.lookups import MORPHOLOGY_CLASSES, TYPE_CLASSES
 from scenelake.operators import radiometry, registration, timeline
 from scenelake.operators.blocks import unroll
 from scenelake.operators.scenes import BLOCK, is_blocked, scene_values
+from scenelake.session import checkpoint
 
 WEIGHTS = {"model": 0.40, "qa": 0.20, "sar": 0.15, "seasonal": 0.15, "registration": 0.10}
 MASK_THRESHOLD = 0.55
@@ -214,7 +215,8 @@ def _block_pairs(acquisitions: DataFrame, site: str, ts: str, own: Sequence[str]
     paired = before.join(dates, [site, ts]).join(after, [site, "_later", *BLOCK])
     sides = F.format_string("block widths differ: %d and %d", F.col("width"), F.col("_width"))
     same = F.when(F.col("width") == F.col("_width"), F.col("width")).otherwise(F.raise_error(sides).cast("int"))
-    return paired.withColumn("width", same).drop("_width")
+    # Written once: every figure of a scene reads the pairs again.
+    return checkpoint(paired.withColumn("width", same).drop("_width"))
 
 
 def detect_change_over_stack(acquisitions: DataFrame, site: str, ts: str, bands: Sequence[str] = ("r", "g", "b"),

@@ -9,35 +9,37 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from scenelake.functions.labels import relevance_pct
 from scenelake.functions.mathx import clip, round_to
-from scenelake.functions.text import WORD, has_phrase, hyphenated_words, title_case, years
+from scenelake.functions.text import WORD, hyphenated_words, title_case, years
 from scenelake.lookups import (INDEXED_AREAS, PLACE_PREPOSITIONS, PLACE_STOPWORDS, TAXONOMY, TILE_PROFILES,
                                UNINDEXED_PLACES)
+from scenelake.operators.components import spread_lookup
+from scenelake.operators.phrases import ANYWHERE, TOKEN, WORDS, first_by, phrase_hits
 from scenelake.operators.vectors import embedder, vector_topk
 
 
-def categories(lowered: Column, tokens: Column) -> Column:
-    """Sorted categories whose keyword is a token, or whose phrase occurs in the text."""
-    found = []
-    for name, keywords in TAXONOMY.items():
-        single = [F.lit(k) for k in keywords if " " not in k]
-        hit = F.arrays_overlap(tokens, F.array(*single))
-        for phrase in (k for k in keywords if " " in k):
-            hit = hit | lowered.contains(phrase)
-        found.append(F.when(hit, F.lit(name)))
-    return F.array_sort(F.filter(F.array(*found), lambda c: c.isNotNull()))
+ENTRY = ("phrase string, how string, ordinal int, aoi string, aoi_name string, place string, category string")
 
 
-def indexed_alias(lowered: Column) -> Column:
-    """First indexed alias in declared order: struct(aoi, aoi_name, alias)."""
-    return F.coalesce(*[
-        F.when(has_phrase(lowered, alias), F.struct(F.lit(key).alias("aoi"), F.lit(name).alias("aoi_name"),
-                                                    F.lit(alias).alias("alias")))
-        for key, name, _, _, aliases in INDEXED_AREAS for alias in aliases])
+def phrase_table(spark, areas=INDEXED_AREAS, places=UNINDEXED_PLACES, taxonomy=TAXONOMY) -> DataFrame:
+    """The gazetteer and the taxonomy as one table of phrases (``ENTRY``).
+
+    Rows with ``aoi`` name an indexed area, rows with ``place`` a place without
+    imagery, rows with ``category`` a change category; ``ordinal`` decides which
+    name comes first. Any table of this form may take its place.
+    """
+    aliases = [(alias, key, name) for key, name, _, _, names in areas for alias in names]
+    rows = [(alias, WORDS, i, key, name, None, None) for i, (alias, key, name) in enumerate(aliases)]
+    rows += [(alias, WORDS, i, None, None, name, None) for i, (alias, name) in enumerate(places)]
+    rows += [(k, ANYWHERE if " " in k else TOKEN, 0, None, None, None, c) for c, keywords in taxonomy.items() for k in keywords]
+    return spark.createDataFrame(rows, ENTRY)
 
 
-def unindexed_place(lowered: Column) -> Column:
-    """Formal name of the first known place without imagery."""
-    return F.coalesce(*[F.when(has_phrase(lowered, alias), F.lit(name)) for alias, name in UNINDEXED_PLACES])
+def match_phrases(queries: DataFrame, text: str, phrases: DataFrame) -> DataFrame:
+    """Per distinct text with a hit: first indexed area (aoi, aoi_name, alias), first known place, sorted categories."""
+    area = F.when(F.col("aoi").isNotNull(), F.struct("aoi", "aoi_name", F.col("phrase").alias("alias")))
+    return phrase_hits(queries, text, phrases).groupBy(text).agg(
+        first_by(area, "ordinal").alias("area"), first_by(F.col("place"), "ordinal").alias("place"),
+        F.array_sort(F.collect_set("category")).alias("categories"))
 
 
 def place_heuristic(text: Column, strict: bool = False) -> Column:
@@ -52,19 +54,25 @@ def place_heuristic(text: Column, strict: bool = False) -> Column:
     return F.when((found != "") & ~F.lower(found).isin(PLACE_STOPWORDS), title_case(found))
 
 
-def parse_queries(queries: DataFrame, text: str = "query", strict_places: bool = False) -> DataFrame:
-    """Add keywords, years, change types, place, AOI and whether imagery exists."""
+def parse_queries(queries: DataFrame, text: str = "query", strict_places: bool = False, phrases: DataFrame | None = None
+                  ) -> DataFrame:
+    """Add keywords, years, change types, place, AOI and whether imagery exists.
+
+    Names and keywords come from ``phrases`` (by default ``phrase_table``); every
+    distinct text is searched once.
+    """
     kept = queries.columns
-    base = (queries.withColumn("_clean", F.trim(F.col(text))).withColumn("_low", F.lower("_clean"))
-            .withColumn("_tokens", hyphenated_words(F.col("_clean"))))
-    clean, low, tokens = F.col("_clean"), F.col("_low"), F.col("_tokens")
+    matched = match_phrases(queries, text, phrase_table(queries.sparkSession) if phrases is None else phrases)
+    matched = matched.select(text, F.col("area").alias("_area"), F.col("place").alias("_known"), F.col("categories").alias("_categories"))
+    df = spread_lookup(queries, matched, [text], "left").withColumn("_clean", F.trim(F.col(text)))
+    clean = F.col("_clean")
+    none = F.array().cast("array<string>")
     # One generated row per query: the optimizer cannot copy the parse into a
     # later filter on its outcome, so the patterns run once.
     parse = F.struct(
-        tokens.alias("keywords"), years(clean).alias("years"), categories(low, tokens).alias("change_types"),
-        indexed_alias(low).alias("_area"),
-        F.coalesce(unindexed_place(low), place_heuristic(clean, strict_places)).alias("_place"))
-    df = base.select(*kept, F.inline_outer(F.array(parse)))
+        hyphenated_words(clean).alias("keywords"), years(clean).alias("years"), F.coalesce("_categories", none).alias("change_types"),
+        F.col("_area"), F.coalesce(F.col("_known"), place_heuristic(clean, strict_places)).alias("_place"))
+    df = df.select(*kept, F.inline_outer(F.array(parse)))
     other = F.when(F.col("_area").isNull(), F.col("_place"))
     return (df.withColumn("aoi", F.col("_area.aoi")).withColumn("aoi_name", F.col("_area.aoi_name"))
             .withColumn("requested_location", F.coalesce(title_case(F.col("_area.alias")), other))

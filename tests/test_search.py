@@ -10,7 +10,7 @@ from pyspark.sql import Row, functions as F
 
 from scenelake.functions import text
 from scenelake.lookups import KEYWORD_SLOTS
-from scenelake.operators import vectors
+from scenelake.operators import phrases, vectors
 from scenelake.plans import search
 
 
@@ -181,3 +181,47 @@ def test_execute_search_answers_every_query(spark):
     full = {r.query_id: r for r in search.execute_search(q, one, prof, 10, embed="fixed").collect()}
     assert [h.tile_id for h in full[3].results] == ["other"] and full[1].results == []
     assert full[3].message == "Retrieved 1 verified satellite observation scenes."
+
+
+def test_phrases_equal_plain_search(spark):
+    """Whole words, tokens and substrings against Python's own search."""
+    import random
+
+    rng = random.Random(3)
+    words = ["new", "green", "cover", "port", "built-up", "sea", "x_1", "ñandú", "2024", "evergreen", "covers"]
+    texts = [rng.choice(["", " ", "!"]).join([""] * 2) + rng.choice([" ", "  ", "-", ", "]).join(rng.choices(words, k=rng.randint(0, 7))) for _ in range(150)]
+    entries = ([(p, "words") for p in ("new", "green cover", "port", "built-up", "sea port", "new  green", "x_1", "ñandú", "cover, port")]
+               + [(p, "token") for p in ("built-up", "port", "new-green", "2024")] + [(p, "anywhere") for p in ("green cover", "n c", "r p")])
+    table = spark.createDataFrame(entries, "phrase string, how string")
+    frame = spark.createDataFrame([(t,) for t in [*texts, texts[0], None]], "q string")
+    got = sorted({tuple(r) for r in phrases.phrase_hits(frame, "q", table).select("q", "how", "phrase").collect()})
+    want = set()
+    for t in texts:
+        low = t.strip(" ").lower()
+        for p, how in entries:
+            hit = {"words": re.search(rf"(?<!\w){re.escape(p)}(?!\w)", low), "token": p in re.findall(r"\b[\w\-]+\b", low), "anywhere": p in low}[how]
+            if hit:
+                want.add((t, how, p))
+    assert got == sorted(want) and len(want) > 100
+
+
+def test_a_hundred_thousand_names(spark):
+    n = 100_000
+    names = spark.range(n).select(
+        F.concat(F.lit("town "), F.col("id").cast("string"), F.when(F.col("id") % 3 == 0, " east").otherwise("")).alias("phrase"),
+        F.lit("words").alias("how"), F.col("id").cast("int").alias("ordinal"), F.lit(None).cast("string").alias("aoi"),
+        F.lit(None).cast("string").alias("aoi_name"), F.concat(F.lit("Town No. "), F.col("id").cast("string")).alias("place"),
+        F.lit(None).cast("string").alias("category"))
+    queries = spark.createDataFrame([(0, "floods at Town 99999 East and town 4"), (1, "town 7x"), (2, "in town 3"), (3, None)], "query_id int, query string")
+    parsed = search.parse_queries(queries, phrases=names)
+    text = parsed._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text
+    got = {r.query_id: r.requested_location for r in parsed.collect()}
+    assert got == {0: "Town No. 4", 1: None, 2: "Town", 3: None}  # "town 3" is only listed with "east"
+
+
+def test_phrases_that_cannot_be_looked_up(spark):
+    queries = spark.createDataFrame([("a b",)], "q string")
+    for phrase, how in ((" a", "words"), ("a-", "words"), ("ab", "anywhere")):
+        with pytest.raises(Exception, match="looked up|not a phrase"):
+            phrases.phrase_hits(queries, "q", spark.createDataFrame([(phrase, how)], "phrase string, how string")).collect()
