@@ -40,8 +40,8 @@ from scenelake.llm.common import arrow_pass, release, settle, utf8
 ROUNDS = 3
 BURN_IN = 1  # rounds whose probabilities are not averaged
 STRENGTH = 1.0
-BUCKET_TOKENS = 4 << 20
-PIECE_BYTES = 8 << 20  # texts whose pairs are counted together before they travel
+BUCKET_TOKENS = 6 << 20
+PIECE_BYTES = 10 << 20  # texts whose pairs are counted together before they travel
 PIECE_DOCS = 1 << 16
 SPLIT_BYTES = 2 << 20  # of the texts of a piece, split into words at once
 HOT_WORDS = 1 << 16  # most contexts that may be split, so the list of them is bounded
@@ -50,7 +50,8 @@ EXACT = 64  # dishes of up to this many customers draw their tables exactly, lar
 HELD_OUT = 10
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_END = np.uint64(0x8F1D3C5B7A9E2468)  # the end of a text
+_HASH = np.uint64((1 << 56) - 1)  # words are told apart by hashes of 56 bits, which travel as seven bytes
+_END = np.uint64(0x1D3C5B7A9E2468)  # the end of a text
 _MESSAGE = "bucket int, kind string, data binary"
 _KINDS = pa.int32(), pa.string(), pa.binary()
 
@@ -84,7 +85,7 @@ _BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)  # mask
 
 
 def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(start, 64-bit hash) of each word of a text; eight bytes of all words at a time."""
+    """(start, hash) of each word of a text; eight bytes of all words at a time."""
     data = np.frombuffer(text + bytes(8), dtype=np.uint8)
     space = _SPACE[data[:len(text)]]
     edges = np.flatnonzero(np.diff(np.r_[True, space, True]))
@@ -98,7 +99,7 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         more = np.flatnonzero(left > 8)
         open_words = more if isinstance(open_words, slice) else open_words[more]
         at, left = at[more] + 8, left[more] - 8
-    return start, found
+    return start, found & _HASH
 
 
 def hash_of(word: bytes) -> int:
@@ -321,18 +322,30 @@ def locate(contexts: np.ndarray, words: np.ndarray, blob: list[np.ndarray]) -> n
 
 
 def _merge(bucket: int, messages):
-    """Bucket states: ``pairs``; ``open``, those with more than one customer, at one table each; ``sums`` for the discount."""
+    """Bucket states: ``pairs``, and ``sums`` for the discount."""
     pairs = Pairs.merged([blob for _, blob in messages])
     yield _message(bucket, "pairs", pairs.blob())
-    once = np.bincount(pairs.context[pairs.count == 1], minlength=len(pairs.contexts))
-    more = np.flatnonzero(pairs.count > 1)
-    contexts, context = np.unique(pairs.context[more], return_inverse=True)
-    words, word = np.unique(pairs.word[more], return_inverse=True)
-    yield _message(bucket, "open", pack(deltas(pairs.contexts[contexts]), once[contexts], context,
-                                        deltas(pairs.words[words]), word, pairs.count[more], np.ones(len(more), dtype=np.int64)))
     yield _message(bucket, "sums", pack(np.array([(pairs.count == 1).sum(), (pairs.count == 2).sum()])))
 
 
+def _opened(state: DataFrame) -> DataFrame:
+    """Messages ``open``: the pairs with more than one customer, at one table each."""
+
+    def run(batches):
+        for batch in batches:
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                pairs = Pairs.of(unpack(data.as_py()))
+                once = np.bincount(pairs.context[pairs.count == 1], minlength=len(pairs.contexts))
+                more = np.flatnonzero(pairs.count > 1)
+                contexts, context = np.unique(pairs.context[more], return_inverse=True)
+                words, word = np.unique(pairs.word[more], return_inverse=True)
+                yield _message(bucket, "open", pack(
+                    deltas(pairs.contexts[contexts]), once[contexts], context, deltas(pairs.words[words]), word,
+                    pairs.count[more], np.ones(len(more), dtype=np.int64)))
+
+    return arrow_pass(state.where("kind = 'pairs'").select("bucket", "data"), run, _MESSAGE)
+
+
 def _word_rows(state: DataFrame, kind: str) -> DataFrame:
     """(w, bucket, c, once, k) of a bucket's words: customers, pairs seen once, pairs."""
     names = ["w", "bucket", "c", "once", "k"]
@@ -561,7 +574,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
     # A word with one customer sits at one table whatever happens; only the others go through the rounds.
     static = words.where(~is_one).select("w", "c", "once")
     current = words.where(~is_one).select("w", "k", F.lit(1).cast("long").alias("t"))
-    pairs, seats, roots = state.where("kind = 'pairs'"), state.where("kind = 'open'"), []
+    pairs, seats, roots = state.where("kind = 'pairs'"), _opened(state), []
     for number in range(1, rounds + 1):
         asked = _word_rows(seats, "open").select("w", "bucket").join(current, "w")
         hot = _hot_totals(pairs.unionAll(seats), layout)[1][-1]
@@ -712,6 +725,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     # A bucket that has the only customer of a word needs no reply.
     asked = _word_rows(model.state, "pairs").select("w", "bucket", F.col("c").alias("own")).join(model.words, "w").where("own <> 1 OR c <> 1")
     replies = settle(_replies(asked, ["c", *columns]))
+    release(docs.sparkSession)
     hot = _hot_totals(model.state, model.layout)
     arguments = model.layout, model.roots, model.discount, model.tokens, model.types
     messages = model.state.unionAll(replies).unionAll(_postings(docs, model.layout))
