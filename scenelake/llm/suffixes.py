@@ -32,14 +32,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from scenelake.llm.common import arrow_pass, materialise, utf8
+from scenelake.llm.common import ASCII_SPACE, arrow_pass, materialise, settle, utf8
 
 LENGTH = 400
 ANCHOR = 64
 PIECE = 32
+PASSAGE = 51  # words in a row that count as a repeated passage
+PASSAGE_ANCHOR = 8
 SEGMENT = 1 << 17  # strings of a long text handled at once
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
+_SPACE = np.isin(np.arange(256), list(ASCII_SPACE))
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)  # masks of the first n bytes
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -55,7 +59,7 @@ class Hasher:
     """Hashes of any substrings of a text from prefix sums, modulo 2**64."""
 
     def __init__(self, length: int, anchor: int):
-        self.length, self.anchor, size = length, anchor, SEGMENT + length
+        self.length, self.anchor, size = length, anchor, max(SEGMENT, length) + length + 2 * PIECE
         self.values = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER))
         one = np.ones(1, dtype=np.uint64)
         self.powers = np.concatenate([one, np.cumprod(np.full(size, _MULTIPLIER, dtype=np.uint64))])
@@ -63,8 +67,9 @@ class Hasher:
         self.inverses = np.concatenate([one, np.cumprod(np.full(size, inverse, dtype=np.uint64))])
 
     def prefixes(self, text: np.ndarray) -> np.ndarray:
+        """``text``: bytes, or the hashes of words."""
         sums = np.zeros(len(text) + 1, dtype=np.uint64)
-        np.cumsum(self.values[text] * self.powers[:len(text)], out=sums[1:])
+        np.cumsum((self.values[text] if text.dtype == np.uint8 else text) * self.powers[:len(text)], out=sums[1:])
         return sums
 
     def substrings(self, sums: np.ndarray, starts, ends) -> np.ndarray:
@@ -91,27 +96,49 @@ class Hasher:
         run = _mix(self.substrings(sums, first, first + count + self.length - 1) ^ shape)
         return first, count, offset, keys[anchor], run
 
-    def text_runs(self, text: bytes):
-        data = np.frombuffer(text, dtype=np.uint8)
+    def text_runs(self, text: np.ndarray):
+        data = text
         for begin in range(0, len(data) - self.length + 1, SEGMENT):
             first, *rest = self.runs(data[begin:begin + SEGMENT + self.length - 1])
             yield first + begin, *rest
 
-    def pieces(self, text: bytes, first: int, count: int, offset: int):
-        """(piece number, core hash, left edge, right edge) of the pieces of a run.
+    def pieces(self, text: np.ndarray, first: int, count: int, offset: int):
+        """(piece number, core hash, left edge, right edge) of the pieces of a run; edges as bytes of their symbols.
 
         Piece j has the strings whose anchor offset is in [32 j, 32 j + 31]; its
         core is what all of them contain, its edges reach as far as the run has strings.
         """
         anchor, last = first + offset, offset - count + 1
         begin = max(0, first - PIECE)
-        sums = self.prefixes(np.frombuffer(text, dtype=np.uint8)[begin:first + count + self.length + PIECE])
+        sums = self.prefixes(text[begin:first + count + self.length + PIECE])
         for j in range(last // PIECE, offset // PIECE + 1):
             high, low = min(offset, PIECE * j + PIECE - 1), max(last, PIECE * j)
             core = anchor - PIECE * j, anchor - PIECE * j - PIECE + 1 + self.length
             digest = self.substrings(sums, np.array([core[0] - begin]), np.array([core[1] - begin]))
             mixed = _mix(digest + np.uint64(j))[0]
-            yield j, int(mixed.view(np.int64)), text[anchor - high:core[0]], text[core[1]:anchor - low + self.length]
+            yield (j, int(mixed.view(np.int64)), text[anchor - high:core[0]].tobytes(),
+                   text[core[1]:anchor - low + self.length].tobytes())
+
+
+def byte_symbols(text: bytes) -> np.ndarray:
+    return np.frombuffer(text, dtype=np.uint8)
+
+
+def word_symbols(text: bytes) -> np.ndarray:
+    """Hashes of the words of a text, as they stand."""
+    space = _SPACE[byte_symbols(text)]
+    edges = np.flatnonzero(np.diff(np.r_[True, space, True]))
+    start, length = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(text) + 1, dtype="<u8", buffer=text + bytes(8), strides=(1,))
+    found = length.astype(np.uint64) * np.uint64(_MULTIPLIER)
+    rows = np.arange(len(start))
+    while len(rows):  # eight bytes of all words at a time
+        part = np.take(eight, start[rows]) & _BYTES[np.minimum(length[rows], 8)]
+        found[rows] = _mix(found[rows] * np.uint64(_MULTIPLIER) ^ part)
+        start[rows] += 8
+        length[rows] -= 8
+        rows = rows[length[rows] > 0]
+    return found
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -135,8 +162,11 @@ def _kinds(columns: list[np.ndarray]) -> list[np.ndarray]:
     return [*[c[first] for c in columns[:-2]], np.diff(np.r_[starts, len(order)]), key[first], run[first]]
 
 
-def _runs(docs: DataFrame, length: int, anchor: int) -> DataFrame:
-    """Runs of all texts; equal runs of a batch are counted in one row, so a frequent passage is a few rows a task."""
+def _runs(docs: DataFrame, length: int, anchor: int, symbols=byte_symbols, least: int | None = None) -> DataFrame:
+    """Runs of all texts of at least ``least`` bytes; ``symbols`` makes bytes or words of a text.
+
+    Equal runs of a batch are counted in one row, so a frequent passage is a few rows a task.
+    """
     names = ["h", "size", "first", "strings", "offset", "n", "key", "run"]
 
     def run(batches):
@@ -144,7 +174,7 @@ def _runs(docs: DataFrame, length: int, anchor: int) -> DataFrame:
         for batch in batches:
             parts = []
             for text, h, size in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for first, count, offset, key, whole in hasher.text_runs(text):
+                for first, count, offset, key, whole in hasher.text_runs(symbols(text)):
                     n = len(first)
                     parts.append((np.full(n, h, np.int64), np.full(n, size, np.int32), first.astype(np.int32),
                                   count.astype(np.int32), offset.astype(np.int32), key, whole))
@@ -152,7 +182,7 @@ def _runs(docs: DataFrame, length: int, anchor: int) -> DataFrame:
                 columns = _kinds([np.concatenate(c) for c in zip(*parts)])
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:6]), *map(_long, columns[6:])], names)
 
-    return arrow_pass(docs.where(F.col("size") >= length).select("text", "h", "size"), run,
+    return arrow_pass(docs.where(F.col("size") >= (least or length)).select("text", "h", "size"), run,
                       "h long, size int, first int, strings int, offset int, n long, key long, run long")
 
 
@@ -168,8 +198,9 @@ def _pieces(rows: DataFrame, length: int, anchor: int) -> DataFrame:
                 if listed is None or (h, size) in done:  # one of several equal texts speaks for all
                     continue
                 done.add((h, size))
+                data = byte_symbols(text)
                 for one in listed:
-                    for j, core, left, right in hasher.pieces(text, one["first"], one["strings"], one["offset"]):
+                    for j, core, left, right in hasher.pieces(data, one["first"], one["strings"], one["offset"]):
                         # A string with t bytes of the left edge starts t bytes before this place.
                         start = one["first"] + one["offset"] - PIECE * j
                         out.append((h, size, one["key"], core, left, right, one["n"], start))
@@ -199,25 +230,23 @@ def _removals(text: bytes, alone: list[dict] | None, length: int) -> list[tuple[
     return [tuple(s) for s in spans]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, spans (array of start and end), kept_sha256.
+def _kinds_of_runs(runs: DataFrame) -> DataFrame:
+    """Rounds 1 and 2: a row per kind of run, with the number of kinds and of runs under its key.
 
-    A byte is removed if a string of ``length`` bytes that covers it also starts
-    anywhere else, in the same text or another, overlaps included. Null texts
-    are empty; texts shorter than ``length`` keep everything; of repeated rows
-    and equal texts no copy is spared. Further columns are ignored.
+    Batches have counted equal runs already, so what meets under a key is its different surroundings; the window spills.
     """
-    texts = _identified(docs)
-    # Rounds 1 and 2: a row per kind of run, with the number of kinds and of runs under its key. Batches have counted
-    # equal runs already, so what meets under a key is its different surroundings; the window spills.
     where = F.struct("h", "size", "first", "strings", "offset")
-    kinds = _runs(texts, length, anchor).repartition("key").groupBy("key", "run").agg(
-        F.sum("n").alias("n"), F.min(where).alias("one"))
+    kinds = runs.repartition("key").groupBy("key", "run").agg(F.sum("n").alias("n"), F.min(where).alias("one"))
     under = Window.partitionBy("key")
-    kinds = kinds.withColumns({"n_key": F.sum("n").over(under), "kinds": F.count("*").over(under)})
+    return kinds.withColumns({"n_key": F.sum("n").over(under), "kinds": F.count("*").over(under)}).where(
+        (F.col("n_key") == 1) | (F.col("kinds") > 1)).select("one.*", "key", "n", "kinds")
+
+
+def _standing_alone(texts: DataFrame, length: int, anchor: int) -> DataFrame:
+    """(h, size, marks): strings of each text that start nowhere else, as (first, strings)."""
+    kinds = _kinds_of_runs(_runs(texts, length, anchor))
     # A run alone is marked; one run of each kind that shares its key with other kinds goes on. Bounded by the text.
-    found = materialise(kinds.where((F.col("n_key") == 1) | (F.col("kinds") > 1)).select("one.*", "key", "n", "kinds").groupBy(
-        "h", "size").agg(
+    found = materialise(kinds.groupBy("h", "size").agg(
         F.collect_list(F.when(F.col("kinds") == 1, F.struct("first", "strings"))).alias("alone"),
         F.collect_list(F.when(F.col("kinds") > 1, F.struct("first", "strings", "offset", "key", "n"))).alias("listed")))
     listed = found.where(F.size("listed") > 0).select("h", "size", "listed")
@@ -241,24 +270,81 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
         "m.one.h", "m.one.size", F.struct((F.col("m.one.last_start") - F.col("m.back")).alias("first"),
                                           F.col("m.strings").alias("strings")).alias("mark")).groupBy("h", "size").agg(
         F.collect_list("mark").alias("more"))
-    marked = found.select("h", "size", "alone").join(more, ["h", "size"], "left").select(
+    return found.select("h", "size", "alone").join(more, ["h", "size"], "left").select(
         "h", "size", F.concat("alone", F.coalesce("more", F.array().cast(found.schema["alone"].dataType))).alias("marks"))
-    rows = texts.join(marked.hint("shuffle_hash"), ["h", "size"], "left").select("doc_id", "text", "h", "size", "marks")
+
+
+def fresh_passages(texts: DataFrame, words: int = PASSAGE, anchor: int = PASSAGE_ANCHOR) -> DataFrame:
+    """(h, size, fresh): how many passages of ``words`` words of each text start nowhere else.
+
+    The first two rounds on words instead of bytes; then the passages of runs
+    that share an anchor with others are counted one by one.
+    """
+    found = settle(_kinds_of_runs(_runs(texts, words, anchor, word_symbols, 2 * words - 1)))
+    alone = found.where("kinds = 1").select("h", "size", F.col("strings").cast("long").alias("fresh"))
+    listed = found.where("kinds > 1").groupBy("h", "size").agg(F.collect_list(F.struct("first", "strings", "n")).alias("listed"))
+    rows = texts.where(F.col("size") >= 2 * words - 1).join(listed.hint("shuffle_hash"), ["h", "size"]).select("text", "h", "size", "listed")
+
+    def run(batches):
+        hasher, done = Hasher(words, anchor), set()
+        for batch in batches:
+            out = []
+            for text, h, size, runs in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if (h, size) in done:  # one of several equal texts speaks for all
+                    continue
+                done.add((h, size))
+                symbols = word_symbols(text)
+                for one in runs:
+                    part = symbols[one["first"]:one["first"] + one["strings"] + words - 1]
+                    starts = np.arange(one["strings"])
+                    found = hasher.substrings(hasher.prefixes(part), starts, starts + words)
+                    out.append((np.full(len(found), h), np.full(len(found), size, np.int32), np.full(len(found), one["n"]), found))
+            if out:
+                h, size, n, found = (np.concatenate(c) for c in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(size), pa.array(n), _long(found)], ["h", "size", "n", "passage"])
+
+    single = arrow_pass(rows, run, "h long, size int, n long, passage long").groupBy("passage").agg(
+        F.sum("n").alias("n"), F.min(F.struct("h", "size")).alias("one")).where("n = 1")
+    fresh = alone.unionAll(single.select("one.h", "one.size", F.lit(1).cast("long").alias("fresh")))
+    return settle(fresh.groupBy("h", "size").agg(F.sum("fresh").alias("fresh")))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, passage: int = PASSAGE) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, spans (array of start and end), kept_sha256, has_passage.
+
+    A byte is removed if a string of ``length`` bytes that covers it also starts
+    anywhere else, in the same text or another, overlaps included. Null texts
+    are empty; texts shorter than ``length`` keep everything; of repeated rows
+    and equal texts no copy is spared. ``has_passage`` tells whether ``passage``
+    words in a row also stand elsewhere, whatever their bytes and whatever
+    stands between them; it removes nothing. Further columns are ignored.
+    """
+    texts = _identified(docs)
+    fresh = fresh_passages(texts, passage)
+    marked = _standing_alone(texts, length, anchor).join(fresh, ["h", "size"], "full")
+    # Texts too short to repeat anything meet nothing, however many rows share one of them.
+    least = min(length, 2 * passage - 1)
+    rows = texts.where(F.col("size") >= least).join(marked.hint("shuffle_hash"), ["h", "size"], "left")
+    short = texts.where(F.col("size") < least).withColumns({c: F.lit(None).cast(rows.schema[c].dataType) for c in ("marks", "fresh")})
+    rows = rows.unionByName(short).select("doc_id", "text", "h", "size", "marks", "fresh")
 
     def run(batches):
         for batch in batches:
             out = []
-            for text, marks_of in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist()):
+            for text, marks_of, fresh_of in zip(*(batch.column(i).to_pylist() for i in (1, 4, 5))):
                 spans = _removals(text, marks_of, length)
                 kept, at = hashlib.sha256(), 0
                 for start, end in spans:
                     kept.update(text[at:start])
                     at = end
                 kept.update(text[at:])
-                out.append((len(text), sum(e - s for s, e in spans), [list(s) for s in spans], kept.hexdigest()))
-            kinds = pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string()
+                passages = len(text.split()) - passage + 1
+                out.append((len(text), sum(e - s for s, e in spans), [list(s) for s in spans], kept.hexdigest(),
+                            passages > (fresh_of or 0)))
+            kinds = pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string(), pa.bool_()
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(zip(*out), kinds)]],
-                                             ["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256"])
+                                             ["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256", "has_passage"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_pass(rows, run, f"doc_id {kind}, n_bytes long, n_removed long, spans array<array<long>>, kept_sha256 string")
+    return arrow_pass(rows, run, f"doc_id {kind}, n_bytes long, n_removed long, spans array<array<long>>, "
+                                 "kept_sha256 string, has_passage boolean")

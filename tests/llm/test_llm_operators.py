@@ -411,8 +411,34 @@ def test_repeats_of_documents(documents, texts):
     assert found == brute_removal([texts[i] for i in sorted(texts)], 400)
 
 
+def repeated_passages(texts, n):
+    words = [(t or "").encode().split() for t in texts]
+    starts = collections.Counter(tuple(w[i:i + n]) for w in words for i in range(len(w) - n + 1))
+    return [any(starts[tuple(w[i:i + n])] > 1 for i in range(len(w) - n + 1)) for w in words]
+
+
+def test_passages_of_words_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "SEGMENT", 90)
+    rng = random.Random(8)
+    passages = [sentence(rng, rng.choice([19, 20, 21, 30])) for _ in range(8)]
+    texts = [None, "", "a " * 60, sentence(rng, 500)]
+    for _ in range(80):
+        parts = [rng.choice(passages) if rng.random() < 0.25 else sentence(rng, rng.randint(1, 60)) for _ in range(rng.randint(1, 5))]
+        texts.append(rng.choice([" ", "\n", " \t "]).join(parts))
+    texts += [texts[3].replace(" ", "\n"), sentence(rng, 15) + " x" * 1, sentence(rng, 3) + " q" * 30]
+    docs = docs_of(spark, list(enumerate(texts))).repartition(3)
+    found = [r["has_passage"] for r in suffixes.remove_repeats(docs, passage=20).orderBy("doc_id").collect()]
+    assert found == repeated_passages(texts, 20) and 10 < sum(found) < len(found) - 10
+
+
+def test_planted_passages_are_found(documents, texts):
+    rows = suffixes.remove_repeats(documents).orderBy("doc_id").collect()
+    assert [r["has_passage"] for r in rows] == repeated_passages([texts[i] for i in sorted(texts)], 51)
+
+
 def test_repeats_of_odd_rows(odd, none):
     assert suffixes.remove_repeats(odd).where("n_removed = 0").count() == 10
+    assert suffixes.remove_repeats(odd).where("has_passage").count() == 0
     assert suffixes.remove_repeats(none).count() == 0
 
 
