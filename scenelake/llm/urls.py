@@ -41,7 +41,10 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 def write_index(entries: list[tuple[str, str, str]], path: str) -> None:
-    """File of counts, sorted digests, string offsets and strings; of equal entries the first verdict counts."""
+    """File of counts, listed lengths of paths and numbers of host labels, sorted digests, string offsets and strings.
+
+    Of equal entries the first verdict counts.
+    """
     verdicts: dict[str, tuple[str, str]] = {}
     for host, prefix, verdict in entries:
         verdicts.setdefault(_key(host, prefix), (host + prefix, verdict))
@@ -49,9 +52,11 @@ def write_index(entries: list[tuple[str, str, str]], path: str) -> None:
     strings = ["\x00".join((key, *verdicts[key])).encode() for _, key in keys]
     offsets = np.cumsum([0, *map(len, strings)], dtype="<u8")
     lengths = np.array(sorted({len(key.partition("\x01")[2]) for _, key in keys}), dtype="<u8")
+    labels = np.array(sorted({key.partition("\x01")[0].count(".") + 1 for _, key in keys}), dtype="<u8")
     with open(path, "wb") as out:
-        out.write(np.array([len(keys), len(lengths)], dtype="<u8").tobytes())
+        out.write(np.array([len(keys), len(lengths), len(labels)], dtype="<u8").tobytes())
         out.write(lengths.tobytes())
+        out.write(labels.tobytes())
         out.write(np.array([digest for digest, _ in keys], dtype="<u8").tobytes())
         out.write(offsets.tobytes())
         out.write(b"".join(strings))
@@ -66,17 +71,23 @@ class Index:
 
     def __init__(self, path: str):
         words = np.memmap(path, dtype="<u8", mode="r", shape=(os.path.getsize(path) // 8,))
-        n, n_lengths = int(words[0]), int(words[1])
-        self.lengths = words[2:2 + n_lengths].tolist()
-        self.digests = words[2 + n_lengths:2 + n_lengths + n]
-        self.offsets = words[2 + n_lengths + n:3 + n_lengths + 2 * n]
-        self.strings = np.memmap(path, dtype=np.uint8, mode="r", offset=8 * (3 + n_lengths + 2 * n),
+        n, n_lengths, n_labels = (int(w) for w in words[:3])
+        self.lengths = words[3:3 + n_lengths].tolist()
+        begin = 3 + n_lengths + n_labels
+        self.labels = words[3 + n_lengths:begin].tolist()
+        self.digests = words[begin:begin + n]
+        self.offsets = words[begin + n:begin + 2 * n + 1]
+        self.strings = np.memmap(path, dtype=np.uint8, mode="r", offset=8 * (begin + 2 * n + 1),
                                  shape=(int(self.offsets[-1]),)) if n else np.zeros(0, np.uint8)
 
     def keys(self, host: str, path: str) -> list[str]:
-        """Every key under which an entry fitting the URL would be stored."""
+        """Every key under which an entry fitting the URL would be stored.
+
+        Only parent domains with a listed number of labels and prefixes of a
+        listed length, so a long host or path has no more keys than the list has such numbers.
+        """
         labels = host.split(".")
-        hosts = [".".join(labels[i:]) for i in range(len(labels))]
+        hosts = [".".join(labels[-n:]) for n in self.labels if n <= len(labels)]
         prefixes = [path[:n] for n in self.lengths if n <= len(path)]
         return [_key(h, p) for h in hosts for p in prefixes]
 
