@@ -206,11 +206,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     The class of a row is that of its own text, whatever other rows have its
     id. Rows that are equal in all columns are one.
     """
-    columns = docs.columns
-    row = docs.withColumn("_row", F.sha2(F.to_json(F.struct(*columns)), 256))
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"),
-                     F.sha2("text", 256).alias("text"), F.col("_row").alias("row"))
-    found = materialise(fingerprints(row.select(order.alias("doc_id"), "text")))
+    # The row travels as one value, so no name of its columns can clash with a helper's or needs reading as a path.
+    whole = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
+    rows = docs.select(whole).withColumn("digest", F.sha2(F.to_json("row"), 256))
+    ident, text = F.col("row")["doc_id"], F.col("row")["text"]
+    order = F.struct(ident.isNull().alias("unnamed"), ident.alias("id"), F.sha2(text, 256).alias("text"), F.col("digest").alias("row"))
+    found = materialise(fingerprints(rows.select(order.alias("doc_id"), text.alias("text"))))
     rooted = _rooted(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_row"))
-    return row.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*columns)
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("digest"))
+    return rows.join(kept, "digest", "left_semi").dropDuplicates(["digest"]).select("row.*")
