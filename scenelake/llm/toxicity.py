@@ -27,9 +27,9 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from scenelake.llm.common import arrow_pass, in_held_out, keep_rows, utf8
+from scenelake.llm.common import arrow_pass, in_held_out, keep_rows, materialise, utf8
 
-# Bounds of the labelled sample: documents per class and bytes per document.
+# Bounds of the labelled sample: documents per class, and bytes of a document that trains dictionaries.
 SAMPLE_TOXIC = 2500
 SAMPLE_ORDINARY = 5000
 SAMPLE_BYTES = 1 << 16
@@ -193,38 +193,76 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def _calibrated(toxic: bytes, ordinary: bytes, x: np.ndarray, y: np.ndarray) -> Model:
+    mean, scale = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    return Model(toxic, ordinary, mean, scale, _logistic((x - mean) / scale, y))
+
+
+def _untrained() -> Model:
+    return Model(b"", b"", np.zeros(0), np.ones(0), np.zeros(1))
+
+
 def fit(sample: list[tuple[bytes, int, int]]) -> Model:
     """``sample``: (text, label, fold); fold 0 calibrates, the others train the dictionaries."""
     train = [(t, y) for t, y, fold in sample if fold]
     toxic, ordinary = train_dictionaries([t for t, y in train if y], [t for t, y in train if not y])
-    empty = Model(b"", b"", np.zeros(0), np.ones(0), np.zeros(1))
     rest = [(t, y) for t, y, fold in sample if not fold]
     if not toxic or len({y for _, y in rest}) < 2:
-        return empty
+        return _untrained()
     pair = compressor(toxic), compressor(ordinary)
-    x = np.array([features(*differences(t, *pair)) for t, _ in rest])
-    mean, scale = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
-    return Model(toxic, ordinary, mean, scale, _logistic((x - mean) / scale, np.array([y for _, y in rest], float)))
+    return _calibrated(toxic, ordinary, np.array([features(*differences(t, *pair)) for t, _ in rest]),
+                       np.array([y for _, y in rest], float))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on a bounded labelled sample of the rows that are not held out.
+def _sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, toxic, h (hash of the text taken for the id) and fold of the bounded sample.
 
-    The sample takes the ids with the smallest hash in each class, so it does
-    not depend on row order; texts above ``SAMPLE_BYTES`` are not sampled.
+    Labels meet usable documents first, so labels without one take no place. Of
+    several texts of an id the one with the smallest hash counts; each class
+    takes the ids with the smallest hash.
     """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~in_held_out()).groupBy(
         "doc_id").agg(F.max("toxic").alias("toxic"))
-    rank = F.xxhash64("doc_id")
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3))
+    size = F.octet_length("text")
+    texts = docs.where((size > 0) & ((size <= SAMPLE_BYTES) | (fold == 0))).select("doc_id", F.xxhash64("text").alias("h"))
+    found = texts.join(usable, "doc_id").groupBy("doc_id", "toxic").agg(F.min("h").alias("h"))
     ids = None
-    for value, size in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY)):
-        part = usable.where(F.col("toxic") == value).orderBy(rank, "doc_id").limit(size)
+    for value, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY)):
+        part = found.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         ids = part if ids is None else ids.unionByName(part)
+    return materialise(ids.withColumn("fold", fold))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit on a bounded labelled sample of the rows that are not held out.
+
+    A third of the sample calibrates, by whole texts of any length whose features
+    are made in tasks; the dictionaries are trained on the others, on texts of up
+    to ``SAMPLE_BYTES``.
+    """
+    ids = _sampled(docs, labels)
     # Bounded by the two sample sizes, so it may be broadcast.
-    rows = docs.select("doc_id", utf8()).where(F.octet_length("text").between(1, SAMPLE_BYTES)).join(
-        F.broadcast(ids), "doc_id").select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)),
-                                           "doc_id").dropDuplicates(["doc_id"]).collect()
-    return fit([(bytes(r[0]), int(r[1]), int(r[2])) for r in sorted(rows, key=lambda r: r[3])])
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.xxhash64("text") == F.col("h")).dropDuplicates(["doc_id"])
+    sample = sorted(rows.where("fold <> 0").select("doc_id", utf8(), "toxic").collect(), key=lambda r: r[0])
+    toxic, ordinary = train_dictionaries(*[[bytes(r[1]) for r in sample if r[2] == y] for y in (1, 0)])
+    if not toxic:
+        return _untrained()
+
+    def run(batches):
+        pair = compressor(toxic), compressor(ordinary)
+        for batch in batches:
+            found = [features(*differences(t, *pair)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([[float(v) for v in f] for f in found],
+                                                                                        pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rest = arrow_pass(rows.where("fold = 0").select("doc_id", utf8(), F.col("toxic").cast("int").alias("toxic")), run,
+                      f"doc_id {kind}, toxic int, x array<double>").collect()
+    rest.sort(key=lambda r: r["doc_id"])
+    if len({r["toxic"] for r in rest}) < 2:
+        return _untrained()
+    return _calibrated(toxic, ordinary, np.array([r["x"] for r in rest]), np.array([r["toxic"] for r in rest], float))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -212,6 +212,14 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_with_clashing_column_names(spark):
+    rows = [(1, "one two three four five six", "x", 5, "p"), (2, "one two three four five six", "y", 6, "q"), (3, "another text of its own here", "z", 7, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string, digest int, `a.b` string")
+    out = simhash.keep_one(docs)
+    assert out.columns == docs.columns and out.schema == docs.schema
+    assert sorted(tuple(r) for r in out.collect()) == [rows[0], rows[2]]
+
+
 def test_keep_one_leaves_one_row_of_each_class(spark):
     rng = random.Random(11)
     a, b, c, d = (sentence(rng, 80) for _ in range(4))
@@ -470,6 +478,16 @@ def test_url_lists_in_several_files(spark, monkeypatch):
     assert all(r["rule"] == (f"h{r['page_id'] % 10}.org/" + "p" * (r["page_id"] % 10) if r["page_id"] % 10 < 8 else "org/") for r in found)
 
 
+def test_very_long_hosts_and_paths(spark):
+    """A URL of a megabyte has as few keys as any other."""
+    rules = spark.createDataFrame([("example.net", "/a", "block"), ("b.a.net", "/", "block")], "host string, path string, verdict string")
+    long = ["http://" + "x." * 500_000 + "example.net/abc", "http://" + "y" * 1_000_000 + "/a", "http://example.net/a" + "z" * 1_000_000,
+            "http://" + "." * 300_000 + "b.a.net/", "http://" + "a." * 300_000]
+    pages = spark.createDataFrame(list(enumerate(long)), "page_id int, url string")
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.filter_urls(pages, rules).collect()}
+    assert found == {0: ("example.net/a", "block"), 1: (None, "allow"), 2: ("example.net/a", "block"), 3: ("b.a.net/", "block"), 4: (None, "allow")}
+
+
 def test_digest_collisions_are_told_apart(tmp_path, monkeypatch):
     monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda key: 5)
     urls.write_index([("a.b", "/", "block"), ("c.d", "/x", "allow")], str(tmp_path / "index"))
@@ -639,3 +657,16 @@ def test_toxicity_of_odd_rows(spark, odd, none, small):
         assert {r["score"] for r in rows if r["doc_id"] in (1, 2, 3)} == {0.0}
         assert toxicity.drop_toxic(odd, model).columns == odd.columns
         assert toxicity.score(none, model).count() == 0 == toxicity.drop_toxic(none, model).count()
+
+
+def test_sample_takes_labels_with_documents(spark, monkeypatch):
+    """Labels without documents take no place, and of several texts of an id one is taken by a fixed order."""
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 4)
+    monkeypatch.setattr(toxicity, "SAMPLE_ORDINARY", 4)
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = docs_of(spark, [(i, f"text {i}") for i in ids[-8:]] + [(ids[-1], "other text"), (ids[-2], None), (ids[0], "")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    samples = [sorted(tuple(r) for r in toxicity._sampled(d, labels).collect()) for d in (docs, docs.orderBy(F.desc("text")).repartition(3))]
+    assert samples[0] == samples[1]
+    assert {r[0] for r in samples[0]} <= set(ids[-8:])
+    assert len(samples[0]) == sum(min(4, sum(i % 2 == y for i in ids[-8:])) for y in (0, 1))
