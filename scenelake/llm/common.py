@@ -66,6 +66,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def split_join(rows: DataFrame, figures: DataFrame, key: str) -> DataFrame:
+    """Join rows to the aggregated figures of their key so that a hot key can be split.
+
+    An aggregate is already dealt by its key, and a join that reuses that leaves
+    a hot key in one task. A second key, a hash of the first, makes Spark deal
+    both sides anew for the join, and adaptive execution splits such joins.
+    """
+    again = F.xxhash64(key)
+    return rows.withColumn("_again", again).join(figures.withColumn("_again", again), [key, "_again"]).drop("_again")
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove written tables that nothing refers to any more (shared disk, not memory)."""
     gc.collect()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from scenelake.llm.common import materialise
+from scenelake.llm.common import materialise, split_join
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -20,18 +20,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     stars do the same with the smaller neighbours. The two together never grow
     the edge set and close any shape, chains included, in about log² rounds. A
     node of high degree is only a join key here, which adaptive execution
-    splits; no group is gathered. Every round is written to shared storage.
+    splits (``split_join``); no group is gathered. Every round is written to shared storage.
     """
     current = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(
         F.col("a") != F.col("b")).distinct())
     before = None
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(_least(both), both["a"] == F.col("node")).where(F.col("b") > F.col("a")).select(
+        large = split_join(both, _least(both).withColumnRenamed("node", "a"), "a").where(F.col("b") > F.col("a")).select(
             F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         least = _least(large)
         # a hangs on its least neighbour, and so do the other smaller neighbours of a
-        small = large.join(least, large["a"] == F.col("node")).select(
+        small = split_join(large, least.withColumnRenamed("node", "a"), "a").select(
             F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("least").alias("b")),
                               F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e")).select(
             "e.a", "e.b").where(F.col("a") != F.col("b")).distinct()

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from scenelake.llm.common import arrow_pass, materialise, utf8
+from scenelake.llm.common import arrow_pass, materialise, utf8, split_join
 from scenelake.llm.graph import components
 
 SHINGLE = 4
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = materialise(fingerprints(docs))
     rooted = _rooted(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    membership = rooted.join(named, "root").select("fp", "component_id")
+    membership = split_join(rooted, named, "root").select("fp", "component_id")
     return found.join(membership, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -190,6 +190,28 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     assert all(found[i] == 0 for i in range(101)) and all(found[1000 + i] == 1000 for i in range(200))
 
 
+def test_a_hub_and_a_large_class_can_be_split(spark):
+    """Joins of aggregated figures have an exchange on both sides; with low limits adaptive execution splits the hub."""
+    from scenelake.llm.common import split_join
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+            "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        edges = spark.range(60_000).repartition(8).select(
+            F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("a"), F.xxhash64("id").alias("b"))
+        joined = split_join(edges, edges.groupBy("a").agg(F.min("b").alias("least")), "a")
+        counted = joined.agg(F.count("*"), F.max("least"))
+        assert counted.collect()[0][0] == 60_000
+        assert "skew=true" in counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_near_duplicates_equal_brute_force(documents, texts):
     fps = {i: brute_fingerprint(t) for i, t in texts.items()}
     label = brute_components(set(fps.values()))
