@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from checks import views as v
 from checks.registry import check
 from scenelake.session import ensure_checkpoint_dir
-from scenelake.streaming import earliest, feedback as sf_feedback, windows
+from scenelake.streaming import earliest, feedback as sf_feedback, status, windows
 
 
 def _event_stream(s, sf):
@@ -39,8 +39,8 @@ SELECT 'ALT-' || user_id AS alert_id, CASE WHEN arg_max(event_type, (ts, event_i
        arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n_decisions FROM events WHERE event_type IN ('purchase', 'click') GROUP BY user_id""")
 def _(s, sf):
     folder = _folder(s)
-    _finish(sf_feedback.run_feedback_log(_feedback_stream(s, sf), f"{folder}/log", f"{folder}/state"))
-    return sf_feedback.current_status(s, f"{folder}/log")
+    _finish(status.run_feedback_status(_feedback_stream(s, sf), f"{folder}/store", f"{folder}/state", buckets=8))
+    return status.current_status(s, f"{folder}/store")
 
 
 @check("stream_retrain_trigger", "user_id:l n_labels:l", """

@@ -62,10 +62,34 @@ def earliest_supported(acquisitions: DataFrame, evidence: DataFrame, site: str)
             .select(site, "earliest_supported_date", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs")))
 
 
-def seasonal_zscore(df: DataFrame, site: str, ts: str, value: str, limit: float = 2.0) -> DataFrame:
-    """Deviation of a value from its (site, calendar month) mean in standard deviations."""
-    rows = df.withColumn("month", F.month(ts))
-    base = rows.groupBy(site, "month").agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+def seasonal_moments(df: DataFrame, site: str, ts: str, value: str) -> DataFrame:
+    """Per site and calendar month: number, mean and sum of squared deviations of the values.
+
+    A small table that is kept and merged with that of new acquisitions, so history is not read again.
+    """
+    known = df.where(F.col(value).isNotNull()).withColumn("month", F.month(ts))
+    return known.groupBy(site, "month").agg(
+        F.count("*").alias("n"), F.avg(value).alias("mean"), (F.var_pop(value) * F.count("*")).alias("m2"))
+
+
+def merge_moments(kept: DataFrame, new: DataFrame, site: str) -> DataFrame:
+    """Moments of two disjoint sets of acquisitions together (pairwise update of means and squared deviations)."""
+    parts = kept.unionByName(new)
+    n, mean = F.sum("n"), F.sum(F.col("n") * F.col("mean")) / F.sum("n")
+    whole = parts.groupBy(site, "month").agg(n.alias("_n"), mean.alias("_mean"))
+    away = F.col("mean") - F.col("_mean")
+    return parts.join(whole, [site, "month"]).groupBy(site, "month").agg(
+        F.first("_n").alias("n"), F.first("_mean").alias("mean"), F.sum(F.col("m2") + F.col("n") * away * away).alias("m2"))
+
+
+def seasonal_scores(df: DataFrame, moments: DataFrame, site: str, ts: str, value: str, limit: float = 2.0) -> DataFrame:
+    """Deviation of each value from the moments of its (site, calendar month) in standard deviations."""
+    base = moments.select(site, "month", F.col("mean").alias("_m"), F.sqrt(F.col("m2") / F.col("n")).alias("_s"))
+    rows = spread_lookup(df.withColumn("month", F.month(ts)), base, [site, "month"])
     z = F.when(F.col("_s") > 1e-9, (F.col(value) - F.col("_m")) / F.col("_s")).otherwise(F.lit(0.0))
-    return (spread_lookup(rows, base, [site, "month"]).withColumn("z", z)
-            .withColumn("is_anomaly", F.abs("z") > limit).drop("_m", "_s"))
+    return rows.withColumn("z", z).withColumn("is_anomaly", F.abs("z") > limit).drop("_m", "_s")
+
+
+def seasonal_zscore(df: DataFrame, site: str, ts: str, value: str, limit: float = 2.0) -> DataFrame:
+    """The same over one table, from its own moments; months without any value are left out."""
+    return seasonal_scores(df, seasonal_moments(df, site, ts, value), site, ts, value, limit)
