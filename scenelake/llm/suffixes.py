@@ -324,7 +324,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     marked = _standing_alone(texts, length, anchor).join(fresh, ["h", "size"], "full")
     # Texts too short to repeat anything meet nothing, however many rows share one of them.
     least = min(length, 2 * passage - 1)
-    rows = texts.where(F.col("size") >= least).join(marked.hint("shuffle_hash"), ["h", "size"], "left")
+    # A further key, a hash of the others, has the marks dealt anew, so that a text of many copies can be split.
+    again = F.xxhash64("h", "size")
+    rows = texts.where(F.col("size") >= least).withColumn("again", again).join(
+        marked.withColumn("again", again).hint("shuffle_hash"), ["h", "size", "again"], "left").drop("again")
     short = texts.where(F.col("size") < least).withColumns({c: F.lit(None).cast(rows.schema[c].dataType) for c in ("marks", "fresh")})
     rows = rows.unionByName(short).select("doc_id", "text", "h", "size", "marks", "fresh")
 
