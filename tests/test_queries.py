@@ -19,7 +19,7 @@ def test_entry(spark):
 
 def test_every_query_but_known_ones_has_sql():
     assert sorted(set(KNOWN) - set(SQL)) == sorted([
-        "change_event_export", "change_event_registered", "change_report_registered", "checksum_manifest", "coregister_sub", "fit_change_threshold", "semantic_search",
+        "change_event_export", "change_event_registered", "change_report_registered", "coregister_sub", "fit_change_threshold", "semantic_search",
         "vector_topk_ann"])
 
 
