@@ -487,11 +487,15 @@ def _(s, sf):
                      (F.col("block_col") * 4 + F.col("x")).alias("x"), F.col("values").alias("v"))
 
 
-@check("pair_labels", "scene:l n_changed:l change_type:s change_morphology:s", """
-SELECT scene, count_if(r2 > 0.85) AS n_changed, CASE WHEN bool_or(r2 > 0.85) THEN 'construction' ELSE 'unknown' END AS change_type,
-       CASE WHEN bool_or(r2 > 0.85) THEN 'appearance' ELSE 'none' END AS change_morphology FROM pair_px GROUP BY scene""", v.PAIR_PX)
+BRIGHTEST = "greatest(r1, g1, b1, r2, g2, b2)"
+
+
+@check("pair_labels", "scene:l n_changed:l change_type:s change_morphology:s", f"""
+SELECT scene, count_if({BRIGHTEST} > 0.85) AS n_changed, CASE WHEN bool_or({BRIGHTEST} > 0.85) THEN 'construction' ELSE 'unknown' END AS change_type,
+       CASE WHEN bool_or({BRIGHTEST} > 0.85) THEN 'appearance' ELSE 'none' END AS change_morphology FROM pair_px GROUP BY scene""", v.PAIR_PX)
 def _(s, sf):
-    px = unroll(v.pairs(s, sf), ["scene"], ["r2"]).withColumn("label", F.when(F.col("r2") > 0.85, 255).otherwise(0))
+    bands = [f"{b}{e}" for b in "rgb" for e in (1, 2)]
+    px = unroll(v.pairs(s, sf), ["scene"], bands).withColumn("label", F.when(F.greatest(*bands) > 0.85, 255).otherwise(0))
     px = px.withColumn("mask", pair_source.change_mask("levir", F.col("label")))
     return pair_source.sample_labels(px, "scene", "levir")
 

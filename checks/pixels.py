@@ -354,11 +354,18 @@ def _(s, sf):
     return unroll(aligned(v.pairs(s, sf)), ["scene"], ["ra", "ga", "ba"])
 
 
-@check("domain_standardize", "scene:l y:l x:l adapted:6", """
-SELECT p.scene, y, x, greatest(0.0, least(1.0, CASE WHEN sd > 1e-6 THEN (r1 - m) / sd * 0.10 + 0.15 ELSE r1 END)) AS adapted
-FROM pair_px p JOIN (SELECT scene, avg(r1) AS m, stddev_pop(r1) AS sd FROM pair_px GROUP BY scene) t ON p.scene = t.scene""", v.PAIR_PX)
+SIX = [f"{b}{e}" for b in "rgb" for e in (1, 2)]
+
+
+@check("domain_standardize", "scene:l y:l x:l " + " ".join(f"{c}_adapted:6" for c in SIX), "SELECT p.scene, y, x, " + ", ".join(
+    f"greatest(0.0, least(1.0, CASE WHEN s_{c} > 1e-6 THEN ({c} - m_{c}) / s_{c} * 0.10 + 0.15 ELSE {c} END)) AS {c}_adapted" for c in SIX)
+    + " FROM pair_px p JOIN (SELECT scene, " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in SIX)
+    + " FROM pair_px GROUP BY scene) t ON p.scene = t.scene", v.PAIR_PX)
 def _(s, sf):
-    return unroll(radiometry.domain_standardize(v.pairs(s, sf), ["scene"], "r1", "adapted"), ["scene"], ["adapted"])
+    rows = v.pairs(s, sf)
+    for c in SIX:
+        rows = radiometry.domain_standardize(rows, ["scene"], c, f"{c}_adapted")
+    return unroll(rows, ["scene"], [f"{c}_adapted" for c in SIX])
 
 
 PROB = ALIGN + """,
